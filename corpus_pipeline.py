@@ -1,19 +1,64 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
+
+All but the last return the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vetra.llm import exactdedup, langid, mixing, packing, simhash
 from vetra.llm.common import shared_path, table
 
-STAGES: list = []
-#: Some stages have no SQL form; tests hold run() against brute force.
+#: Part of the words that the mix takes.
+SHARE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in none of the learned languages, or has no letter, go."""
+    return langid.keep_identified(docs, langid.fit(docs.filter(~langid.held_out(3, 1))))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest doc_id stays."""
+    return exactdedup.exact_dedup(docs).filter("kept").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (similarity 0.8 or more on five-word shingles), the one with the smallest doc_id stays.
+
+    Ids name documents here: rows that share an id go or stay together; rows without one stay.
+    """
+    found = simhash.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the sampling by calibrated probabilities takes."""
+    return mixing.mix(docs, mixing.document_dimensions(), mixing.TARGETS, SHARE).filter("mix_kept").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mixing", mix_to_targets),
+    ("best_fit_packing", pack),
+]
+#: Language, near-copy and packing stages have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         path = shared_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)

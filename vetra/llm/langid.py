@@ -241,6 +241,23 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text isn't rejected. Without any model only texts without a letter go."""
+    columns = docs.columns
+
+    def run(batches):
+        score = models.scorer()
+        for batch in batches:
+            texts = batch.column(columns.index("text")).to_pylist()
+            if models.languages:
+                rejected = score(texts)[3]
+            else:
+                rejected = np.array([not (t and WORD.search(t)) for t in texts], dtype=bool)
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predicted_languages(docs: DataFrame, per_language: int = 400) -> DataFrame:
     """Learn from documents whose crc32(doc_id) mod 3 is not 1, predict for all."""
     models = fit(docs.filter(~held_out(3, 1)), per_language)

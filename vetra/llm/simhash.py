@@ -25,37 +25,59 @@ VANTAGE = 0x9E3779B97F4A7C15
 SEED = 42
 
 
-def fingerprint(raw: bytes, shingle: int) -> int:
-    """64-bit SimHash of the words of ``raw`` (UTF-8), A-Z lower-cased; repeats count."""
+def fingerprint(raw: bytes, shingle: int, words: int = 1, repeats: bool = True) -> np.ndarray:
+    """``words`` 64-bit SimHash words of the word shingles of ``raw`` (UTF-8), A-Z lower-cased.
+
+    A repeated shingle counts each time, or once without ``repeats``. The first word is over the shingles' XXH64; each further one over a mix of it.
+    """
     import xxhash
 
-    words = raw.lower().split()  # bytes: only A-Z, and only the six ASCII white-space characters
-    if not words:
-        return 0
+    parts = raw.lower().split()  # bytes: only A-Z, and only the six ASCII white-space characters
+    if not parts:
+        return np.zeros(words, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    n = len(words) - shingle + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist())), np.uint64, n)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 65_536):
-        ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every whole text; null counts as empty."""
+    joined = b" ".join(parts)
+    n = max(1, len(parts) - shingle + 1)
+    if n == 1:
+        hashes = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        starts = np.concatenate([[0], ends[: n - 1]])
+        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist())), np.uint64, n)
+    if not repeats:
+        hashes = np.unique(hashes)
+        n = len(hashes)
+    out = np.empty(words, np.uint64)
+    for k in range(words):
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, n, 65_536):
+            part = hashes[i : i + 65_536]
+            if k:
+                part = (part + np.uint64(k * 0xD1B54A32D192ED03 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+                part ^= part >> np.uint64(31)
+                part *= np.uint64(0x94D049BB133111EB)
+                part ^= part >> np.uint64(29)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def names(words: int) -> list[str]:
+    return [f"w{k}" for k in range(words)]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 5, words: int = 1, repeats: bool = True) -> DataFrame:
+    """doc_id and w0, w1, ... (the fingerprint's words as signed longs) of every whole text; null counts as empty."""
 
     def run(batches):
         for batch in batches:
-            fp = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.empty((batch.num_rows, words), np.uint64)
+            for i, x in enumerate(batch.column(1)):
+                fp[i] = fingerprint(x.as_py() or b"", shingle, words, repeats)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, k].copy().view(np.int64)) for k in range(words))], names=["doc_id", *names(words)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, " + ", ".join(f"{w} long" for w in names(words))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def levels(groups: int, bits: int) -> list[list[int]]:
@@ -64,56 +86,63 @@ def levels(groups: int, bits: int) -> list[list[int]]:
     return [[sum(1 << b for b in range(i, min(i + bits, hi))) for i in range(lo, hi, bits)] for lo, hi in zip(cuts, cuts[1:])]
 
 
-def shard_rows(fps: DataFrame, radius: int, groups: int = 3, bits: int = 3) -> DataFrame:
-    """leaf, fp, lives: each fingerprint in its own leaf (lives) and in those that its radius overlaps."""
+def shard_rows(fps: DataFrame, radius: int, groups: int, bits: int) -> DataFrame:
+    """leaf, lives and the words of each fingerprint, in its own leaf (lives) and in those that its radius overlaps."""
     if radius // groups > 1:
         raise ValueError("more bit groups are needed for this radius")
-    trees = levels(groups, bits)
+    trees, columns = levels(groups, bits), fps.columns
 
     def run(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             leaf, who, lives = [], [], []
+            everyone = np.arange(len(fp))
             for g, masks in enumerate(trees):
                 steps = [(bits + 1) ** k for k in range(len(masks))]
                 ring = [np.bitwise_count((fp ^ np.uint64(VANTAGE)) & np.uint64(m)).astype(np.int64) for m in masks]
                 home = sum(r * s for r, s in zip(ring, steps)) * groups + g
-                leaf.append(home), who.append(fp), lives.append(np.ones(len(fp), bool))
+                leaf.append(home), who.append(everyone), lives.append(np.ones(len(fp), bool))
                 if radius // groups:
                     for r, s, m in zip(ring, steps, masks):
-                        up = r < m.bit_count()
-                        leaf.append(home[up] + s * groups), who.append(fp[up]), lives.append(np.zeros(int(up.sum()), bool))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaf)), pa.array(np.concatenate(who).view(np.int64)), pa.array(np.concatenate(lives))], names=["leaf", "fp", "lives"])
+                        up = np.flatnonzero(r < m.bit_count())
+                        leaf.append(home[up] + s * groups), who.append(up), lives.append(np.zeros(len(up), bool))
+            who = pa.array(np.concatenate(who))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaf)), pa.array(np.concatenate(lives)), *(c.take(who) for c in batch.columns)], names=["leaf", "lives", *columns])
 
-    return fps.select("fp").mapInArrow(run, "leaf long, fp long, lives boolean")
+    return fps.mapInArrow(run, "leaf long, lives boolean, " + ", ".join(f"{c} long" for c in columns))
 
 
-def forest(own: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among ``own`` and between ``own`` and ``guests``."""
-    both = np.concatenate([own, guests])
-    n = len(own)
-    rings = np.bitwise_count(both ^ np.uint64(VANTAGE)).astype(np.int8)
-    order = np.argsort(rings[:n], kind="stable")
-    left, right, pairs = [], [], 0
-    by_ring = np.argsort(rings, kind="stable")
+def forest(both: np.ndarray, n: int, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers u, v of a spanning forest of the links that the first ``n`` rows have, to any row.
+
+    A link: at most ``radius`` bits of the first word differ, and at most ``total`` of all words.
+    """
+    first = both[:, 0]
+    rings = np.bitwise_count(first ^ np.uint64(VANTAGE)).astype(np.int8)
+    order, by_ring = np.argsort(rings[:n], kind="stable"), np.argsort(rings, kind="stable")
     sorted_rings = rings[by_ring]
+    left, right, pairs = [], [], 0
     for i in range(0, n, 256):
         rows = order[i : i + 256]
         lo = np.searchsorted(sorted_rings, int(rings[rows[0]]) - radius)
         hi = np.searchsorted(sorted_rings, int(rings[rows[-1]]) + radius, side="right")
         for j in range(lo, hi, 65_536):
             cols = by_ring[j : min(hi, j + 65_536)]
-            a, b = np.nonzero(np.bitwise_count(both[rows][:, None] ^ both[cols][None, :]) <= radius)
+            a, b = np.nonzero(np.bitwise_count(first[rows][:, None] ^ first[cols][None, :]) <= radius)
             a, b = rows[a], cols[b]
             new = (b >= n) | (a < b)
-            left.append(a[new]), right.append(b[new])
-            pairs += int(new.sum())
+            a, b = a[new], b[new]
+            if both.shape[1] > 1:
+                near = np.bitwise_count(both[a] ^ both[b]).sum(axis=1, dtype=np.int64) <= total
+                a, b = a[near], b[near]
+            left.append(a), right.append(b)
+            pairs += len(a)
         if pairs > 8 * len(both):
-            return _walk(both, n, radius)
+            return _walk(both, n, radius, total)
     if not pairs:
-        return both[:0], both[:0]
+        return order[:0], order[:0]
     a, b = np.concatenate(left), np.concatenate(right)
-    root = {}
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
         top = x
@@ -129,79 +158,89 @@ def forest(own: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray
         if x != y:
             root[max(x, y)] = min(x, y)
             keep.append(k)
-    return both[a[keep]], both[b[keep]]
+    return a[keep], b[keep]
 
 
-def _walk(both: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _walk(both: np.ndarray, n: int, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for a dense shard: breadth-first, each fingerprint held against what is not reached yet."""
-    left, right = [], []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     rest = np.arange(len(both))
     while len(rest) and rest[0] < n:  # what lives here comes first
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
             reach = rest if x < n else rest[: np.searchsorted(rest, n)]
-            near = np.bitwise_count(both[reach] ^ both[x]) <= radius
+            differ = np.bitwise_count(both[reach] ^ both[x])
+            near = (differ[:, 0] <= radius) & (differ.sum(axis=1, dtype=np.int64) <= total)
             found = reach[near]
             if len(found):
-                left.append(np.full(len(found), both[x])), right.append(both[found])
+                left.append(np.full(len(found), x)), right.append(found)
                 queue += found.tolist()
                 rest = np.concatenate([reach[~near], rest[len(reach) :]])
-    return (np.concatenate(left), np.concatenate(right)) if left else (both[:0], both[:0])
+    return np.concatenate(left), np.concatenate(right)
 
 
-def near_links(fps: DataFrame, radius: int, groups: int = 3, bits: int = 3, shard: int = 200_000, most: int = 50_000) -> DataFrame:
-    """Links u, v between distinct fingerprints ``fps`` (fp: long) that span every link within ``radius``.
+def near_links(fps: DataFrame, radius: int, total: int | None = None, groups: int = 3, bits: int = 3, shard: int = 200_000, most: int = 50_000) -> DataFrame:
+    """Links u, v between distinct fingerprints that span every link within ``radius``.
 
-    Leaves are dealt to tasks of about ``shard`` rows. A leaf with over ``most`` rows is cut into blocks,
-    and each pair of blocks is a task of its own, so no leaf is too large and no pair is missed.
+    ``fps`` has w0 and any further words (checked against ``total``, their differing bits together) and
+    last a long column ``node`` that names the fingerprint. Leaves are dealt to tasks of about ``shard``
+    rows. A leaf with over ``most`` rows is cut into blocks, and each pair of blocks is a task of its own,
+    so no leaf is too large and no pair is missed.
     """
-    rows = cut(shard_rows(fps, radius, groups, bits))
+    words = [c for c in fps.columns if c != "node"]
+    limit = radius if total is None else total
+    rows = cut(shard_rows(fps.select(*words, "node"), radius, groups, bits))
     buckets = max(1, -(-rows.count() // shard))
     hot = rows.groupBy("leaf").count().filter(F.col("count") > most)
     rows = rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     if not hot.isEmpty():
         k = F.ceil(F.col("count") / most).cast("int")
-        own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-        rows = rows.join(hot.select("leaf", k.alias("k")), "leaf", "left").withColumn("own", own)
+        rows = rows.join(hot.select("leaf", k.alias("k")), "leaf", "left").withColumn("own", F.pmod(F.xxhash64(*words), F.col("k")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
-        rows = rows.select("leaf", "fp", "lives", F.coalesce(F.least("own", "other"), F.lit(0)).alias("i"), F.coalesce(F.greatest("own", "other"), F.lit(0)).alias("j"))
+        rows = rows.withColumn("i", F.coalesce(F.least("own", "other"), F.lit(0))).withColumn("j", F.coalesce(F.greatest("own", "other"), F.lit(0))).drop("k", "own", "other")
 
     def run(key, tab):
-        tab = tab.sort_by([("leaf", "ascending"), ("i", "ascending"), ("j", "ascending"), ("lives", "descending"), ("fp", "ascending")])
+        tab = tab.sort_by([("leaf", "ascending"), ("i", "ascending"), ("j", "ascending"), ("lives", "descending"), *((w, "ascending") for w in words)])
         place = np.stack([tab.column(c).to_numpy() for c in ("leaf", "i", "j")])
-        fp, lives = tab.column("fp").to_numpy().view(np.uint64), tab.column("lives").to_numpy()
+        fp = np.stack([tab.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+        node, lives = tab.column("node").to_numpy(), tab.column("lives").to_numpy()
         edges = np.flatnonzero(np.any(place[:, 1:] != place[:, :-1], axis=0)) + 1
-        left, right = [], []
+        left, right = [node[:0]], [node[:0]]
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)]):
             n = int(lives[a:b].sum())
             if n and b - a > 1:
-                u, v = forest(fp[a : a + n], fp[a + n : b], radius)
-                left.append(u), right.append(v)
-        u, v = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (left, right))
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+                u, v = forest(fp[a:b], n, radius, limit)
+                left.append(node[a + u]), right.append(node[a + v])
+        return pa.table({"u": np.concatenate(left), "v": np.concatenate(right)})
 
     bucket = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(buckets))
     return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "u long, v long").filter("u <> v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """doc_id, fp, component_id of every document; components over links of at most ``radius`` bits.
+def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 13, words: int = 4, differ: float = 0.2, groups: int = 7, bits: int = 1, repeats: bool = False) -> DataFrame:
+    """doc_id, w0 and component_id of every document.
 
-    A null text counts as empty and has fingerprint zero; documents with equal fingerprints belong
-    together. component_id is the smallest doc_id of the component (null only where all its ids are
-    null). Repeated rows are repeated; an empty table gives an empty result.
+    Two texts are linked if at most ``radius`` bits of their first fingerprint word differ and at most
+    the part ``differ`` of the bits of all words: a similarity of 1 - differ or more. A null text counts
+    as empty and has fingerprint zero; documents with equal fingerprints belong together. component_id is
+    the smallest doc_id of the component (null only where all its ids are null). Repeated rows are
+    repeated; an empty table gives an empty result; other columns are ignored.
     """
-    marked = cut(fingerprints(docs, shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(classes.select("fp"), radius))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    own = names(words)
+    node = F.col("w0") if words == 1 else F.xxhash64(*own)
+    marked = cut(fingerprints(docs, shingle, words, repeats).withColumn("node", node))
+    classes = cut(marked.groupBy(*own, "node").agg(F.min("doc_id").alias("least")))
+    total = radius if words == 1 else int(64 * words * differ)
+    roots = connected_components(near_links(classes.select(*own, "node"), radius, total, groups, bits))
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
+    return marked.join(named, "node").select("doc_id", "w0", "component_id")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id."""
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return near_duplicates(docs, shingle, radius).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id, over links of at most ``radius`` bits of one word."""
+    hexed = F.lower(F.lpad(F.hex("w0"), 16, "0"))
+    found = near_duplicates(docs, shingle, radius, words=1, groups=3, bits=3, repeats=True)
+    return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
