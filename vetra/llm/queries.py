@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetra.llm import exactdedup, langid, mixing, packing, simhash, tokencount
+from vetra.llm import exactdedup, langid, licenses, mixing, packing, simhash, substring, tokencount
 from vetra.llm.common import table
 
 
@@ -34,13 +34,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"), k=13)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_mixing, op3_exact_dedup, op4_language_id, op5_token_counts, op10_simhash)
+    for f in (
+        op1_best_fit_packing, op2_mixing, op3_exact_dedup, op4_language_id, op5_token_counts, op7_license_scan,
+        op8_substring_dedup, op10_simhash,
+    )
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
