@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetra.llm import exactdedup, langid, licenses, mixing, packing, simhash, substring, tokencount
+from vetra.llm import exactdedup, langid, licenses, mixing, ngramlm, packing, simhash, substring, tokencount
 from vetra.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"), k=13)
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -50,7 +54,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_mixing, op3_exact_dedup, op4_language_id, op5_token_counts, op7_license_scan,
-        op8_substring_dedup, op10_simhash,
+        op8_substring_dedup, op9_lm_scores, op10_simhash,
     )
 }
 
