@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetra.llm import exactdedup, langid, licenses, mixing, ngramlm, packing, simhash, substring, tokencount
+from vetra.llm import exactdedup, langid, licenses, mixing, neighbours, ngramlm, packing, simhash, substring, tokencount
 from vetra.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), divisor=100, k=10)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_mixing, op3_exact_dedup, op4_language_id, op5_token_counts, op7_license_scan,
+        op1_best_fit_packing, op2_mixing, op3_exact_dedup, op4_language_id, op5_token_counts, op6_nearest_neighbours, op7_license_scan,
         op8_substring_dedup, op9_lm_scores, op10_simhash,
     )
 }
