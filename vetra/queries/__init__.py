@@ -1,6 +1,6 @@
 """Registered queries by family: QUERIES maps a name to a callable, ORACLES to DuckDB SQL."""
 
-from __future__ import annotations
+from vetra.queries import vectors  # noqa: F401
+from vetra.queries.base import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
