@@ -117,8 +117,8 @@ def phash_bits(canvas: Column, side: int, low: int) -> Column:
     cells = F.sequence(F.lit(0), F.lit(side * side - 1))
 
     def coefficient(s: Column) -> Column:
-        up, across = F.get(matrix, (s / low).cast("int")), F.get(matrix, s % low)
-        return total(F.transform(cells, lambda i: F.get(canvas, i) * F.get(up, (i / side).cast("int")) * F.get(across, i % side)))
+        part = lambda up, across: total(F.transform(cells, lambda i: F.get(canvas, i) * F.get(up, (i / side).cast("int")) * F.get(across, i % side)))
+        return let(F.get(matrix, (s / low).cast("int")), lambda up: let(F.get(matrix, s % low), lambda across: part(up, across)))
 
     return F.transform(spots, coefficient)
 
