@@ -145,8 +145,11 @@ class Models:
             else:
                 self.bounds[:, k] = np.inf, 0, 0
 
-    def scorer(self, memo: int = 4_000_000):
-        """texts -> (language index or -1, score, cross-entropy, rejected), with a bounded memo of words."""
+    def scorer(self, memo: int = 1_200_000, chunk: int = 1_000_000):
+        """texts -> (language index or -1, score, cross-entropy, rejected), with a bounded memo of words.
+
+        About ``chunk`` characters are taken apart at a time, so that a batch of long texts stays small.
+        """
         room = max(10_000, memo // max(4, len(self.languages)))
         place: dict[str, int] = {}
         width = len(self.languages)
@@ -154,6 +157,16 @@ class Models:
         used = 0
 
         def score(texts: list[str]):
+            parts, at, size = [], 0, 0
+            for i, t in enumerate(texts):
+                size += len(t or "")
+                if size > chunk:
+                    parts.append(some(texts[at : i + 1]))
+                    at, size = i + 1, 0
+            parts.append(some(texts[at:]))
+            return tuple(np.concatenate(column) for column in zip(*parts))
+
+        def some(texts: list[str]):
             nonlocal known, used
             rows = [WORD.findall(t.lower()) if t else [] for t in texts]
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -179,9 +192,9 @@ class Models:
                     used += len(part)
                 lacking = np.flatnonzero(at < 0)
                 at[lacking] = [place[flat[i]] for i in lacking.tolist()]
-                some = np.flatnonzero(sizes)
-                starts = np.concatenate([[0], sizes.cumsum()[:-1]])[some]
-                total[some] = np.add.reduceat(known[at].astype(np.float64), starts, axis=0)
+                filled = np.flatnonzero(sizes)
+                starts = np.concatenate([[0], sizes.cumsum()[:-1]])[filled]
+                total[filled] = np.add.reduceat(known[at].astype(np.float64), starts, axis=0)
             length = total[:, width]
             empty = length == 0
             if not width:
