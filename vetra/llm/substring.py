@@ -99,12 +99,13 @@ class _Routes:
                 self.gone.append((*entry[0], entry[1], entry[1] + entry[2] + self.k - 1))
             else:
                 per.setdefault(entry[3], []).append((packed, entry))
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         keys, blobs = [], []
         for bucket, items in per.items():
-            head = np.array([(e[0][0], e[0][1], e[1], e[2]) for _, e in items], np.int64)
+            head = np.array([(e[0][0], e[0][1], e[1], e[2]) for _, e in items], np.int64).T.copy()
+            head[0, 1:] -= head[0, :-1].copy()  # ids mostly rise, so their steps pack better; bytes lie in planes
             keys.append(bucket)
-            blobs.append(press.compress(np.int64(len(items)).tobytes() + head.T.tobytes() + b"\n".join(p for p, _ in items)))
+            blobs.append(press.compress(np.int64(len(items)).tobytes() + head.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes() + b"\n".join(p for p, _ in items)))
         for i in range(0, len(keys), 64):
             part = keys[i : i + 64]
             none = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
@@ -198,7 +199,9 @@ def _bucket(k: int):
         for data in tab.column("data").drop_null():
             raw = zstandard.ZstdDecompressor().decompress(data.as_py())
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            heads.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
+            head = np.frombuffer(raw, np.uint8, 32 * n, 8).reshape(4, 8, n).transpose(0, 2, 1).copy().view(np.int64)[:, :, 0]
+            head[0] = head[0].cumsum()
+            heads.append(head)
             words += raw[8 + 32 * n :].split()
         if not heads:
             return passed
@@ -217,13 +220,14 @@ def _bucket(k: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """id, mark, raw, doc_id. The mark tells rows that share an id apart; it is 0 where no id repeats."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("raw"), F.col("doc_id").cast("long").alias("doc_id"))
+    once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), (F.lit(0).cast("long") if once else F.xxhash64(text)).alias("mark"), text.cast("binary").alias("raw"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def repeated_spans(docs: DataFrame, k: int = 13, m: int = 3, bucket_bytes: int = 6_000_000, chunk: int = 1_500_000, flush: int = 60_000_000) -> DataFrame:
-    """id, mark, spans: the runs (a, b) of words, a included and b not, that windows repeated from smaller ids cover."""
-    keyed = _keyed(docs)
+def repeated_spans(keyed: DataFrame, k: int = 13, m: int = 2, bucket_bytes: int = 6_000_000, chunk: int = 1_500_000, flush: int = 60_000_000) -> DataFrame:
+    """Of ``keyed`` (id, mark, raw) id, mark, spans: the runs (a, b) of words, a included and b not, that windows repeated from smaller ids cover."""
     size = keyed.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     buckets = max(8, int(size * 3 // bucket_bytes))
     routed = keyed.select("id", "mark", "raw").mapInArrow(_route(buckets, k, m, chunk, flush), _ROUTED)
@@ -239,8 +243,9 @@ def substring_dedup(docs: DataFrame, k: int = 13, with_text: bool = False) -> Da
     the input. A null text has no words. Rows that repeat a doc_id aren't smaller than one another; a
     null doc_id is larger than any. An empty table gives an empty result; other columns are ignored.
     """
-    spans = repeated_spans(docs, k).hint("shuffle_hash")
-    joined = _keyed(docs).join(spans, ["id", "mark"], "left").select("doc_id", "raw", "spans")
+    keyed = _keyed(docs)
+    spans = repeated_spans(keyed, k).hint("shuffle_hash")
+    joined = keyed.join(spans, ["id", "mark"], "left").select("doc_id", "raw", "spans")
 
     def run(batches):
         for batch in batches:
