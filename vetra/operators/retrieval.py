@@ -27,7 +27,7 @@ def search(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     Every query meets the library within its own task; nothing is shuffled.
     """
     scored = lambda v: F.transform("refs", lambda r: F.struct((-dot(v, r["r"])).alias("far"), r["reference_id"].alias("reference_id"), r["class_name"].alias("class_name"), r["fragment_type"].alias("fragment_type")))
-    best = F.slice(F.array_sort(scored(F.col("v"))), 1, k)
+    best = F.slice(F.array_sort(let(F.col("v"), scored)), 1, k)
     ranked = F.transform(best, lambda m, i: F.struct((i + 1).alias("rank"), (-m["far"]).alias("similarity"), m["reference_id"].alias("reference_id"), m["class_name"].alias("class_name"), m["fragment_type"].alias("fragment_type")))
     return queries.join(F.broadcast(library(refs))).withColumn("matches", ranked).drop("refs")
 

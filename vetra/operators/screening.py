@@ -31,7 +31,7 @@ class Policy:
 
 def class_probabilities(v: Column, weights: Column, sharpness: float) -> Column:
     """Softmax over class weights (array of class_name, w, in name order), most probable first; ties in name order."""
-    logits = F.transform(weights, lambda c: F.struct(c["class_name"].alias("class_name"), (dot(v, c["w"]) * sharpness).alias("z")))
+    logits = let(v, lambda own: F.transform(weights, lambda c: F.struct(c["class_name"].alias("class_name"), (dot(own, c["w"]) * sharpness).alias("z"))))
 
     def soft(zs: Column) -> Column:
         top = F.array_max(F.transform(zs, lambda c: c["z"]))
