@@ -16,7 +16,7 @@ def longs(values: list[int]) -> Column:
 
 def take(canvas: Column, places: list[int]) -> Column:
     """The canvas at the given 0-based places."""
-    return F.transform(longs(places), lambda i: F.get(canvas, i))
+    return let(canvas, lambda c: F.transform(longs(places), lambda i: F.get(c, i)))
 
 
 def dihedral_places(side: int) -> list[list[int]]:
@@ -76,7 +76,7 @@ def tiles(rows: int, cols: int, grid: int) -> list[tuple[list[int], int, int]]:
 
 def tile_sharpness(canvas: Column, rows: int, cols: int, grid: int) -> Column:
     """Laplacian variance of each tile cut out on its own."""
-    return F.array(*[laplacian_variance(take(canvas, places), h, w) for places, h, w in tiles(rows, cols, grid)])
+    return let(canvas, lambda c: F.array(*[laplacian_variance(take(c, places), h, w) for places, h, w in tiles(rows, cols, grid)]))
 
 
 def brightness(canvas: Column) -> Column:
@@ -102,7 +102,7 @@ def pad_places(rows: int, cols: int) -> list[int]:
 
 def pad_to_square(canvas: Column, rows: int, cols: int) -> Column:
     spots = longs(pad_places(rows, cols))
-    return let(mean(canvas), lambda m: F.transform(spots, lambda i: F.when(i < 0, m).otherwise(F.get(canvas, F.greatest(i, F.lit(0))))))
+    return let(canvas, lambda c: let(mean(c), lambda m: F.transform(spots, lambda i: F.when(i < 0, m).otherwise(F.get(c, F.greatest(i, F.lit(0)))))))
 
 
 def dct_row(n: int, k: int) -> list[float]:
@@ -116,11 +116,11 @@ def phash_bits(canvas: Column, side: int, low: int) -> Column:
     spots = F.sequence(F.lit(0), F.lit(low * low - 1))
     cells = F.sequence(F.lit(0), F.lit(side * side - 1))
 
-    def coefficient(s: Column) -> Column:
+    def coefficient(canvas: Column, s: Column) -> Column:
         part = lambda up, across: total(F.transform(cells, lambda i: F.get(canvas, i) * F.get(up, (i / side).cast("int")) * F.get(across, i % side)))
         return let(F.get(matrix, (s / low).cast("int")), lambda up: let(F.get(matrix, s % low), lambda across: part(up, across)))
 
-    return F.transform(spots, coefficient)
+    return let(canvas, lambda c: F.transform(spots, lambda s: coefficient(c, s)))
 
 
 def bits_to_long(bits: Column) -> Column:

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PENDING = F.lit(None).cast("string")
-
-
 def begin(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("role", PENDING).withColumn("exclusion_reason", PENDING)
+    """No row has a role yet."""
+    return rows.withColumns({k: F.lit(None).cast("string") for k in ("role", "exclusion_reason")})
 
 
 def assign(rows: DataFrame, where: Column, role: str, why: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from vetra.operators import retrieval as R
 from vetra.operators import screening as S
 from vetra.queries.base import E_SQL, embeddings, query
 
-CAL, POL = S.Calibration(), S.Policy(0.3, 0.27, 0.62)
+CAL, POL = S.Calibration(k=3, threshold=0.84, boundary=0.78, risk_intercept=-19.5), S.Policy(0.3, 0.22, 0.8)
 MIN_BRIGHTNESS, MAX_CLIPPED = 0.49, 0.1
 
 
@@ -127,26 +127,30 @@ def predict_topk(spark, sf_dir):
     return rows.select("vec_id", "place", "t.class_name", F.round("t.probability", 8).alias("probability"))
 
 
-def _columns(name: str, sql: str, *columns):
-    """A query that is a projection of the screened rows."""
+def _columns(name: str, sql: str, columns):
+    """A query that is a projection of the screened rows; ``columns`` makes the expressions within a session."""
 
     def run(spark, sf_dir):
-        return screened(spark, sf_dir).select("vec_id", *columns)
+        return screened(spark, sf_dir).select("vec_id", *columns())
 
     run.__name__ = name
     query(S_SQL + f"SELECT vec_id, {sql} FROM s")(run)
 
 
-_columns("reference_distance", "round(distance, 8) AS distance", F.round("distance", 8).alias("distance"))
-_columns("unknown_status", "unknown_status", "unknown_status")
-_columns("unknown_risk", "round(unknown_risk, 8) AS unknown_risk", F.round("unknown_risk", 8).alias("unknown_risk"))
-_columns("agreement", "agreement, predicted_class, retrieved_class", "agreement", "predicted_class", "retrieved_class")
-_columns("reference_support", "round(reference_support, 8) AS reference_support", F.round("reference_support", 8).alias("reference_support"))
-_columns("evidence_strength", "round(strength, 8) AS strength", F.round("strength", 8).alias("strength"))
-_columns("decide", "decision", "decision")
+def _rounded(name: str):
+    return lambda: [F.round(name, 8).alias(name)]
+
+
+_columns("reference_distance", "round(distance, 8) AS distance", _rounded("distance"))
+_columns("unknown_status", "unknown_status", lambda: ["unknown_status"])
+_columns("unknown_risk", "round(unknown_risk, 8) AS unknown_risk", _rounded("unknown_risk"))
+_columns("agreement", "agreement, predicted_class, retrieved_class", lambda: ["agreement", "predicted_class", "retrieved_class"])
+_columns("reference_support", "round(reference_support, 8) AS reference_support", _rounded("reference_support"))
+_columns("evidence_strength", "round(strength, 8) AS strength", _rounded("strength"))
+_columns("decide", "decision", lambda: ["decision"])
 _columns(
     "decision_checks", "ok_confidence, ok_similarity, ok_risk, ok_agreement, ok_quality",
-    *[F.col("checks")[i]["passed"].alias(f"ok_{n}") for i, n in enumerate(("confidence", "similarity", "risk", "agreement", "quality"))],
+    lambda: [F.col("checks")[i]["passed"].alias(f"ok_{n}") for i, n in enumerate(("confidence", "similarity", "risk", "agreement", "quality"))],
 )
 
 
