@@ -62,11 +62,12 @@ def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[
     ``targets`` has each dimension's shares by value; values without one, and null, are ``other``
     (share 0 unless given, so such documents are not taken). ``share`` is the part of all tokens to
     take. A null text has no tokens; cells without tokens are kept whole. Rows that repeat an id get
-    one decision; a null id draws by its text. An empty table gives an empty result.
+    one decision; a null id draws by its text. Columns of those names are replaced. An empty table gives an empty result.
     """
     if prod(len(t) + 1 for t in targets.values()) > MOST_CELLS:
         raise ValueError("too many combinations of targets to broadcast")
     names = {k: f"mix_{k}" for k in dimensions}
+    docs = docs.drop("mix_probability", "mix_kept")
     marked = docs.withColumns({names[k]: _class(c, targets[k]) for k, c in dimensions.items()} | {"mix_tokens": word_count(F.col("text"))})
     cells = cut(marked.groupBy(*names.values()).agg(F.sum("mix_tokens").alias("tokens")))
     fitted = cut(fit_cells(cells, {names[k]: targets[k] for k in dimensions}, share, rounds))
