@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetra.llm import exactdedup, langid, mixing, packing, simhash
+from vetra.llm import exactdedup, langid, mixing, nearcopies, packing
 from vetra.llm.common import shared_path, table
 
 #: Part of the words that the mix takes.
@@ -26,11 +26,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (similarity 0.8 or more on five-word shingles), the one with the smallest doc_id stays.
+    """Of near copies (Jaccard similarity 0.8 or more of distinct five-word shingles), the one with the smallest doc_id stays.
 
     Ids name documents here: rows that share an id go or stay together; rows without one stay.
     """
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id"))
+    found = nearcopies.near_copies(docs).filter(F.col("doc_id") != F.col("component_id"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
