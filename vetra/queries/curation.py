@@ -248,14 +248,20 @@ def leakage_check(spark, sf_dir):
 
 
 def benchmark_pairs(docs, items, k=8):
-    """Documents that contain a whole passage: they meet by a hash of its first ``k`` words, then the text decides."""
-    words = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+    """Documents that contain a whole passage: they meet by a hash of ``k`` of its inner words, then the text decides.
+
+    Words are runs of letters and digits. A passage's first and last word may be parts of longer ones in the
+    document, whatever stands around it; those between are whole in both. Shorter passages are held against every text.
+    """
+    words = lambda t: F.filter(F.split(t, r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), lambda w: w != "")
     key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
-    passages = items.select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).filter(F.size("w") >= k).select("item_id", "passage", key(F.col("w"), F.lit(1)).alias("key"))
+    split = items.select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).filter("passage IS NOT NULL")
+    passages = split.filter(F.size("w") >= k + 2).select("item_id", "passage", key(F.col("w"), F.lit(2)).alias("key"))
     heads = lambda w: F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: key(w, i))))
     spread = docs.select("doc_id", let(words(F.col("text")), heads).alias("keys"))
     met = spread.select("doc_id", F.explode("keys").alias("key")).join(passages, "key").join(docs.select("doc_id", "text"), "doc_id")
-    return met.filter(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+    short = docs.select("doc_id", "text").join(F.broadcast(split.filter(F.size("w") < k + 2).select("item_id", "passage")), F.contains("text", "passage"))
+    return met.filter(F.contains("text", "passage")).select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
 
 
 @query("SELECT DISTINCT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
