@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the sampling by calibrated probabilities takes."""
-    return mixing.mix(docs, mixing.document_dimensions(), mixing.TARGETS, SHARE).filter("mix_kept").select(docs.columns)
+    """Documents that the sampling by calibrated probabilities takes; sources and languages without a target keep their share."""
+    return mixing.mix(docs, mixing.document_dimensions(), mixing.TARGETS, SHARE, whole=True).filter("mix_kept").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

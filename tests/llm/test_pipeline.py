@@ -48,3 +48,15 @@ def test_oracles(spark, sf_dir):
 
     for name, sql in ORACLES.items():
         same(spark, QUERIES[name], sql, sf_dir)
+
+
+def test_classes_without_a_target_are_mixed_too(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, "it").otherwise(F.col("lang")))
+    odd = odd.withColumn("source", F.when(F.col("doc_id") % 2 == 0, "new").otherwise(F.col("source")))
+    kept = corpus_pipeline.mix_to_targets(spark, odd, sf_dir)
+    assert {(r.doc_id % 3, r.doc_id % 2) for r in kept.collect()} == {(a, b) for a in range(3) for b in range(2)}
+    rows = mixing.mix(odd, mixing.document_dimensions(), mixing.TARGETS, corpus_pipeline.SHARE, whole=True)
+    assert rows.agg(F.min("mix_probability")).first()[0] > 0

@@ -45,22 +45,31 @@ def _target(cls: Column, targets: dict[str, float]) -> Column:
     return out
 
 
-def fit_cells(cells: DataFrame, targets: dict[str, dict[str, float]], share: float, rounds: int) -> DataFrame:
+def _whole_target(k: str, targets: dict[str, float]) -> Column:
+    """Targets with a share for ``other``: the part of all tokens that it has; the others give way in proportion."""
+    spare = F.coalesce(F.try_divide(F.sum(F.when(F.col(k) == OTHER, F.col("tokens")).otherwise(0)).over(W.partitionBy()), F.sum("tokens").over(W.partitionBy())), F.lit(0.0))
+    return F.when(F.col(k) == OTHER, spare).otherwise(_target(F.col(k), targets) * (F.lit(1.0) - spare))
+
+
+def fit_cells(cells: DataFrame, targets: dict[str, dict[str, float]], share: float, rounds: int, whole: bool = False) -> DataFrame:
     """``cells`` (a class column per dimension, tokens) with probability, the part of its tokens to take."""
-    w = cells.repartition(1).withColumn("goal", F.sum("tokens").over(W.partitionBy()) * F.lit(share)).withColumn("w", F.col("tokens").cast("double"))
+    aims = {k: f"{k}_aim" for k in targets}
+    cells = cells.repartition(1).withColumns({aims[k]: _whole_target(k, own) if whole and OTHER not in own else _target(F.col(k), own) for k, own in targets.items()})
+    w = cells.withColumn("goal", F.sum("tokens").over(W.partitionBy()) * F.lit(share)).withColumn("w", F.col("tokens").cast("double"))
     for _ in range(rounds):
-        for k, own in targets.items():
+        for k, aim in aims.items():
             total = F.sum("w").over(W.partitionBy(k))
-            w = w.withColumn("w", F.coalesce(F.try_divide(F.col("w") * _target(F.col(k), own) * F.col("goal"), total), F.lit(0.0)))
+            w = w.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(aim) * F.col("goal"), total), F.lit(0.0)))
         w = w.withColumn("w", F.least("w", F.col("tokens").cast("double")))
     return w.select(*targets, F.round(F.coalesce(F.try_divide("w", F.col("tokens").cast("double")), F.lit(1.0)), 9).alias("probability"))
 
 
-def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[str, float]], share: float = 0.5, rounds: int = 8, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[str, float]], share: float = 0.5, rounds: int = 8, seed: int = 7, whole: bool = False) -> DataFrame:
     """``docs`` with mix_<dimension>, mix_tokens, mix_probability and mix_kept; no row is dropped here.
 
     ``targets`` has each dimension's shares by value; values without one, and null, are ``other``
-    (share 0 unless given, so such documents are not taken). ``share`` is the part of all tokens to
+    (share 0 unless given, so such documents are not taken; with ``whole`` the share of tokens that they
+    have, and the given shares are of the rest). ``share`` is the part of all tokens to
     take. A null text has no tokens; cells without tokens are kept whole. Rows that repeat an id get
     one decision; a null id draws by its text. Columns of those names are replaced. An empty table gives an empty result.
     """
@@ -70,7 +79,7 @@ def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[
     docs = docs.drop("mix_probability", "mix_kept")
     marked = docs.withColumns({names[k]: _class(c, targets[k]) for k, c in dimensions.items()} | {"mix_tokens": word_count(F.col("text"))})
     cells = cut(marked.groupBy(*names.values()).agg(F.sum("mix_tokens").alias("tokens")))
-    fitted = cut(fit_cells(cells, {names[k]: targets[k] for k in dimensions}, share, rounds))
+    fitted = cut(fit_cells(cells, {names[k]: targets[k] for k in dimensions}, share, rounds, whole))
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     out = marked.join(F.broadcast(fitted.withColumnRenamed("probability", "mix_probability")), list(names.values()))
     return out.withColumn("mix_kept", uniform(key, seed) < F.col("mix_probability"))
