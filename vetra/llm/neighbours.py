@@ -4,11 +4,11 @@ Equal vectors are one node, so a vector that a third of the rows share costs no
 each node keeps its smallest ids, as many as an answer can name. The graph starts from exact
 neighbours within random groups. Then, round by round, every node brings its neighbours and those it is
 a neighbour of together, and each of them is offered the nearest of the others (a join of neighbours of
-neighbours on the node they share); nodes keep the best. Vectors travel as bytes with a scale; distances
+neighbours on the node they share); nodes keep the best, until hardly a link changes. Vectors travel as bytes with a scale; distances
 in an answer are computed from the original components in double precision.
 
 Queries start at their own neighbours and expand the nearest nodes not yet expanded, hop by hop, keeping
-the best ``beam``. All rows are in the graph; recall is measured in the tests.
+the best ``beam``, until none of those is open. All rows are in the graph; recall is measured in the tests.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from pyspark.sql import Window as W
 from vetra.llm.common import cut
 
 _LINK = "a long, b long, d double"
+_FRESH = _LINK + ", fresh boolean"
+#: Rounds or hops after which a search that has not settled fails.
+MOST_ROUNDS = 60
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -84,20 +87,20 @@ def _local_join(offers: int):
 
 
 def _best(keep: int):
-    """For links a, b, d grouped by a bucket of a: each a's ``keep`` nearest, every b once."""
+    """For links a, b, d, fresh grouped by a bucket of a: each a's ``keep`` nearest, every b once; a known link is not fresh."""
 
     def run(key, tab):
-        a, b, d = (tab.column(c).to_numpy() for c in ("a", "b", "d"))
-        order = np.lexsort((d, b, a))
-        a, b, d = a[order], b[order], d[order]
+        a, b, d, fresh = (tab.column(c).to_numpy() for c in ("a", "b", "d", "fresh"))
+        order = np.lexsort((d, fresh, b, a))
+        a, b, d, fresh = a[order], b[order], d[order], fresh[order]
         once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b, d = a[once], b[once], d[once]
+        a, b, d, fresh = a[once], b[once], d[once], fresh[once]
         order = np.lexsort((b, d, a))
-        a, b, d = a[order], b[order], d[order]
+        a, b, d, fresh = a[order], b[order], d[order], fresh[order]
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         rank = np.arange(len(a)) - np.repeat(first, np.diff([*first, len(a)]))
         top = rank < keep
-        return pa.table({"a": a[top], "b": b[top], "d": d[top]})
+        return pa.table({"a": a[top], "b": b[top], "d": d[top], "fresh": fresh[top]})
 
     return run
 
@@ -113,8 +116,11 @@ def _both_ways(graph: DataFrame, keep: int) -> DataFrame:
     return graph.select(F.col("a").alias("u"), F.col("b").alias("v")).union(back.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
 
 
-def neighbour_graph(nodes: DataFrame, keep: int = 24, rounds: int = 5, offers: int = 10, starts: int = 3, group: int = 64, per_bucket: int = 4_000) -> DataFrame:
-    """NN-descent over ``nodes`` (node, vec): links a -> b at about squared distance d, ``keep`` a node."""
+def neighbour_graph(nodes: DataFrame, keep: int = 24, settled: float = 0.001, offers: int = 10, starts: int = 3, group: int = 64, per_bucket: int = 4_000) -> DataFrame:
+    """NN-descent over ``nodes`` (node, vec): links a -> b at about squared distance d, ``keep`` a node.
+
+    Rounds end once at most the part ``settled`` of the links is new; it fails if that takes too many.
+    """
     codes = cut(_codes(nodes))
     n = codes.count()
     buckets = max(1, -(-n // per_bucket))
@@ -123,14 +129,18 @@ def neighbour_graph(nodes: DataFrame, keep: int = 24, rounds: int = 5, offers: i
     some = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(s)), F.lit(groups)) * starts + s for s in range(starts)]))
     seeds = codes.select(some.alias("u"), F.col("node").alias("v"), "code", F.lit(float("inf")).alias("worst"))
     links = seeds.groupBy(_bucket("u", buckets)).applyInArrow(_local_join(-(-keep // starts)), _LINK)
-    graph = cut(links.groupBy(_bucket("a", buckets)).applyInArrow(_best(keep), _LINK))
-    for r in range(rounds):
+    best = lambda rows: cut(rows.groupBy(_bucket("a", buckets)).applyInArrow(_best(keep), _FRESH))
+    graph = best(links.withColumn("fresh", F.lit(True)))
+    for r in range(MOST_ROUNDS):
         full = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) >= keep, F.max("d")).otherwise(float("inf")).alias("worst"))
         known = codes.join(full, F.col("node") == F.col("a"), "left").select("node", "code", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
         met = _both_ways(graph, keep).join(known, F.col("v") == F.col("node")).select("u", "v", "code", "worst")
         offered = met.groupBy(_bucket("u", buckets)).applyInArrow(_local_join(offers if r else 3), _LINK)
-        graph = cut(graph.union(offered).groupBy(_bucket("a", buckets)).applyInArrow(_best(keep), _LINK))
-    return graph
+        graph = best(graph.withColumn("fresh", F.lit(False)).union(offered.withColumn("fresh", F.lit(True))))
+        new, held = graph.agg(F.count_if("fresh"), F.count(F.lit(1))).first()
+        if r and new <= settled * held:  # the first round offers less
+            return graph.drop("fresh")
+    raise RuntimeError(f"neighbours have not settled in {MOST_ROUNDS} rounds")
 
 
 def _distances(left, right):
@@ -149,14 +159,17 @@ def _distances(left, right):
     return pa.table({"q": np.concatenate(q), "v": np.concatenate(v), "d": np.concatenate(d)})
 
 
-def graph_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, keep: int = 24, beam: int = 400, hops: int = 4, per_bucket: int = 4_000) -> DataFrame:
-    """q, v, d: for each query node q of ``queries`` (q, vec) up to ``beam`` near nodes, by exact distance; not q itself."""
+def graph_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, keep: int = 24, beam: int = 400, per_bucket: int = 4_000) -> DataFrame:
+    """q, v, d: for each query node q of ``queries`` (q, vec) up to ``beam`` near nodes, by exact distance; not q itself.
+
+    It ends when every node of the beams has been expanded, and fails if that takes too many hops.
+    """
     links = cut(_both_ways(graph, keep))
     buckets = max(1, -(-nodes.count() // per_bucket))
     goals = queries.select("q", F.col("vec").alias("goal"))
     placed = nodes.select("node", "vec", _bucket("node", buckets).alias("bucket"))
     frontier, pool = queries.select("q", F.col("q").alias("u")), None
-    for _ in range(hops + 1):
+    for _ in range(MOST_ROUNDS):
         found = frontier.join(links, "u").select("q", F.col("v").alias("w")).filter("q <> w").distinct()
         asked = found.groupBy("q", _bucket("w", buckets).alias("bucket")).agg(F.collect_list("w").alias("ws")).join(goals, "q").select("q", "goal", "ws", "bucket")
         near = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_distances, "q long, v long, d double").withColumn("open", F.lit(True))
@@ -166,11 +179,11 @@ def graph_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, keep: i
         best = cut(near.withColumn("nth", nth).filter(F.col("nth") <= beam).drop("nth"))
         pool, frontier = best.select("q", "v", "d"), best.filter("open").select("q", F.col("v").alias("u"))
         if frontier.isEmpty():
-            break
-    return pool
+            return pool
+    raise RuntimeError(f"beams have not settled in {MOST_ROUNDS} hops")
 
 
-def nearest(vectors: DataFrame, divisor: int = 100, k: int = 10, keep: int = 24, rounds: int = 5, beam: int = 400, hops: int = 4) -> DataFrame:
+def nearest(vectors: DataFrame, divisor: int = 100, k: int = 10, keep: int = 24, beam: int = 400) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every vec_id that ``divisor`` divides.
 
     Rows with a null id, and vectors null, zero, holding a null or a non-finite component, or of another
@@ -182,11 +195,11 @@ def nearest(vectors: DataFrame, divisor: int = 100, k: int = 10, keep: int = 24,
     nth = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
     few = rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
     nodes = cut(few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).select(F.col("members")[0].alias("node"), "vec", "members"))
-    graph = neighbour_graph(nodes, keep, rounds)
+    graph = neighbour_graph(nodes, keep)
     asks = rows.filter(F.col("vec_id") % divisor == 0).join(nodes.select("vec", "node"), "vec").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
     asks = cut(asks)
     queries = cut(asks.select("q").distinct().join(nodes.select(F.col("node").alias("q"), "vec"), "q"))
-    found = graph_search(nodes, graph, queries, keep, beam, hops)
+    found = graph_search(nodes, graph, queries, keep, beam)
     nth = F.row_number().over(W.partitionBy("q").orderBy("d", "v"))
     top = found.withColumn("nth", nth).filter(F.col("nth") <= k).select("q", "v", "d")
     own = queries.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"))  # copies of the query's vector
