@@ -49,7 +49,7 @@ def around(changes=(1, 2, 3, 4, 5, 6, 7, 9), bases=25, words=200):
     return list(enumerate(map(" ".join, rows)))
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 3}, {"large": 4, "most": 3}])
+@pytest.mark.parametrize("limits", [{}, {"most": 3}, {"most_shingles": 500, "task_shingles": 3_000}])
 def test_components(spark, limits):
     rows = around()
     want, alike = brute(rows)
@@ -70,6 +70,29 @@ def test_stage_keeps_what_is_under_and_drops_what_is_over(spark, sf_dir):
     assert kept == {i for i, c in want.items() if i == c} and 10 < len(rows) - len(kept) < len(rows) // 2
 
 
+def test_a_large_group_in_parts(spark):
+    """Candidates that aren't all alike, over blocks: representatives do not settle it, blocks meet pair by pair."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for _ in range(60):  # a chain: each changes one word more, so far ends are unlike
+        base = list(base)
+        base[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+        rows.append(" ".join(base))
+    rows = list(enumerate(rows))
+    groups = spark.createDataFrame([(0, i, 196) for i, _ in rows], "grp long, node long, n long")
+    sets = spark.createDataFrame([(i, bytearray(nearcopies.shingles(t.encode(), 5).tobytes())) for i, t in rows], "node long, own binary")
+    links = nearcopies.exact_links(groups, sets, 0.97, 7, 10**6, 10**6)
+    got = {r.node: r.root for r in nearcopies.connected_components(links).collect()}
+    own, root = [grams(t) for _, t in rows], list(range(60))
+    for i in range(60):
+        for j in range(i + 1, 60):
+            if len(own[i] & own[j]) >= 0.97 * len(own[i] | own[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert {i: got.get(i, i) for i in range(60)} == dict(enumerate(root)) and 1 < len(set(root)) < 60
+
+
 def test_odd_rows(spark):
     rows = [(4, None), (2, ""), (None, "a b"), (7, "A  b"), (9, "c"), (9, "c")]
     got = sorted(map(tuple, nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)

@@ -273,18 +273,30 @@ def test_simhash(spark, docs, empty):
         h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
         return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
-    known = {i: t for i, t in texts() if i is not None and i != 5}
-    fps = {i: brute(t) for i, t in known.items()}
-    want = components_of(fps, 4)
-    rows = simhash.simhash_components(docs.filter("doc_id IS NOT NULL AND doc_id <> 5")).collect()
-    assert {(r.doc_id, r.fingerprint, r.component_id) for r in rows} == {(i, f"{fps[i]:016x}", want[i]) for i in fps}
-    assert simhash.simhash_components(docs).count() == len(texts()) and simhash.simhash_components(empty).count() == 0
+    # every row is a node of its own; null and repeated ids take part like any other
+    fps = [(i, brute(t)) for i, t in texts()]
+    root = components_of({k: f for k, (_, f) in enumerate(fps)}, 4)
+    least = {}
+    for k, (i, _) in enumerate(fps):
+        least[root[k]] = min((x for x in (least.get(root[k]), i) if x is not None), default=None)
+    want = collections.Counter((i, f"{f:016x}", least[root[k]]) for k, (i, f) in enumerate(fps))
+    assert collections.Counter(map(tuple, simhash.simhash_components(docs).collect())) == want
+    assert simhash.simhash_components(empty).count() == 0
+
+
+def test_simhash_of_a_very_long_text():
+    import xxhash
+
+    words = [f"w{i % 977}" for i in range(400_000)]
+    h = np.array([xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42) for k in range(len(words) - 3)], np.uint64)
+    want = sum(1 << b for b in range(64) if int((h >> np.uint64(b) & np.uint64(1)).sum()) * 2 > len(h))
+    assert simhash.fingerprint(" ".join(words).encode(), 4) == want
 
 
-@pytest.mark.parametrize("radius,groups,bits,most", [(4, 3, 3, 50_000), (4, 3, 3, 20), (13, 7, 1, 50_000), (4, 5, 2, 60)])
-def test_every_link_is_spanned(spark, radius, groups, bits, most):
+@pytest.mark.parametrize("radius,groups,per_shard,most", [(4, 3, 4_096, 50_000), (4, 3, 100, 50_000), (4, 3, 100, 60), (13, 7, 200, 50_000), (4, 5, 50, 60), (4, 2, 60, 10_000)])
+def test_every_link_is_spanned(spark, radius, groups, per_shard, most):
     rng, found = random.Random(radius), set()
-    for _ in range(150):
+    for _ in range(250):
         base = rng.getrandbits(64)
         for _ in range(rng.choice([1, 1, 3, 25])):
             x = base
@@ -293,7 +305,32 @@ def test_every_link_is_spanned(spark, radius, groups, bits, most):
             found.add(x)
     signed = np.array(sorted(found), np.uint64).view(np.int64).tolist()
     fps = spark.createDataFrame([(v, v) for v in signed], "w0 long, node long")
-    links = simhash.near_links(fps, radius, None, groups, bits, shard=500, most=most)
+    links = simhash.near_links(fps, simhash.bit_groups(groups), radius // groups, radius, per_shard=per_shard, task_rows=500, most=most)
     roots = {r.node: r.root for r in components.connected_components(links).collect()}
     want = components_of({v: v & (2**64 - 1) for v in signed}, radius)
     assert {v: roots.get(v, v) for v in signed} == want
+
+
+def test_vantage_point_tree():
+    """Radii are medians of distances to a point of the data, and what lies within reach shares a leaf."""
+    rng = np.random.default_rng(4)
+    points = rng.integers(0, 2**21, 4_000, np.uint64)
+    vantage, radius = tree = simhash.grow(points, 1, 5)
+    assert set(vantage.tolist()) <= set(points.tolist()) and len(vantage) == 31 and (radius < simhash.WHOLE).all()
+    leaf, who = simhash.visit(points, 1, tree)
+    assert set(who.tolist()) == set(range(4_000)) and len(leaf) < 4 * len(points)
+    assert np.bincount(leaf, minlength=32).max() < 0.25 * len(points)
+    of = [set() for _ in points]
+    for a, b in zip(leaf.tolist(), who.tolist()):
+        of[b].add(a)
+    for i in range(200):
+        for j in np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 1).tolist():
+            assert of[i] & of[j]
+
+
+def test_a_crowd_of_equal_keys_is_walked():
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 2**64, (900, 1), np.uint64)
+    fp[300:] = fp[0] ^ (np.uint64(1) << rng.integers(0, 64, (600, 1)).astype(np.uint64))
+    u, v = simhash.shard_links(fp, np.zeros(900, np.uint64), 1, 4)
+    assert len(u) == len(v) >= len(np.unique(fp[300:])) and (np.bitwise_count(fp[u] ^ fp[v]) <= 4).all()

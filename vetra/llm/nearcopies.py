@@ -1,11 +1,16 @@
-"""Near copies by the exact Jaccard similarity of distinct word shingles.
-
-MinHash bands only find candidates: two sets meet if all minima of one band agree. With 32 bands of four
-a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 32, under 5e-8, and rarer above.
-Candidates form groups (components of the bands' stars), and within a group every two sets are compared
-exactly, breadth-first: a set that is reached is not held against its own component again. A group too
-large for one task is cut into blocks that meet pair by pair; one of very many sets falls back to its
-single bands, so no set is dropped and no comparison of candidates is left out. Equal sets are one node.
+"""Near copies: candidates by SimHash and its vantage-point trees, each checked by exact Jaccard similarity.
+
+Two texts at a Jaccard similarity of 0.8 differ in about 15 % of the bits of a SimHash over their distinct
+shingles. A radius that wide in one 64-bit word would leave trees nothing to prune. So the fingerprint has
+``WORDS`` words, cut into groups of 16 bits, each with a tree of reach one: a pair at 0.8 lies within reach
+in a given group with probability 0.28 (0.37 at 0.85, 0.50 at 0.9), in none of the 28 with 1e-4 (3e-6,
+5e-9). Found pairs must also agree in all but ``LIMIT`` of the first 128 bits (on average 19 differ at
+0.8, 64 for unlike texts).
+
+Candidates form groups. Within a group sets are compared exactly, breadth-first: a set that is reached is
+not held against its own component again. A group too large for one task is cut into blocks: sets are
+compared within their block, then representatives of the components with each other, and only if that
+leaves a group in several parts, block by block. Equal sets are one node, so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -17,61 +22,57 @@ from pyspark.sql import functions as F
 
 from vetra.llm.common import cut
 from vetra.llm.components import connected_components
-from vetra.llm.simhash import SEED
+from vetra.llm.simhash import SEED, bit_groups, majority, near_links
 
-BANDS, ROWS = 32, 4
-_DRAWN = np.random.default_rng(SEED)
-_XOR = _DRAWN.integers(0, 2**64, BANDS * ROWS, np.uint64)
-_TIMES = _DRAWN.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+WORDS, GROUPS, REACH, CHECK, LIMIT = 7, 4, 1, 2, 36
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def shingles(raw: bytes, n: int) -> np.ndarray:
-    """Sorted XXH64 of the distinct shingles of ``n`` words of ``raw`` (UTF-8), A-Z lower-cased; a shorter text is one shingle."""
+    """Sorted 64-bit hashes of the distinct shingles of ``n`` words of ``raw`` (UTF-8), A-Z lower-cased; a shorter text is one shingle."""
     import xxhash
 
     parts = raw.lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    if len(parts) <= n:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    starts = np.concatenate([[0], ends[:-n]])
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[n - 1 :] - 1).tolist())), np.uint64, len(starts)))
-
+    word = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    width = min(n, len(word))
+    total = np.full(len(word) - width + 1, len(word) if len(word) < n else n, np.uint64)
+    for j in range(width):
+        total = _scramble(total * _MIX + word[j : len(word) - width + 1 + j])
+    return np.unique(total)
 
-def bands(own: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band; none for an empty set."""
-    import xxhash
 
-    if not len(own):
-        return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(own), 2048):
-        h = (own[i : i + 2048, None] ^ _XOR) * _TIMES
-        h ^= h >> np.uint64(32)
-        h *= _TIMES
-        least = np.minimum(least, h.min(axis=0))
-    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """``WORDS`` words: the SimHash of as many hashes of each shingle."""
+    return majority(_scramble(own[:, None] + np.arange(WORDS, dtype=np.uint64) * _MIX))
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, place (a hash of the text), node (a hash of its set), n (the set's size) and keys of every document."""
+    """doc_id, place (a hash of the text), node (a hash of its set), n (the set's size) and the fingerprint of every document."""
+    words = [f"w{k}" for k in range(WORDS)]
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            node, n, keys = [], [], []
-            for x in batch.column(2):
+            node, n, fp = [], [], np.zeros((batch.num_rows, WORDS), np.uint64)
+            for i, x in enumerate(batch.column(2)):
                 own = shingles(x.as_py() or b"", shingle)
-                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED)), n.append(len(own)), keys.append(bands(own))
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED)), n.append(len(own))
+                fp[i] = fingerprint(own)
             node = pa.array(np.array(node, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "place", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(n, pa.int64()), *(pa.array(fp[:, k].copy().view(np.int64)) for k in range(WORDS))], names=["doc_id", "place", "node", "n", *words])
 
     text = F.col("text").cast("string").cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).mapInArrow(run, "doc_id long, place long, node long, n long, keys array<long>")
+    schema = "doc_id long, place long, node long, n long, " + ", ".join(f"{w} long" for w in words)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -83,8 +84,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
 
     text = F.col("text").cast("string").cast("binary")
-    named = docs.select(F.xxhash64(text).alias("place"), text.alias("text")).join(wanted, "place")
-    return named.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, own binary")
+    named = docs.select("doc_id", F.xxhash64(text).alias("place"), text.alias("text")).join(wanted, ["doc_id", "place"])
+    return named.select("node", "text").mapInArrow(run, "node long, own binary").dropDuplicates(["node"])
 
 
 def forest(sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
@@ -118,55 +119,73 @@ def forest(sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]
     return left, right
 
 
-def _placed(rows: DataFrame, most: int, most_shingles: int, large: int) -> DataFrame:
-    """grp, i, j, node: which sets meet, of ``rows`` (key, node, n)."""
-    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("key", "pivot")
-    met = cut(rows.join(pivots, "key"))
-    roots = cut(connected_components(met.filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))))
-    known = roots.join(rows.select("node", "n").distinct(), "node")
-    sized = lambda df: df.groupBy("grp").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
-    whole = known.select(F.col("root").alias("grp"), "node", "n")
-    sizes = cut(sized(whole))
-    small = whole.join(sizes, "grp").filter(F.col("sets") <= large)
-    over = sizes.filter(F.col("sets") > large).select(F.col("grp").alias("root"))
-    split = met.join(roots.join(over, "root", "left_semi"), "node").select(F.col("key").alias("grp"), "node", "n")
-    groups = small.unionByName(split.join(sized(split), "grp"))
-    k = F.greatest(F.ceil(F.col("sets") / most), F.ceil(F.col("weight") / most_shingles), F.lit(1)).cast("int")
-    dealt = groups.withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).filter("k = 1 OR mine <> other")
-    return dealt.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n")
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: int = 1_000, most_shingles: int = 1_000_000, large: int = 20_000, task_shingles: int = 4_000_000) -> DataFrame:
-    """doc_id and component_id of every document.
-
-    Two texts are linked if the Jaccard similarity of their distinct shingles is ``similar`` or more. A
-    null text counts as empty, and empty texts belong together. component_id is the smallest doc_id of
-    the component (null only where all its ids are null). Repeated rows are repeated; an empty table
-    gives an empty result; other columns are ignored.
-    """
-    marked = cut(_marked(docs, shingle))
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    placed = cut(_placed(nodes.select(F.explode("keys").alias("key"), "node", "n"), most, most_shingles, large))
-    wanted = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("place", "node")
-    sets = cut(_sets(docs, wanted, shingle))
-    buckets = max(1, -(-(placed.agg(F.sum("n")).first()[0] or 0) // task_shingles), min(placed.count(), docs.sparkSession.sparkContext.defaultParallelism))
+def _compared(placed: DataFrame, sets: DataFrame, similar: float, task_shingles: int) -> DataFrame:
+    """Links u, v that span those among the sets of each grp and block of ``placed`` (grp, i, j, node, n)."""
+    weight, rows = placed.agg(F.sum("n"), F.count(F.lit(1))).first()
+    tasks = max(1, -(-(weight or 0) // task_shingles), min(rows, placed.sparkSession.sparkContext.defaultParallelism))
 
     def run(key, tab):
         tab = tab.sort_by([("grp", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
         where = np.stack([tab.column(c).to_numpy() for c in ("grp", "i", "j")])
-        node = tab.column("node").to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in tab.column("own").to_pylist()]
+        node, sets = tab.column("node").to_numpy(), tab.column("own")
         edges = np.flatnonzero(np.any(where[:, 1:] != where[:, :-1], axis=0)) + 1
         left, right = [node[:0]], [node[:0]]
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(node)]):
             if b - a > 1:
-                u, v = forest(own[a:b], similar)
+                u, v = forest([np.frombuffer(x, np.uint64) for x in sets.slice(a, b - a).to_pylist()], similar)
                 left.append(node[a:b][u]), right.append(node[a:b][v])
         return pa.table({"u": np.concatenate(left), "v": np.concatenate(right)})
 
-    bucket = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(buckets))
-    links = placed.join(sets, "node").select(bucket.alias("bucket"), "grp", "i", "j", "node", "own").groupBy("bucket").applyInArrow(run, "u long, v long")
+    bucket = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(tasks))
+    return placed.join(sets, "node").select(bucket.alias("bucket"), "grp", "i", "j", "node", "own").groupBy("bucket").applyInArrow(run, "u long, v long")
+
+
+def _blocks(rows: DataFrame, most: int, most_shingles: int) -> DataFrame:
+    """``rows`` (grp, node, n) with k, the number of blocks that grp needs, and i, the block of the node."""
+    sized = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / most_shingles), F.lit(1)).cast("int").alias("k"))
+    return rows.join(sized, "grp").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+
+
+def exact_links(groups: DataFrame, sets: DataFrame, similar: float, most: int, most_shingles: int, task_shingles: int) -> DataFrame:
+    """Links u, v that span all pairs of one group of ``groups`` (grp, node, n) with a similarity of ``similar`` or more."""
+    blocks = cut(_blocks(groups, most, most_shingles))
+    links = cut(_compared(blocks.withColumn("j", F.col("i")), sets, similar, task_shingles))
+    split = blocks.filter("k > 1")
+    if split.isEmpty():
+        return links
+
+    def parts() -> DataFrame:
+        """The sets of split groups, each with the component it is in so far."""
+        return split.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    speak = parts().groupBy("grp", "root").agg(F.min(F.struct("node", "n")).alias("s")).select("grp", "s.node", "s.n")
+    links = cut(links.unionByName(_compared(_blocks(speak, most, most_shingles).withColumn("j", F.col("i")), sets, similar, task_shingles)))
+    apart = parts()
+    apart = cut(apart.join(apart.groupBy("grp").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("grp"), "grp", "left_semi"))
+    if apart.isEmpty():
+        return links
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    dealt = apart.withColumn("mine", F.col("i")).withColumn("other", other).filter("mine <> other")
+    dealt = dealt.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n")
+    return links.unionByName(_compared(dealt, sets, similar, task_shingles))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: int = 1_000, most_shingles: int = 1_000_000, task_shingles: int = 4_000_000) -> DataFrame:
+    """doc_id and component_id of every document.
+
+    Two texts are linked if the Jaccard similarity of their distinct shingles is ``similar`` or more. A
+    null text counts as empty, and empty texts belong together. component_id is the smallest doc_id of
+    the component (null only where all its ids are null). Whole texts are read, whatever their length.
+    Repeated rows are repeated; an empty table gives an empty result; other columns are ignored.
+    """
+    words = [f"w{k}" for k in range(WORDS)]
+    marked = cut(_marked(docs, shingle))
+    first = F.min(F.struct("doc_id", "place", "n", *words)).alias("first")
+    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), first).select("node", "least", "first.*"))
+    candidates = near_links(nodes.filter("n > 0").select(*words, "node"), bit_groups(GROUPS, WORDS), REACH, LIMIT, CHECK, per_shard=8_192)
+    groups = cut(connected_components(candidates).join(nodes.select("node", "n"), "node").select(F.col("root").alias("grp"), "node", "n"))
+    wanted = nodes.join(groups.select("node"), "node", "left_semi").select("doc_id", "place", "node")
+    links = exact_links(groups, cut(_sets(docs, wanted, shingle)), similar, most, most_shingles, task_shingles)
     rooted = nodes.select("node", "least").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "node").join(rooted.select("node", "root").join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

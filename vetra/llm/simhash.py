@@ -1,14 +1,18 @@
 """SimHash near-duplicates: exact links within a Hamming radius, by sharded vantage-point trees.
 
-Fingerprints that differ in at most ``radius`` bits differ in at most radius // groups bits of one of
-``groups`` bit groups. For each group there is a vantage-point tree of fixed depth: every level has a
-vantage point and a few bits of the group, and branches by the Hamming distance to that point within
-those bits. Triangle bounds over disjoint bits add up: two fingerprints with at most b differences in
-the group lie at most b branches apart over all levels together. A fingerprint lives in its own leaf
-and also visits the leaves that its radius may overlap (one branch up, at any level; the branch down
-is covered by the other side's visit). Leaves are the shards. Within one, distances to the vantage
-point over all bits prune again (rings more than ``radius`` apart never meet), and the rest is compared
-bit for bit. A shard reports a spanning forest of its links, never all pairs.
+The distances of unlike fingerprints to any point crowd around half the bits, so one tree over all 64
+bits with a radius of 4 hardly prunes: nearly every branch overlaps. Trees are therefore grown over
+groups of bits: fingerprints within ``radius`` differ in at most radius // groups bits of one group (the
+tree's ``reach``), where triangle bounds do prune.
+
+A tree is grown from data. At each node some fingerprints are tried as vantage point; the one whose best
+radius leaves the smaller larger half is taken. Whatever lies within the radius goes inside; whatever
+lies outside, and by the triangle bound also what lies less than ``reach`` within, goes outside. So two
+fingerprints within reach of each other always share a leaf, and a fingerprint visits the neighbouring
+shards that its reach may overlap. The first levels (as many as the table's size asks for, at most
+``MOST_DEPTH``) are fitted on a bounded sample and make the shards; every fingerprint is dealt by them.
+Each shard goes on growing its own tree from all it holds, down to ``small`` fingerprints, which are
+compared over all their bits. A shard reports links that span its components, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,226 +25,222 @@ from pyspark.sql import functions as F
 from vetra.llm.common import cut
 from vetra.llm.components import connected_components
 
-VANTAGE = 0x9E3779B97F4A7C15
 SEED = 42
+#: Levels of the shard trees: at most 2 ** 12 vantage points (16 bytes each) a group travel with a task.
+MOST_DEPTH = 12
+#: Fingerprints sampled for each shard to fit its tree.
+SAMPLE = 16
+#: Radius of a node that can't be split: everything goes inside.
+WHOLE = 127
 
 
-def fingerprint(raw: bytes, shingle: int, words: int = 1, repeats: bool = True) -> np.ndarray:
-    """``words`` 64-bit SimHash words of the word shingles of ``raw`` (UTF-8), A-Z lower-cased.
-
-    A repeated shingle counts each time, or once without ``repeats``. The first word is over the shingles' XXH64; each further one over a mix of it.
-    """
+def fingerprint(raw: bytes, shingle: int) -> int:
+    """The 64-bit SimHash of the word shingles of ``raw`` (UTF-8), A-Z lower-cased, repeats included."""
     import xxhash
 
     parts = raw.lower().split()  # bytes: only A-Z, and only the six ASCII white-space characters
     if not parts:
-        return np.zeros(words, np.uint64)
+        return 0
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(parts)
     n = max(1, len(parts) - shingle + 1)
     if n == 1:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        starts = np.concatenate([[0], ends[: n - 1]])
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist())), np.uint64, n)
-    if not repeats:
-        hashes = np.unique(hashes)
-        n = len(hashes)
-    out = np.empty(words, np.uint64)
-    for k in range(words):
-        ones = np.zeros(64, dtype=np.int64)
-        for i in range(0, n, 65_536):
-            part = hashes[i : i + 65_536]
-            if k:
-                part = (part + np.uint64(k * 0xD1B54A32D192ED03 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-                part ^= part >> np.uint64(31)
-                part *= np.uint64(0x94D049BB133111EB)
-                part ^= part >> np.uint64(29)
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def names(words: int) -> list[str]:
-    return [f"w{k}" for k in range(words)]
-
-
-def fingerprints(docs: DataFrame, shingle: int = 5, words: int = 1, repeats: bool = True) -> DataFrame:
-    """doc_id and w0, w1, ... (the fingerprint's words as signed longs) of every whole text; null counts as empty."""
+        return digest(joined, SEED)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = np.concatenate([[0], ends[: n - 1]])
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist())), np.uint64, n)
+    return int(majority(hashes[:, None])[0])
 
-    def run(batches):
-        for batch in batches:
-            fp = np.empty((batch.num_rows, words), np.uint64)
-            for i, x in enumerate(batch.column(1)):
-                fp[i] = fingerprint(x.as_py() or b"", shingle, words, repeats)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, k].copy().view(np.int64)) for k in range(words))], names=["doc_id", *names(words)])
 
-    schema = "doc_id long, " + ", ".join(f"{w} long" for w in names(words))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
+#: For each byte, its bits in eight lanes: lanes of up to 255 bytes add up without carrying over.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def levels(groups: int, bits: int) -> list[list[int]]:
-    """For each bit group, the masks of its tree's levels, ``bits`` bits each."""
-    cuts = np.linspace(0, 64, groups + 1).round().astype(int)
-    return [[sum(1 << b for b in range(i, min(i + bits, hi))) for i in range(lo, hi, bits)] for lo, hi in zip(cuts, cuts[1:])]
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of ``hashes`` (rows of words) the bits that over half of the rows have."""
+    n, words = hashes.shape
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, n, 65_280):
+        lanes = LANES[np.ascontiguousarray(hashes[i : i + 65_280]).view(np.uint8)]
+        ones += np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
 
 
-def shard_rows(fps: DataFrame, radius: int, groups: int, bits: int) -> DataFrame:
-    """leaf, lives and the words of each fingerprint, in its own leaf (lives) and in those that its radius overlaps."""
-    if radius // groups > 1:
-        raise ValueError("more bit groups are needed for this radius")
-    trees, columns = levels(groups, bits), fps.columns
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id and w0 (the fingerprint as a signed long) of every whole text; null counts as empty."""
 
     def run(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            leaf, who, lives = [], [], []
-            everyone = np.arange(len(fp))
-            for g, masks in enumerate(trees):
-                steps = [(bits + 1) ** k for k in range(len(masks))]
-                ring = [np.bitwise_count((fp ^ np.uint64(VANTAGE)) & np.uint64(m)).astype(np.int64) for m in masks]
-                home = sum(r * s for r, s in zip(ring, steps)) * groups + g
-                leaf.append(home), who.append(everyone), lives.append(np.ones(len(fp), bool))
-                if radius // groups:
-                    for r, s, m in zip(ring, steps, masks):
-                        up = np.flatnonzero(r < m.bit_count())
-                        leaf.append(home[up] + s * groups), who.append(up), lives.append(np.zeros(len(up), bool))
-            who = pa.array(np.concatenate(who))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaf)), pa.array(np.concatenate(lives)), *(c.take(who) for c in batch.columns)], names=["leaf", "lives", *columns])
-
-    return fps.mapInArrow(run, "leaf long, lives boolean, " + ", ".join(f"{c} long" for c in columns))
-
-
-def forest(both: np.ndarray, n: int, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers u, v of a spanning forest of the links that the first ``n`` rows have, to any row.
-
-    A link: at most ``radius`` bits of the first word differ, and at most ``total`` of all words.
-    """
-    first = both[:, 0]
-    rings = np.bitwise_count(first ^ np.uint64(VANTAGE)).astype(np.int8)
-    order, by_ring = np.argsort(rings[:n], kind="stable"), np.argsort(rings, kind="stable")
-    sorted_rings = rings[by_ring]
-    left, right, pairs = [], [], 0
-    for i in range(0, n, 256):
-        rows = order[i : i + 256]
-        lo = np.searchsorted(sorted_rings, int(rings[rows[0]]) - radius)
-        hi = np.searchsorted(sorted_rings, int(rings[rows[-1]]) + radius, side="right")
-        for j in range(lo, hi, 65_536):
-            cols = by_ring[j : min(hi, j + 65_536)]
-            a, b = np.nonzero(np.bitwise_count(first[rows][:, None] ^ first[cols][None, :]) <= radius)
-            a, b = rows[a], cols[b]
-            new = (b >= n) | (a < b)
-            a, b = a[new], b[new]
-            if both.shape[1] > 1:
-                near = np.bitwise_count(both[a] ^ both[b]).sum(axis=1, dtype=np.int64) <= total
-                a, b = a[near], b[near]
-            left.append(a), right.append(b)
-            pairs += len(a)
-        if pairs > 8 * len(both):
-            return _walk(both, n, radius, total)
-    if not pairs:
-        return order[:0], order[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while (up := root.get(top, top)) != top:
-            top = up
-        while x != top:
-            root[x], x = top, root.get(x, x)
-        return top
-
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(k)
-    return a[keep], b[keep]
-
-
-def _walk(both: np.ndarray, n: int, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for a dense shard: breadth-first, each fingerprint held against what is not reached yet."""
+            fp = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "w0"])
+
+    text = F.col("text").cast("string").cast("binary").alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, w0 long")
+
+
+def bit_groups(groups: int, words: int = 1) -> list[tuple[int, int]]:
+    """(word, mask) of each group; every word is cut into ``groups`` runs of nearly equal width."""
+    cuts = np.linspace(0, 64, groups + 1).round().astype(int).tolist()
+    return [(w, (1 << hi) - (1 << lo)) for w in range(words) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def split(points: np.ndarray, reach: int, tries: int = 4) -> tuple[int, int] | None:
+    """A vantage point out of ``points`` (masked words) and its radius; None if no choice leaves either side clearly smaller."""
+    n, best = len(points), None
+    for k in range(tries):
+        vantage = points[(2 * k + 1) * n // (2 * tries)]
+        within = np.bincount(np.bitwise_count(points ^ vantage), minlength=66).cumsum()  # how many lie at most so far away
+        outside = n - np.concatenate([np.zeros(reach, np.int64), within])[: len(within)]  # beyond radius - reach
+        larger = np.maximum(within, outside)
+        radius = int(larger.argmin())
+        if best is None or larger[radius] < best[0]:
+            best = int(larger[radius]), int(vantage), radius
+    return best[1:] if best and best[0] <= 0.9 * n else None
+
+
+def grow(points: np.ndarray, reach: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vantage points and radii of a tree of ``depth`` levels, in heap order, fitted on ``points``."""
+    vantage, radius = np.zeros((1 << depth) - 1, np.uint64), np.full((1 << depth) - 1, WHOLE, np.int16)
+    stack = [(0, points)]
+    while stack:
+        at, own = stack.pop()
+        if at >= len(vantage) or len(own) < 2 or (found := split(own, reach)) is None:
+            continue
+        vantage[at], radius[at] = found
+        apart = np.bitwise_count(own ^ vantage[at]).astype(np.int16)
+        stack += [(2 * at + 1, own[apart <= radius[at]]), (2 * at + 2, own[apart > radius[at] - reach])]
+    return vantage, radius
+
+
+def visit(points: np.ndarray, reach: int, tree: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf and row number of every visit that ``points`` pay to the leaves of ``tree``."""
+    vantage, radius = tree
+    at, who = np.zeros(len(points), np.int64), np.arange(len(points))
+    while len(at) and at[0] < len(vantage):
+        apart = np.bitwise_count(points[who] ^ vantage[at]).astype(np.int16)
+        inside, outside = apart <= radius[at], apart > radius[at] - reach
+        at, who = np.concatenate([2 * at[inside] + 1, 2 * at[outside] + 2]), np.concatenate([who[inside], who[outside]])
+    return at - len(vantage), who
+
+
+def walk(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers u, v of a spanning forest of links, breadth-first: each row is held against what is not reached yet."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    rest = np.arange(len(both))
-    while len(rest) and rest[0] < n:  # what lives here comes first
+    rest = np.arange(len(fp))
+    while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            reach = rest if x < n else rest[: np.searchsorted(rest, n)]
-            differ = np.bitwise_count(both[reach] ^ both[x])
-            near = (differ[:, 0] <= radius) & (differ.sum(axis=1, dtype=np.int64) <= total)
-            found = reach[near]
-            if len(found):
+            near = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1, dtype=np.int64) <= limit
+            if near.any():
+                found = rest[near]
                 left.append(np.full(len(found), x)), right.append(found)
                 queue += found.tolist()
-                rest = np.concatenate([reach[~near], rest[len(reach) :]])
+                rest = rest[~near]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def shard_links(fp: np.ndarray, key: np.ndarray, reach: int, limit: int, small: int = 192) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers u, v of links that span those of a shard: at most ``limit`` bits of ``fp`` (rows of words) apart.
+
+    ``key`` holds the bits over which the shard's tree goes on.
+    """
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    stack = [np.arange(len(fp))]
+    while stack:
+        own = stack.pop()
+        if len(own) < 2:
+            continue
+        if len(own) > small and (found := split(key[own], reach)):
+            apart = np.bitwise_count(key[own] ^ np.uint64(found[0])).astype(np.int16)
+            stack += [own[apart <= found[1]], own[apart > found[1] - reach]]
+            continue
+        if len(own) <= small:
+            mine = fp[own]
+            apart = np.bitwise_count(mine[:, None, 0] ^ mine[None, :, 0])
+            for k in range(1, fp.shape[1]):
+                apart = apart + np.bitwise_count(mine[:, None, k] ^ mine[None, :, k])
+            a, b = np.nonzero(apart <= limit)
+            upper = a < b
+            a, b = a[upper], b[upper]
+        if len(own) > small or len(a) > 4 * len(own):  # nothing to prune by, or a dense shard
+            a, b = walk(fp[own], limit)
+        left.append(own[a]), right.append(own[b])
     return np.concatenate(left), np.concatenate(right)
 
 
-def near_links(fps: DataFrame, radius: int, total: int | None = None, groups: int = 3, bits: int = 3, shard: int = 200_000, most: int = 50_000) -> DataFrame:
-    """Links u, v between distinct fingerprints that span every link within ``radius``.
+def near_links(
+    fps: DataFrame, groups: list[tuple[int, int]], reach: int, limit: int, check: int = 1, per_shard: int = 4_096, task_rows: int = 200_000, most: int = 50_000
+) -> DataFrame:
+    """Links u, v between fingerprints that span every link found: ``limit`` bits or fewer of the first ``check`` words differ.
 
-    ``fps`` has w0 and any further words (checked against ``total``, their differing bits together) and
-    last a long column ``node`` that names the fingerprint. Leaves are dealt to tasks of about ``shard``
-    rows. A leaf with over ``most`` rows is cut into blocks, and each pair of blocks is a task of its own,
-    so no leaf is too large and no pair is missed.
+    ``fps`` has w0, w1, ... and last a long column ``node`` that names the fingerprint. Found is each link
+    that lies within ``reach`` bits in one of ``groups`` (word, mask): all links, if they have more than
+    limit / (reach + 1) groups of the same words. Shards are dealt to tasks of about ``task_rows`` rows. A shard with over
+    ``most`` is cut into blocks, and each pair of blocks is a task of its own, so none is too large and
+    no pair is missed.
     """
-    words = [c for c in fps.columns if c != "node"]
-    limit = radius if total is None else total
-    rows = cut(shard_rows(fps.select(*words, "node"), radius, groups, bits))
-    buckets = max(1, -(-rows.count() // shard))
-    hot = rows.groupBy("leaf").count().filter(F.col("count") > most)
-    rows = rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    if not hot.isEmpty():
+    spark, own = fps.sparkSession, [c for c in fps.columns if c != "node"]
+    n = fps.count()
+    depth = int(min(MOST_DEPTH, max(0, np.ceil(np.log2(max(1, n / per_shard))))))
+    step = max(1, n // (SAMPLE << depth))
+    sample = fps.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select(*own).collect() if depth else []  # about SAMPLE << depth rows
+    points = np.array([tuple(r) for r in sample], np.int64).reshape(-1, len(own)).view(np.uint64)
+    trees = [grow(points[:, w] & np.uint64(mask), reach, depth) for w, mask in groups]
+    checked = own[:check]
+
+    def deal(batches):
+        for batch in batches:
+            words = [batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(len(own))]
+            for g, ((w, mask), tree) in enumerate(zip(groups, trees)):
+                key = words[w] & np.uint64(mask)
+                leaf, who = visit(key, reach, tree)
+                low = np.uint64((mask & -mask).bit_length() - 1)
+                columns = [pa.array((g << MOST_DEPTH | leaf).astype(np.int32)), pa.array((key >> low)[who].view(np.int64))]
+                who = pa.array(who)
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i).take(who) for i in range(check)), batch.column(len(own)).take(who)], names=["leaf", "key", *checked, "node"])
+
+    schema = "leaf int, key long, " + "".join(f"{c} long, " for c in checked) + "node long"
+    rows = cut(fps.mapInArrow(deal, schema))
+    sizes = cut(rows.groupBy("leaf").count())  # one row a shard
+    total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // task_rows))
+    rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    if (largest or 0) > most:
         k = F.ceil(F.col("count") / most).cast("int")
-        rows = rows.join(hot.select("leaf", k.alias("k")), "leaf", "left").withColumn("own", F.pmod(F.xxhash64(*words), F.col("k")).cast("int"))
+        rows = rows.join(F.broadcast(sizes.filter(F.col("count") > most).select("leaf", k.alias("k"))), "leaf", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
-        rows = rows.withColumn("i", F.coalesce(F.least("own", "other"), F.lit(0))).withColumn("j", F.coalesce(F.greatest("own", "other"), F.lit(0))).drop("k", "own", "other")
+        rows = rows.withColumns({"i": F.coalesce(F.least("mine", "other"), F.lit(0)), "j": F.coalesce(F.greatest("mine", "other"), F.lit(0))}).drop("k", "mine", "other")
 
     def run(key, tab):
-        tab = tab.sort_by([("leaf", "ascending"), ("i", "ascending"), ("j", "ascending"), ("lives", "descending"), *((w, "ascending") for w in words)])
+        tab = tab.sort_by([("leaf", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
         place = np.stack([tab.column(c).to_numpy() for c in ("leaf", "i", "j")])
-        fp = np.stack([tab.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-        node, lives = tab.column("node").to_numpy(), tab.column("lives").to_numpy()
+        fp = np.stack([tab.column(c).to_numpy() for c in checked], axis=1).view(np.uint64)
+        node, bits = tab.column("node").to_numpy(), tab.column("key").to_numpy().view(np.uint64)
         edges = np.flatnonzero(np.any(place[:, 1:] != place[:, :-1], axis=0)) + 1
         left, right = [node[:0]], [node[:0]]
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)]):
-            n = int(lives[a:b].sum())
-            if n and b - a > 1:
-                u, v = forest(fp[a:b], n, radius, limit)
-                left.append(node[a + u]), right.append(node[a + v])
+            u, v = shard_links(fp[a:b], bits[a:b], reach, limit)
+            left.append(node[a + u]), right.append(node[a + v])
         return pa.table({"u": np.concatenate(left), "v": np.concatenate(right)})
 
-    bucket = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(tasks))
     return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "u long, v long").filter("u <> v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 13, words: int = 4, differ: float = 0.2, groups: int = 7, bits: int = 1, repeats: bool = False) -> DataFrame:
-    """doc_id, w0 and component_id of every document.
+def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, groups: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id, over links of at most ``radius`` bits.
 
-    Two texts are linked if at most ``radius`` bits of their first fingerprint word differ and at most
-    the part ``differ`` of the bits of all words: a similarity of 1 - differ or more. A null text counts
-    as empty and has fingerprint zero; documents with equal fingerprints belong together. component_id is
-    the smallest doc_id of the component (null only where all its ids are null). Repeated rows are
-    repeated; an empty table gives an empty result; other columns are ignored.
+    A null text counts as empty and has fingerprint zero; documents with equal fingerprints belong
+    together and are one node of every tree. component_id is the smallest doc_id of the component (null
+    only where all its ids are null). A text of any length is read whole; its hashes are counted in parts.
+    Repeated rows are repeated; an empty table gives an empty result; other columns are ignored.
     """
-    own = names(words)
-    node = F.col("w0") if words == 1 else F.xxhash64(*own)
-    marked = cut(fingerprints(docs, shingle, words, repeats).withColumn("node", node))
-    classes = cut(marked.groupBy(*own, "node").agg(F.min("doc_id").alias("least")))
-    total = radius if words == 1 else int(64 * words * differ)
-    roots = connected_components(near_links(classes.select(*own, "node"), radius, total, groups, bits))
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marked = cut(fingerprints(docs, shingle))
+    classes = cut(marked.groupBy("w0").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(near_links(classes.select("w0", F.col("w0").alias("node")), bit_groups(groups), radius // groups, radius))
+    rooted = classes.join(roots, classes["w0"] == roots["node"], "left").select("w0", "least", F.coalesce("root", "w0").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
-    return marked.join(named, "node").select("doc_id", "w0", "component_id")
-
-
-def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id, over links of at most ``radius`` bits of one word."""
+    named = rooted.select("w0", "root").join(smallest, "root").select("w0", "component_id")
     hexed = F.lower(F.lpad(F.hex("w0"), 16, "0"))
-    found = near_duplicates(docs, shingle, radius, words=1, groups=3, bits=3, repeats=True)
-    return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return marked.join(named, "w0").select("doc_id", hexed.alias("fingerprint"), "component_id")
