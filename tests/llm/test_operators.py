@@ -66,9 +66,36 @@ def test_packing(docs, empty):
         assert at <= 512
     sizes = collections.Counter(k[3] for k in want.elements())
     assert packing.lower_bound([*sizes], [*sizes.values()], 512) <= len(by) <= packing.lower_bound([*sizes], [*sizes.values()], 512) + 1
+    # every partition's or pool's certificate is that of the sequences it packed
+    parts = collections.defaultdict(set)
+    for r in rows:
+        parts[r.sequence_id >> 32].add((r.sequence_id, r.part_bins, r.part_bound))
+    assert len(parts) > 1
+    for own in parts.values():
+        assert len({x[1:] for x in own}) == 1 and len(own) == (some := next(iter(own)))[1] >= some[2] > 0
+    assert {(r.all_bins, r.all_bound) for r in rows} == {(len(by), packing.lower_bound([*sizes], [*sizes.values()], 512))}
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_partitions_exchange_until_the_bound(spark):
+    """Partitions of their own leave many bins too many; what they offer fills up."""
+    rng = np.random.default_rng(7)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(1, 1000, 3000))]
+    pieces = spark.createDataFrame(rows, packing.PIECES).cache()
+    alone = packing.pack_pieces(pieces, 1000, per_partition=60, rounds=0)[1]
+    packed, sure = packing.pack_pieces(pieces, 1000, per_partition=60)
+    assert alone["bins"] > sure["bins"] + 40 and sure["rounds"] > 0 and sure["bins"] <= 1.03 * sure["bound"]
+    assert packed.select("sequence_id").distinct().count() == sure["bins"] and packed.count() == 3000
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000, " \n" * 300_000, ("x" + " " * 3_000) * 40, "word " * 400_000])
+def test_packing_of_very_long_texts(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing._encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_lower_bound_is_reached_and_tight():
     assert packing.lower_bound([51], [10], 100) == 10 and packing.lower_bound([34, 66], [4, 4], 100) == 4
     assert packing.lower_bound([34], [9], 100) == 5  # two to a bin

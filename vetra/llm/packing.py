@@ -4,15 +4,16 @@ Documents are cut into pieces of at most ``capacity`` tokens and the pieces are
 sequences as possible:
 
 1. ``token_pieces`` tokenises whole texts (Arrow batches) and keeps five numbers per piece.
-2. ``pack_pieces`` deals the pieces to partitions by a hash and runs best-fit decreasing in each.
-   Dual-feasible functions give a lower bound for every partition and for all pieces together
-   (from the histogram of lengths, which has at most ``capacity`` rows).
-3. While there are more bins than the overall bound says, partitions exchange the documents of
-   their loosest bins: these are pooled, dealt anew to fewer partitions and packed again by
-   best-fit decreasing. A pool's new packing replaces the old one only if it needs fewer bins.
-
-No task holds more than ``per_partition`` pieces of the first deal or a pool of released ones;
-what is released shrinks by rounds, so the largest group stays bounded.
+2. ``pack_pieces`` deals the pieces to partitions by a hash and runs best-fit decreasing in each. Dual-feasible
+   functions give a lower bound for each partition, which certifies its bin count, and one for all
+   pieces together (from the histogram of lengths, which has at most ``capacity`` rows).
+3. While there are more bins than the overall bound says, partitions exchange documents: each offers its
+   loosest bins, enough to make up its own gap between bins and bound several times over (a partition
+   without a gap offers the room of one bin). What is offered is dealt anew, whole bins to a pool, packed again by best-fit
+   decreasing and certified again. A pool's new packing replaces the old one only if it needs fewer bins.
+
+A task holds about ``per_partition`` pieces: there are as many partitions or pools as the number of
+pieces asks for.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 from vetra.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", bin_part long, bin_no long, offset long, free long"
+PACKED = PIECES + ", bin_part long, bin_no long, offset long, loose boolean, part_bins long, part_bound long, kept_bins long, kept_bound long"
 #: Characters for which the two tokenizer libraries split alike whatever their Unicode tables.
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
+#: Runs of blanks on which the faster library is slow, and in the end out of stack.
+_LONG_BLANK = re.compile(r"\s{200}")
 _ENCODERS: dict[str, object] = {}
 
 
@@ -64,7 +67,7 @@ def _encoder(vocabulary: str):
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merge, special_tokens=special)
 
             def encode(text: str) -> np.ndarray:
-                if _UNUSUAL.search(text):
+                if _UNUSUAL.search(text) or _LONG_BLANK.search(text):
                     return by_library(text)
                 return fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
@@ -149,30 +152,48 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(free, dtype=np.int64)
 
 
+def offered(free: np.ndarray, want: int, capacity: int) -> np.ndarray:
+    """Which bins a partition offers: the loosest, until their free space is that of eight times ``want`` bins."""
+    order = np.argsort(-free, kind="stable")
+    before = np.concatenate([[0], free[order].cumsum()[:-1]])
+    out = np.zeros(len(free), bool)
+    out[order[(before < 8 * want * capacity) & (free[order] > 0)]] = True
+    return out
+
+
 def _pack_group(capacity: int, stamp: int):
-    """For groupBy(part).applyInArrow: best-fit decreasing of the group; keeps the old packing unless bins are saved."""
+    """For groupBy(part).applyInArrow: best-fit decreasing and bound of the group; keeps the old packing unless bins are saved."""
 
     def run(key, tab):
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         tab = tab.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = tab.column("length").to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
-        part = np.full(len(lengths), stamp << 24 | key[0].as_py(), dtype=np.int64)
-        room = free[bins]
         if "bin_no" in tab.column_names:
             old = np.stack([tab.column("bin_part").to_numpy(), tab.column("bin_no").to_numpy()])
-            if len(free) >= np.unique(old, axis=1).shape[1]:
-                part, bins, offsets, room = old[0], old[1], tab.column("offset").to_numpy(), tab.column("free").to_numpy()
-        return pa.table({**{n: tab.column(n) for n in names}, "bin_part": part, "bin_no": bins, "offset": offsets, "free": room})
+            _, own = np.unique(old, axis=1, return_inverse=True)
+            if len(free) >= own.max() + 1:
+                bins, offsets = own.reshape(-1), tab.column("offset").to_numpy()
+                free = capacity - np.bincount(bins, lengths).astype(np.int64)
+        bound = lower_bound(*np.unique(lengths, return_counts=True), capacity)
+        loose = offered(free, max(1, len(free) - bound), capacity)
+        kept = lengths[~loose[bins]]
+        certificate = (len(free), bound, int((~loose).sum()), lower_bound(*np.unique(kept, return_counts=True), capacity))
+        part = np.full(len(lengths), stamp << 24 | key[0].as_py(), dtype=np.int64)
+        columns = {"bin_part": part, "bin_no": bins, "offset": offsets, "loose": loose[bins]}
+        columns |= {k: np.full(len(lengths), v, np.int64) for k, v in zip(("part_bins", "part_bound", "kept_bins", "kept_bound"), certificate)}
+        return pa.table({**{n: tab.column(n) for n in names}, **columns})
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, per_partition: int = 131_072, rounds: int = 6) -> tuple[DataFrame, dict]:
-    """Packed pieces with ``sequence_id`` and ``offset``; and the certificate {pieces, bins, bound, rounds}.
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, per_partition: int = 131_072, rounds: int = 20) -> tuple[DataFrame, dict]:
+    """Packed pieces with ``sequence_id``, ``offset``, part_bins and part_bound; and the certificate {pieces, bins, bound, rounds}.
 
-    ``pieces`` is read several times: give a checkpointed frame. Ties are broken by doc_id, piece and
-    checksum, so equal input gives an equal packing whatever the order of rows.
+    part_bins and part_bound are the bins of the partition or pool that last packed the piece, and the
+    lower bound for them. ``pieces`` is read several times: give a checkpointed frame. Rounds of exchange
+    end once the bins meet the bound for all pieces, after a round over a single pool, or when two in turn save none. Ties are broken
+    by doc_id, piece and checksum, so equal input gives an equal packing whatever the order of rows.
     """
     histogram = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     n = sum(r["count"] for r in histogram)
@@ -180,36 +201,31 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, per_partition: int = 13
     parts = max(1, -(-n // per_partition))
     deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("long")
     packed = cut(pieces.withColumn("part", deal).groupBy("part").applyInArrow(_pack_group(capacity, 0), PACKED))
-    done = 0
-    while True:
-        loose = packed.groupBy("free").agg(F.countDistinct("bin_part", "bin_no").alias("bins")).collect()  # at most `capacity` rows
-        bins = sum(r["bins"] for r in loose)
-        if parts == 1 or bins <= bound or done == rounds:
-            break
-        # Release the loosest bins until their free space would fill the surplus several times over.
-        surplus, space, limit = bins - bound, 0, capacity
-        for r in sorted(loose, key=lambda r: -r["free"]):
-            if not r["free"] or space >= 4 * surplus * capacity:
-                break
-            space, limit = space + r["free"] * r["bins"], r["free"]
-        done += 1
-        released = packed.filter(F.col("free") >= limit)
-        parts = max(1, parts // 8)
+    size = lambda: packed.agg(F.coalesce(F.count_if(F.col("offset") == 0), F.lit(0)), F.coalesce(F.count_if("loose"), F.lit(0))).first()
+    bins, loose = size()  # every bin has one piece at offset 0
+    done = idle = 0
+    while parts > 1 and bins > bound and done < rounds and idle < 2:
+        before, done, parts = bins, done + 1, max(1, -(-loose // per_partition))
         deal = F.pmod(F.xxhash64("bin_part", "bin_no", F.lit(done)), F.lit(parts)).cast("long")
-        again = released.withColumn("part", deal).groupBy("part").applyInArrow(_pack_group(capacity, done), PACKED)
-        packed = cut(packed.filter(F.col("free") < limit).unionByName(again))
+        again = packed.filter("loose").withColumn("part", deal).groupBy("part").applyInArrow(_pack_group(capacity, done), PACKED)
+        rest = packed.filter("NOT loose").withColumns({"part_bins": F.col("kept_bins"), "part_bound": F.col("kept_bound")})
+        packed = cut(rest.unionByName(again))
+        bins, loose = size()
+        idle = idle + 1 if bins == before else 0
     out = packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.shiftleft("bin_part", 32) + F.col("bin_no")).alias("sequence_id"), "offset",
+        (F.shiftleft("bin_part", 32) + F.col("bin_no")).alias("sequence_id"), "offset", "part_bins", "part_bound",
     )
     return out, {"pieces": n, "bins": bins, "bound": bound, "rounds": done}
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, per_partition: int = 131_072) -> DataFrame:
-    """Tokenise and pack ``docs`` (doc_id, text); one row per piece.
+    """Tokenise and pack ``docs`` (doc_id, text); one row per piece, with the certificate in part_bins, part_bound, all_bins and all_bound.
 
-    Nulls: a null text is an empty document (one piece that holds only ``end_id``). Repeated rows are
-    packed as often as they occur, an empty table gives an empty result, other columns are ignored.
+    Nulls: a null text is an empty document (one piece that holds only ``end_id``). A text of any length
+    is tokenised whole, also one long run of blanks. Repeated rows are packed as often as they occur, an
+    empty table gives an empty result, other columns are ignored.
     """
     pieces = cut(token_pieces(docs, vocabulary, capacity, end_id))
-    return pack_pieces(pieces, capacity, per_partition)[0]
+    packed, certificate = pack_pieces(pieces, capacity, per_partition)
+    return packed.withColumns({f"all_{k}": F.lit(certificate[k]).cast("long") for k in ("bins", "bound")})
