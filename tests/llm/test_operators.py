@@ -132,6 +132,34 @@ def test_stream_goes_on_from_kept_state(spark, tmp_path):
     assert {(r.digest, r.keep_id, r.group_size) for r in out.collect()} == {("a", 3, 2), ("b", 2, 1)}
 
 
+def test_batches_are_held_against_the_store(spark, tmp_path):
+    """A second batch meets the first through the kept state, and its bytes through the locator."""
+    store = "file://" + str(tmp_path / "store")
+    batches = [[(1, "Same text"), (2, "other"), (3, "gone")], [(7, "same TEXT"), (8, "new"), (2, "Other")], [(4, "SAME text")]]
+    got = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/in{k}")
+        out = exactdedup.exact_dedup(spark.read.parquet(f"{tmp_path}/in{k}"), store=store)
+        got.append({(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()})
+    assert got == [{(1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True)}, {(7, 7, 2, True), (8, 8, 1, True), (2, 2, 2, True)}, {(4, 7, 3, False)}]
+    one = lambda t: F.lit("d")  # noqa: E731 - every text has this digest: only the bytes behind the locator tell them apart
+    weak = "file://" + str(tmp_path / "weak")
+    for k, rows in enumerate(batches[:1] + batches[2:]):
+        out = exactdedup.exact_dedup(spark.read.parquet(f"{tmp_path}/in{2 * k}").limit(1), one, weak).collect()
+    assert [(r.doc_id, r.keep_id, r.kept) for r in out] == [(4, 4, True)]
+
+
+def test_a_hot_digest_is_salted(spark):
+    rows = [(i, "copy" if i % 3 else f"own {i}") for i in range(1500)]
+    rows += [(None, "copy"), (None, "alone"), (5000, "x" * 2_000_000), (5001, "X" * 2_000_000)]
+    got = exactdedup.dedup_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    size, keep = collections.Counter(t.lower() for _, t in rows), {}
+    for i, t in rows:
+        keep[t.lower()] = max((x for x in (keep.get(t.lower()), i) if x is not None), default=None)
+    sha = lambda t: hashlib.sha256(t.lower().encode()).hexdigest()
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == collections.Counter((i, keep[t.lower()], size[t.lower()], sha(t)) for i, t in rows)
+
+
 def test_token_counts(docs, empty):
     import sentencepiece
 

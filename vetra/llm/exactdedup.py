@@ -1,14 +1,18 @@
 """Exact deduplication by a stateful stream.
 
 The stream keys its state by the SHA-256 digest of the normalised text. State lives in RocksDB on the
-executors' disks, is checkpointed to the shared folder and never expires, so a later batch is held
-against everything seen before. For each digest it retains the count, the stable identifier (largest
-doc_id, which stays) and a content locator (where that document's row came from). A hit, a digest met
-more than once, is checked on full bytes: the texts of such digests are grouped by the whole text.
+executors' disks, is checkpointed to the shared folder and never expires. For each digest it retains
+the count, the stable identifier (largest doc_id, which stays) and a content locator: the file of that
+document's row, which with the identifier says where its bytes are. With a ``store`` the state outlives
+the call, and later batches are held against everything seen before.
+
+A hit, a digest met more than once, is checked on full bytes: the texts of its rows at hand, and the
+text that the locator names where that lies in a file of an earlier batch, are grouped by the whole text.
 Should two texts share a digest, each gets its own group.
 
-Only DataFrame operations run; copies collapse in map-side partial aggregates before any shuffle, and
-the joins by digest are plain equi-joins that adaptive execution may split where a digest is hot.
+Only DataFrame operations run. Copies collapse in map-side partial aggregates before any shuffle. Rows
+of hot digests (over 1 / ``HOT`` of all rows each, so at most ``HOT`` of them) are dealt by a salt too,
+in the check and in the last join, so no task gets all copies of a text.
 """
 
 from __future__ import annotations
@@ -20,12 +24,18 @@ from pyspark.sql import functions as F
 
 from vetra.llm.common import ascii_lower, shared_path
 
-#: Session settings while the stream runs. Without the third, each state partition takes 4 MB of disk ahead.
+#: Session settings while the stream runs. Without the third, each state partition takes 4 MB of disk ahead;
+#: without the last two, each has caches of its own.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
+#: A digest is hot from this part of all rows.
+HOT = 500
+SALTS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -67,51 +77,66 @@ def stream_state(spark: SparkSession, rows: DataFrame, checkpoint: str) -> DataF
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, store: str | None = None) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and digest; dropped rows too.
 
     Texts are equal when identical after lower-casing A-Z; the row with the largest doc_id stays. A
-    null text counts as empty. Among rows that repeat a doc_id and its text, each is marked kept if
-    that id stays; a null doc_id never beats another id, and a group of null ids only is kept whole.
-    Other columns pass through (those named keep_id, group_size, kept or digest are replaced); an
-    empty table gives an empty result.
+    null text counts as empty, and whole texts are compared whatever their length. Among rows that repeat
+    a doc_id and its text, each is marked kept if that id stays; a null doc_id never beats another id,
+    and a group of null ids only is kept whole. Other columns pass through (those named keep_id,
+    group_size, kept or digest are replaced); an empty table gives an empty result.
+
+    ``store``, a folder that all executors reach, keeps the state: a later call with it takes ``docs`` as a
+    further batch, and groups span all batches (Parquet files of earlier ones must still be there).
     """
     spark = docs.sparkSession
     docs = docs.drop("keep_id", "group_size", "kept", "digest")
     base = docs.withColumn("digest", digest(normalised(F.col("text"))))
     # What the stream reads: a digest and a locator for each row, not the texts.
-    staged, checkpoint = shared_path(spark, "digests"), shared_path(spark, "dedup-state")
-    base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("locator")).write.parquet(staged)
+    root = store.rstrip("/") if store else shared_path(spark, "dedup")
+    staged = f"{root}/digests"
+    base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("locator")).write.mode("append").parquet(staged)
     digests = spark.read.parquet(staged)
-    state = stream_state(spark, spark.readStream.schema(digests.schema).parquet(staged), checkpoint)
+    state = stream_state(spark, spark.readStream.schema(digests.schema).parquet(staged), f"{root}/state")
+    settled = shared_path(spark, "dedup-state")
+    state.write.parquet(settled)  # read several times below
+    state = spark.read.parquet(settled)
+
+    total = state.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.broadcast(state.filter(F.col("group_size") * HOT > total).select("digest", F.lit(True).alias("is_hot")))  # at most HOT rows
+    salted = lambda df: df.join(hot, "digest", "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("is_hot")
+    every = F.explode(F.when(F.col("group_size") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    whole = normalised(F.col("text")).alias("whole")
 
     hit = state.filter(F.col("group_size") > 1)
-    whole = normalised(F.col("text")).alias("whole")
-    checked = (
-        base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), whole)
-        .join(hit.select("digest"), "digest", "left_semi")
-        .groupBy("digest", "whole").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-    groups = checked.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    apart_path = shared_path(spark, "dedup-groups")
-    groups.write.parquet(apart_path)
-    groups = spark.read.parquet(apart_path)
-    groups = (
-        state.filter(F.col("group_size") == 1).select("digest", F.lit(1).cast("long").alias("texts"), "keep_id", "group_size")
-        .unionByName(groups)
-    )
-    clashing = spark.read.parquet(apart_path).filter(F.col("texts") > 1).select("digest")
+    texts = salted(base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), whole)).join(hit.select("digest", every.alias("salt")), ["digest", "salt"], "left_semi")
+    texts = texts.select("digest", "doc_id", "whole").unionByName(_located(spark, hit, docs) if store else texts.select("digest", "doc_id", "whole").limit(0))
+    checked = texts.groupBy("digest", "whole").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    apart_path = shared_path(spark, "dedup-apart")
+    checked.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest").write.parquet(apart_path)
+    clashing = spark.read.parquet(apart_path)
+    groups = state.select("digest", "keep_id", "group_size", every.alias("salt"))
     if clashing.isEmpty():
-        out = base.join(groups.drop("texts"), "digest")
+        out = salted(base).join(groups, ["digest", "salt"]).drop("salt")
     else:  # different texts under one digest: those digests are resolved by the whole text
-        own = base.withColumn("whole", whole).join(clashing, "digest", "left_semi")
         split = checked.join(clashing, "digest", "left_semi")
-        resolved = own.join(split, ["digest", "whole"]).drop("whole")
-        plain = base.join(groups.filter(F.col("texts") == 1).drop("texts"), "digest")
+        resolved = base.withColumn("whole", whole).join(split, ["digest", "whole"]).drop("whole")
+        plain = salted(base).join(groups.join(clashing, "digest", "left_anti"), ["digest", "salt"]).drop("salt")
         out = plain.unionByName(resolved.select(plain.columns))
+    out = out.select(*docs.columns, "digest", "keep_id", "group_size")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))
 
 
+def _located(spark: SparkSession, hit: DataFrame, docs: DataFrame) -> DataFrame:
+    """digest, doc_id, whole of the rows that the locators of ``hit`` name in files other than those of ``docs``."""
+    at_hand = set(docs.inputFiles())
+    files = [r[0] for r in hit.select("locator").distinct().collect() if r[0] and r[0] not in at_hand]  # one row a file
+    if not files:
+        return hit.select("digest", F.col("keep_id").alias("doc_id"), F.lit("").alias("whole")).limit(0)
+    rows = spark.read.parquet(*files).select(F.col("doc_id").cast("long").alias("keep_id"), F.input_file_name().alias("locator"), normalised(F.col("text")).alias("whole"))
+    return rows.join(hit.select("digest", "keep_id", "locator"), ["keep_id", "locator"]).select("digest", F.col("keep_id").alias("doc_id"), "whole")
+
+
 def dedup_classes(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     return exact_dedup(docs.select("doc_id", "text")).select(
