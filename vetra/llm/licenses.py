@@ -1,6 +1,6 @@
 """Licence scans with a positional index of rare words.
 
-Templates are licence notices. Their words' document frequencies over the whole corpus give each word
+Templates are licence notices and whole licence texts. Their words' document frequencies over the whole corpus give each word
 a weight (idf). For each file, the words of highest idf that any template has are looked up in the
 templates' postings; a hit at file position p and template position t votes for the template to start
 at p - t, and votes at (nearly) one place are intersected. Where enough of a template's rare weight
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Label, words of the notice, key phrases that must all stand in it.
+# Label, words of the notice or text, key phrases that must all stand in it.
 TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
@@ -39,6 +40,12 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc0", "cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ["permission is hereby granted free of charge", "copies or substantial portions of the software"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", ["for any purpose with or without fee"]),
+    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ["redistributions of source code must retain", "redistributions in binary form must reproduce"]),
+    ("bsd-3", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name of the copyright holder", "endorse or promote products derived from this software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ["to alter it and redistribute it freely"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain", ["free and unencumbered software", "dedicate any and all copyright interest"]),
 ]
 
 #: Bytes to words: A-Z lower-cased, ASCII other than letters and digits to spaces.
@@ -77,49 +84,63 @@ class Index:
     def __init__(self, templates, frequency: dict[bytes, int], total: int, rarest: int = 6) -> None:
         self.templates = [(label, text.encode().split(), [p.encode().split() for p in phrases]) for label, text, phrases in templates]
         self.idf = {w: log((total + 1) / (n + 1)) + 1e-6 for w, n in frequency.items()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.anchors, self.weight = set(), []
+        self.anchors, self.weight, self.own_rare = set(), [], []
+        self.longest = max((len(words) for _, words, _ in self.templates), default=0)
         for t, (_, words, _) in enumerate(self.templates):
             rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:rarest]
             self.anchors.add(rare[0])
             self.weight.append(sum(self.idf[w] for w in rare))
-            for i, w in enumerate(words):
-                if w in rare:
-                    self.postings.setdefault(w, []).append((t, i))
-        self.rare = frozenset(self.postings)
+            self.own_rare.append({w: [i for i, x in enumerate(words) if x == w] for w in rare})  # the postings of this template
+        self.rare = frozenset(w for own in self.own_rare for w in own)
 
-    def match(self, words: list[bytes], slack: int = 2, enough: float = 0.6) -> dict[str, float]:
-        """label -> share of the best template's words that stand in place."""
+    def match(self, words: list[bytes], slack: int = 2, enough: float = 0.6, chunk: int = 100_000) -> dict[str, float]:
+        """label -> share of the best template's words that stand in place.
+
+        ``words`` are gone through in overlapping parts of about ``chunk``, so a long file takes no more memory.
+        """
         present = self.rare.intersection(words)
-        votes: dict[tuple[int, int], dict[bytes, float]] = {}
         if not present & self.anchors and sum(self.idf[w] for w in present) < enough * min(self.weight):
             return {}
-        for p, w in enumerate(words):
-            if w in present:
-                for t, i in self.postings[w]:
-                    for s in range(-slack, slack + 1):
-                        votes.setdefault((t, p - i + s), {})[w] = self.idf[w]
         found: dict[str, float] = {}
-        for (t, start), got in votes.items():
-            if sum(got.values()) < enough * self.weight[t]:
-                continue
-            label, own, phrases = self.templates[t]
-            lo, hi = max(0, start - slack), start + len(own) + slack
-            region = words[lo:hi]
-            in_place = sum(any(0 <= j < len(words) and words[j] == w for j in range(start + i - slack, start + i + slack + 1)) for i, w in enumerate(own)) / len(own)
-            if in_place >= enough and in_place > found.get(label, 0) and all(any(region[i : i + len(p)] == p for i in range(len(region))) for p in phrases):
-                found[label] = in_place
+        for at in range(0, len(words), chunk):
+            lo = max(0, at - self.longest - slack)
+            places: dict[bytes, list[int]] = {}
+            for p, w in enumerate(words[lo : at + chunk + self.longest + slack], lo):
+                if w in present:
+                    places.setdefault(w, []).append(p)
+            if places:
+                self._aligned(words, {w: np.array(p) for w, p in places.items()}, slack, enough, found)
         return found
 
+    def _aligned(self, words: list[bytes], places: dict[bytes, np.ndarray], slack: int, enough: float, found: dict[str, float]) -> None:
+        for t, (label, own, phrases) in enumerate(self.templates):
+            rare = [w for w in self.own_rare[t] if w in places]
+            if sum(self.idf[w] for w in rare) < enough * self.weight[t] - 1e-9 or found.get(label, 0) >= 1:
+                continue
+            # where each word lets the template start; a start counts for all words that allow it within the slack
+            starts = [np.unique(np.concatenate([places[w] - i for i in self.own_rare[t][w]])) for w in rare]
+            wanted = np.unique(np.concatenate(starts)[:, None] + np.arange(-slack, slack + 1))
+            votes = sum(self.idf[w] * (np.searchsorted(s, wanted + slack, "right") > np.searchsorted(s, wanted - slack)) for w, s in zip(rare, starts))
+            for start in wanted[votes >= enough * self.weight[t] - 1e-9].tolist():
+                in_place = sum(w in words[max(0, start + i - slack) : max(0, start + i + slack + 1)] for i, w in enumerate(own)) / len(own)
+                if in_place >= enough and in_place > found.get(label, 0):
+                    region = words[max(0, start - slack) : start + len(own) + slack]
+                    if all(any(region[i : i + len(p)] == p for i in range(len(region))) for p in phrases):
+                        found[label] = in_place
+                        if in_place >= 1:
+                            break
+
 
 def base_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase's words stand consecutively."""
     joined, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases.items():
         wanted = f" {phrase} ".encode()
-        at = joined.find(wanted)
+        at, last, nth = joined.find(wanted), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            nth += joined.count(b" ", last, at)  # words between one place and the next
+            last = at
+            out.append((nth, label))
             at = joined.find(wanted, at + 1)
     return out
 
@@ -129,7 +150,7 @@ def license_scan(docs: DataFrame, templates=None, base: dict[str, str] | None =
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased. A null
     text has no words; without a base phrase first_word and last_word are null; without a label the
-    label lists are empty and the score is 0. A base label has score 1. Repeated rows are repeated, an
+    label lists are empty and the score is 0. A base label has score 1. A text of any length is scanned whole, in parts. Repeated rows are repeated, an
     empty table gives an empty result, other columns are ignored.
     """
     templates, base = templates or TEMPLATES, base or BASE
