@@ -1,7 +1,8 @@
 """Removal of repeated passages by super-k-mer partitioning.
 
-A window is ``k`` consecutive words of one document. Its minimiser is the smallest hash among its
-``m``-word pieces; consecutive windows that share one form a super-k-mer, which travels as one packed
+A window is ``k`` consecutive words of one document. Its minimiser is the first of its ``m``-word pieces in
+a fixed order: by hash, with the pieces last that are frequent minimisers in a bounded sample of documents
+(``SAMPLE`` of them), so no bucket gets a large part of all windows for one common piece. Consecutive windows that share one form a super-k-mer, which travels as one packed
 string to the bucket of that minimiser, so all windows of equal words meet in one bucket. Equal
 super-k-mers of one map task meet before the shuffle: only that of the smallest document travels, the
 others' words are already known to be repeated. In a bucket, windows are sorted by a hash of their
@@ -21,9 +22,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vetra.llm.common import cut
+
 #: Stands for a null doc_id: never smaller than another.
 NO_ID = 2**63 - 1
+#: Documents sampled for frequent pieces, and how many pieces are put last at most (8 bytes each).
+SAMPLE, MOST_FREQUENT = 20_000, 4_096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LAST = np.uint64(1 << 63)
 _ROUTED = "bucket int, data binary, id long, mark long, a int, b int"
 
 
@@ -33,8 +39,11 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def super_kmers(words: list[bytes], sizes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents laid end to end (``sizes`` words each): first word, number of windows and minimiser of each super-k-mer."""
+def super_kmers(words: list[bytes], sizes: np.ndarray, k: int, m: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents laid end to end (``sizes`` words each): first word, number of windows and minimiser of each super-k-mer.
+
+    Pieces in ``frequent`` (sorted) come after all others.
+    """
     n = len(words)
     nothing = np.empty(0, np.int64)
     if n < k:
@@ -44,7 +53,9 @@ def super_kmers(words: list[bytes], sizes: np.ndarray, k: int, m: int) -> tuple[
     for j in range(1, m):
         piece = (piece + np.uint64(j)) * _MIX ^ (piece >> np.uint64(32))
         piece += word[j : n - m + 1 + j]
-    piece = _scramble(piece)
+    piece = _scramble(piece) >> np.uint64(1)
+    if frequent is not None and len(frequent):
+        piece[frequent[np.minimum(np.searchsorted(frequent, piece), len(frequent) - 1)] == piece] |= _LAST
     span, width, least = k - m + 1, 1, piece
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -121,7 +132,7 @@ class _Routes:
         self.clear()
 
 
-def _route(buckets: int, k: int, m: int, chunk: int, flush: int):
+def _route(buckets: int, k: int, m: int, frequent: np.ndarray, chunk: int, flush: int):
     def run(batches):
         routes = _Routes(buckets, k)
 
@@ -132,7 +143,7 @@ def _route(buckets: int, k: int, m: int, chunk: int, flush: int):
                 words += own
                 sizes.append(len(own))
             sizes = np.array(sizes, np.int64)
-            first, count, least = super_kmers(words, sizes, k, m)
+            first, count, least = super_kmers(words, sizes, k, m, frequent)
             if not len(first):
                 return
             joined = b" ".join(words)
@@ -226,11 +237,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), (F.lit(0).cast("long") if once else F.xxhash64(text)).alias("mark"), text.cast("binary").alias("raw"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
+def frequent_pieces(keyed: DataFrame, k: int, m: int, part: int) -> np.ndarray:
+    """Sorted: the minimisers of over 1 / ``part`` of the windows of about ``SAMPLE`` documents, at most ``MOST_FREQUENT``."""
+
+    def run(batches):
+        for batch in (b.slice(i, 250) for b in batches for i in range(0, b.num_rows, 250)):
+            rows = [x.as_py().split() for x in batch.column(0)]
+            _, count, least = super_kmers([w for r in rows for w in r], np.fromiter(map(len, rows), np.int64, len(rows)), k, m)
+            piece, at = np.unique(least, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.view(np.int64)), pa.array(np.bincount(at, count, len(piece)).astype(np.int64))], names=["piece", "n"])
+
+    step = max(1, keyed.count() // SAMPLE)
+    some = keyed.filter(F.pmod(F.xxhash64("id", "mark"), F.lit(step)) == 0).select("raw")
+    counted = cut(some.mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    top = counted.orderBy(F.desc("n"), "piece").limit(MOST_FREQUENT + 1).collect()  # a bounded number of pieces
+    least = (counted.agg(F.sum("n")).first()[0] or 0) / part
+    return np.sort(np.array([r["piece"] for r in top[:MOST_FREQUENT] if r["n"] > least], np.int64).view(np.uint64))
+
+
 def repeated_spans(keyed: DataFrame, k: int = 13, m: int = 2, bucket_bytes: int = 6_000_000, chunk: int = 1_500_000, flush: int = 60_000_000) -> DataFrame:
     """Of ``keyed`` (id, mark, raw) id, mark, spans: the runs (a, b) of words, a included and b not, that windows repeated from smaller ids cover."""
     size = keyed.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     buckets = max(8, int(size * 3 // bucket_bytes))
-    routed = keyed.select("id", "mark", "raw").mapInArrow(_route(buckets, k, m, chunk, flush), _ROUTED)
+    routed = keyed.select("id", "mark", "raw").mapInArrow(_route(buckets, k, m, frequent_pieces(keyed, k, m, 8 * buckets), chunk, flush), _ROUTED)
     spans = routed.groupBy("bucket").applyInArrow(_bucket(k), "id long, mark long, a int, b int")
     return spans.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -240,7 +269,7 @@ def substring_dedup(docs: DataFrame, k: int = 13, with_text: bool = False) -> Da
 
     Words are runs of characters other than space and \\\\t-\\\\r, unchanged. Removed is each word that a
     window of ``k`` words covers whose words also stand in a document with a smaller doc_id, judged on
-    the input. A null text has no words. Rows that repeat a doc_id aren't smaller than one another; a
+    the input. A null text has no words; a text of any length is taken whole. Rows that repeat a doc_id aren't smaller than one another; a
     null doc_id is larger than any. An empty table gives an empty result; other columns are ignored.
     """
     keyed = _keyed(docs)
