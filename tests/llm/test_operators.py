@@ -189,6 +189,63 @@ def test_language_id(spark, docs, empty, sf_dir):
     assert langid.predicted_languages(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_against_dictionaries(order):
+    """Interpolated Kneser-Ney written out over strings: raw counts at the top and at word starts, continuation counts below."""
+    rng = random.Random(order)
+    samples = {k: [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(120))] for k, letters in {"a": "abcde", "b": "bcdefxyz"}.items()}
+    models = langid.Models(samples, order)
+    queries = ["abc", "xyz", "eeee", "q", "bad", "zq", *samples["a"][0].split()[:20]]
+    loss, starts = models.losses(queries)
+    for k, language in enumerate(models.languages):
+        times = collections.Counter(samples[language][0].split())
+        raw = [collections.Counter() for _ in range(order + 1)]  # n-grams as strings; the opening edge is never predicted
+        for word, n in times.items():
+            marked = f" {word} "
+            for i in range(1, len(marked)):
+                for size in range(1, min(order, i + 1) + 1):
+                    raw[size][marked[i - size + 1 : i + 1]] += n
+        count = [None] * (order + 1)
+        for size in range(1, order + 1):
+            if size == order:
+                count[size] = dict(raw[size])
+            else:
+                before = collections.Counter(g[1:] for g in raw[size + 1])
+                count[size] = {g: before[g] if not g.startswith(" ") or size == 1 else n for g, n in raw[size].items()}
+        total, types, discount = [collections.Counter() for _ in count], [collections.Counter() for _ in count], [0.0] * (order + 1)
+        for size in range(1, order + 1):
+            for g, n in count[size].items():
+                total[size][g[:-1]] += n
+                types[size][g[:-1]] += 1
+            n1, n2 = (sum(v == x for v in count[size].values()) for x in (1, 2))
+            discount[size] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        alphabet = len(count[1]) + 1
+        spread = discount[1] * types[1][""] / total[1][""] / alphabet
+
+        def p(context, c):
+            if not context:
+                seen = count[1].get(c)
+                return spread / 64 if seen is None else max(seen - discount[1], 0) / total[1][""] + spread
+            size = len(context) + 1
+            low = p(context[1:], c)
+            if not total[size][context]:
+                return low
+            return max(count[size].get(context + c, 0) - discount[size], 0) / total[size][context] + discount[size] * types[size][context] / total[size][context] * low
+
+        want = [-math.log2(p(f" {w} "[max(0, i - order + 1) : i], f" {w} "[i])) for w in queries for i in range(1, len(w) + 2)]
+        assert np.allclose(loss[:, k], want, rtol=1e-4, atol=1e-4), language
+
+
+def test_other_languages_are_rejected(spark):
+    own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = langid.fit(own)
+    odd = ["Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. " * 3, "幸福的家庭都是相似的,不幸的家庭各有各的不幸。" * 5, "xkqz wvvq zzxj qpwk bnmq xxcv " * 10, "kaikki onnelliset perheet ovat toistensa kaltaisia jokainen onneton perhe on onneton omalla tavallaan " * 3]
+    rows = spark.createDataFrame(list(enumerate(odd + ["A" * 2_000_000])), "doc_id long, text string")
+    got = sorted(langid.identify(rows, models).collect())
+    assert all(r.rejected for r in got) and len(got) == 5
+    assert langid.keep_identified(rows, models).count() == 0
+
+
 def test_kneser_ney_sums_to_one():
     models = langid.Models({"a": ["abc abd bcd cab dab", "acb bad"], "b": ["xyz"]}, 3)
     for start in ("a", "ab", "q"):
@@ -251,6 +308,50 @@ def test_license_templates(spark):
     assert [r.labels for r in sorted(licenses.license_scan(rows).collect())] == ["gpl-3", "", "mit"]
 
 
+def test_license_labels_against_every_start():
+    """The index finds what trying every template at every start finds."""
+    vocabulary = {w for _, text, _ in licenses.TEMPLATES for w in text.encode().split()}
+    rng, total = random.Random(4), 5000
+    index = licenses.Index(licenses.TEMPLATES, {w: rng.randrange(1, 3000) if len(w) < 5 else rng.randrange(0, 60) for w in vocabulary}, total)
+
+    def brute(words, slack=2, enough=0.6):
+        found = {}
+        for t, (label, own, phrases) in enumerate(index.templates):
+            for start in range(-len(own) - slack, len(words) + slack):
+                near = lambda i: words[max(0, start + i - slack) : max(0, start + i + slack + 1)]
+                votes = sum(index.idf[w] for w, at in index.own_rare[t].items() if any(w in near(i) for i in at))
+                if votes < enough * index.weight[t] - 1e-9:
+                    continue
+                region = words[max(0, start - slack) : start + len(own) + slack]
+                if all(any(region[i : i + len(p)] == p for i in range(len(region))) for p in phrases):
+                    share = sum(w in near(i) for i, w in enumerate(own)) / len(own)
+                    if share >= enough:
+                        found[label] = max(share, found.get(label, 0))
+        return found
+
+    some = sorted(vocabulary)
+    seen = set()
+    for k in range(120):
+        words = rng.choices(some, k=rng.randrange(0, 30))
+        for _ in range(rng.randrange(1, 3)):
+            text = rng.choice(licenses.TEMPLATES)[1].encode().split()
+            text = [rng.choice(some) if rng.random() < k / 400 else w for w in text if rng.random() > k / 1500]
+            words += text + rng.choices(some, k=rng.randrange(0, 20))
+        want = brute(words)
+        assert index.match(words) == pytest.approx(want) and index.match(words, chunk=40) == pytest.approx(want)
+        seen |= want.keys()
+    assert len(seen) > 8
+
+
+def test_license_scan_of_very_long_texts():
+    index = licenses.Index(licenses.TEMPLATES, {w: 1 for _, text, _ in licenses.TEMPLATES for w in text.encode().split()}, 100)
+    words = licenses.words_of(b"under the MIT license. " * 200_000)
+    places = licenses.base_places(words, licenses.BASE)
+    assert [p for p, _ in places] == list(range(0, 800_000, 4)) and index.match(words) == {"mit": 0.8}
+    assert index.match(words + licenses.words_of(b"Released under the MIT License")) == {"mit": 1.0}
+    assert index.match([b"unencumbered"] * 1_000_000) == {}
+
+
 def test_substring(docs, empty):
     seen = {}
     split = [(2**63 - 1 if i is None else i, i, WORDS.findall(t or "")) for i, t in texts()]
@@ -267,9 +368,35 @@ def test_substring(docs, empty):
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         want.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     assert sorted(map(tuple, substring.substring_dedup(docs).collect()), key=str) == sorted(want, key=str)
+    pieces = substring.frequent_pieces(substring._keyed(docs), 13, 2, 200)
+    assert len(pieces) > 3 and (np.diff(pieces.astype(float)) > 0).all()
     assert substring.substring_dedup(empty).count() == 0
 
 
+def test_frequent_pieces_come_last():
+    rng = random.Random(2)
+    words = [b"of", b"the"] * 50 + [b"w%d" % rng.randrange(40) for _ in range(400)]
+    first, count, least = substring.super_kmers(words, np.array([len(words)]), 13, 2)
+    assert count.sum() == len(words) - 12
+    common = np.sort(np.unique(least)[:5])
+    again, counts, later = substring.super_kmers(words, np.array([len(words)]), 13, 2, common)
+    assert counts.sum() == count.sum() and np.isin(later, common).sum() == 0
+    # windows of equal words have equal minimisers whatever is frequent
+    by = {}
+    for f, c, q in zip(again.tolist(), counts.tolist(), later.tolist()):
+        for i in range(f, f + c):
+            assert by.setdefault(tuple(words[i : i + 13]), q) == q
+
+
+def test_substring_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(rng.choice(("of the", "in a", "x%d" % rng.randrange(10**6))) for _ in range(300_000))
+    rows = [(1, passage), (2, f"{long} {passage} end"), (3, None), (4, "")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (60, 0), 2: (len(long.split()) + 61, 60), 3: (0, 0), 4: (0, 0)}
+
+
 def test_lm_scores(docs, empty):
     out = ngramlm.lm_scores(docs, block_bytes=3000, shard_bytes=6000).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
