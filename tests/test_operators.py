@@ -201,3 +201,109 @@ def test_split_covers_every_group(spark):
     groups = spark.createDataFrame([(f"g{i}", "c", "f", 1 + i % 3) for i in range(40)], "group_id string, class_name string, fragment_type string, size long")
     rows = K.greedy_split(groups).collect()
     assert len(rows) == 40 and {r["split"] for r in rows} == {"train", "validation", "test"}
+
+
+@pytest.mark.parametrize("below", [17, 20, 24, 33, 64, 12.5])
+def test_near_links_at_wide_bounds(spark, below):
+    import random
+
+    rng, rows = random.Random(int(below)), []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for k in (0, int(below) - 1, int(below), int(below) + 1):
+            x = base
+            for b in rng.sample(range(64), min(k, 64)):
+                x ^= 1 << b
+            rows.append((len(rows), x - 2**64 if x >= 2**63 else x))
+    far = lambda a, b: ((a ^ b) % 2**64).bit_count()
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and far(a, b) < below}
+    table = spark.createDataFrame(rows, "image_id long, hash long")
+    assert {(r.a, r.b) for r in K.near_links(table, below).collect()} == want and len(want) >= 12
+    with pytest.raises(ValueError):
+        K.near_links(table, 65)
+
+
+def test_group_links_join_what_near_links_join(spark):
+    table = spark.createDataFrame([(1, 7), (2, 7), (3, 6), (4, 0xFF00), (5, 0xFF00), (6, 0x0FF0)], "image_id long, hash long")
+    roots = {r.node: r.root for r in K.group_roots(K.group_links(table, 2, bits=16)).collect()}
+    assert roots == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+def test_a_class_with_one_type_to_hold_out_is_an_error(spark):
+    rows = spark.createDataFrame([("a", "x")] * 3 + [("a", "y")] * 4 + [("b", "x")] * 5 + [("b", "y")], "class_name string, fragment_type string")
+    assert K.heldout_types(rows.filter("class_name = 'a'"), 2).collect() == [("a", "x", 3)]
+    with pytest.raises(Exception, match="fewer than two fragment types"):
+        K.heldout_types(rows, 2).collect()
+
+
+def test_stored_artifacts_are_checked(spark, tmp_path):
+    from vetra.sources import store
+
+    rows = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "class_name string, w array<double>")
+    store.save_classifier(rows, f"{tmp_path}/m", "v4", "f1", {"c": 1.0})
+    back, document = store.load_classifier(spark, f"{tmp_path}/m", "f1")
+    assert sorted(back.collect()) == sorted(rows.collect()) and document == {"version": "v4", "fingerprint": "f1", "rows": 2, "classes": ["a", "b"], "config": {"c": 1.0}}
+    with pytest.raises(store.ArtifactMismatch, match="made with f1"):
+        store.load_artifact(spark, f"{tmp_path}/m", "f2")
+    rows.limit(1).write.mode("append").parquet(f"{tmp_path}/m/rows")
+    with pytest.raises(store.ArtifactMismatch, match="3 rows"):
+        store.load_artifact(spark, f"{tmp_path}/m")
+    spark.createDataFrame([("z", [2.0])], rows.schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/n/rows")
+    assert set(store.save_scored(spark.createDataFrame([(1, "test"), (2, "validation")], "id long, split string"), f"{tmp_path}/s")) == {"test", "validation"}
+
+
+def test_artifacts_that_do_not_belong_together(spark):
+    from vetra.sources.store import ArtifactMismatch
+
+    parts = lambda *f: spark.createDataFrame([(str(i), x) for i, x in enumerate(f)], "part string, fingerprint string")
+    versions = lambda a, b: spark.createDataFrame([(a, b)], "calibrated_on string, loaded string")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "class_name string")
+    L.require_consistent(parts("f", "f"), versions("v1", "v1"), names("a"), names("a", "b"))
+    for bad, what in (((parts("f", "g"), versions("v1", "v1"), names("a"), names("a")), "fingerprints"), ((parts("f", "f"), versions("v1", "v2"), names("a"), names("a")), "index_version"), ((parts("f", "f"), versions("v1", "v1"), names("a", "c"), names("a")), "index_classes")):
+        with pytest.raises(ArtifactMismatch, match=what):
+            L.require_consistent(*bad)
+
+
+def test_softmax_fit_is_the_optimum():
+    """The gradient vanishes, a larger strength fits closer, and an unseen class gets nothing."""
+    import numpy as np
+
+    from vetra.operators import crossvalidation as X
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 4)), rng.integers(0, 3, 60)
+    for c in (0.01, 1.0, 100.0):
+        beta = X.fit_softmax(x, y, 4, c)
+        p = X.probabilities(beta, x, np.array([True, True, True, False]))
+        assert (p[:, 3] == 0).all() and np.allclose(p.sum(axis=1), 1)
+        slope = c * x.T @ (X.balanced(y, 4)[:, None] * (p - np.eye(4)[y])) + beta[:-1]
+        assert np.abs(slope).max() < 1e-3 * max(1, c)
+
+
+def test_cross_validation_holds_groups_out(spark):
+    """Pairs of a group never help each other: each row is predicted by a fit without its fold."""
+    import numpy as np
+
+    from vetra.operators import crossvalidation as X
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 2, (i // 2) % 4, [float(i % 2) * 3 + float(rng.normal()), float(rng.normal()), 1.0]) for i in range(48)]
+    table = spark.createDataFrame(rows, "id long, label long, fold int, v array<double>")
+    found = X.out_of_fold(table, 4, (0.1, 10.0), 2)
+    assert sorted((r.c, r.id) for r in found.collect()) == sorted((c, i) for c in (0.1, 10.0) for i in range(48))
+    x, y, fold = np.array([r[3] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    p = np.zeros(48)
+    for k in range(4):
+        beta = X.fit_softmax(x[fold != k], y[fold != k], 2, 10.0)
+        p[fold == k] = X.probabilities(beta, x[fold == k], np.ones(2, bool))[np.arange(12), y[fold == k]]
+    scores = {r.c: r for r in X.by_strength(found).collect()}
+    assert scores[10.0].log_loss == pytest.approx(-np.log(p).mean(), rel=1e-6) and len(scores[0.1].fold_accuracies) == 4
+    best = X.best(X.by_strength(found)).first()
+    assert best.log_loss == min(s.log_loss for s in scores.values()) and best.accuracy > 0.8
+
+
+def test_folds_spread_large_groups(spark):
+    rows = spark.createDataFrame([(f"g{i}", "a", s) for i, s in enumerate([9, 9, 5, 4, 1, 1, 1])] + [("h", "b", 3)], "group_id string, class_name string, size long")
+    of = {r.group_id: r.fold for r in E.group_folds(rows, 2).collect()}
+    size = {g: s for g, s in zip([f"g{i}" for i in range(7)], [9, 9, 5, 4, 1, 1, 1])}
+    assert len(of) == 8 and abs(sum(s for g, s in size.items() if of[g] == 0) - 15) <= 1

@@ -5,7 +5,7 @@ import pytest
 from tests.oracle import same
 from vetra.queries import ORACLES, QUERIES
 
-SLOW = {"kmeans_references", "fit_risk", "logreg_train_score", "select_c"}
+SLOW = {"kmeans_references", "fit_risk"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

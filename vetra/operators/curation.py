@@ -6,10 +6,13 @@ Frames have image_id, path, class_name, fragment_type, sha256, and carry role an
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+
 def begin(rows: DataFrame) -> DataFrame:
     """No row has a role yet."""
     return rows.withColumns({k: F.lit(None).cast("string") for k in ("role", "exclusion_reason")})
@@ -59,13 +62,21 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
     return assign(marked, F.col("path") > F.col("first_path"), "excluded", "exact duplicate").drop("first_path")
 
 
-def simhash60(text: Column) -> Column:
-    """60-bit SimHash of distinct words, hashed by the head of their MD5."""
-    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != ""))
-    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 15), 16, 10).cast("long"))
-    zero = F.array(*[F.lit(0) for _ in range(60)])
-    votes = F.aggregate(hashes, zero, lambda acc, h: F.transform(acc, lambda n, i: n + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)))
-    return F.aggregate(F.transform(votes, lambda n, i: F.when(n > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
+def simhash60(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, hash: the 60-bit SimHash of distinct words, hashed by the head of their MD5.
+
+    Bits are counted by one hash aggregation with map-side partials; no word leaves its map task. ``key`` names a row.
+    """
+    words = F.array_distinct(F.split(F.lower(text), r"[^a-z0-9]+"))
+    spread = rows.select(key, F.explode(words).alias("w")).filter("w <> ''")
+    hashed = spread.select(key, F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 15), 16, 10).cast("long").alias("h"))
+    bit = lambda i: F.call_function("shiftright", F.col("h"), F.lit(i)).bitwiseAND(F.lit(1).cast("long"))
+    counted = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(60)])
+    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(60)]
+    total = bits[0]
+    for b in bits[1:]:
+        total = total + b
+    return rows.select(key).join(counted.select(key, total.alias("hash")), key, "left").select(key, F.coalesce("hash", F.lit(0).cast("long")).alias("hash"))
 
 
 def distance_histogram(rows: DataFrame) -> DataFrame:
@@ -88,19 +99,28 @@ def percentile_of_histogram(histogram: DataFrame, p: float) -> DataFrame:
 def near_links(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) -> DataFrame:
     """Pairs a < b (image_id) whose hashes differ in fewer than ``below`` bits.
 
-    Hashes that close agree in at least one of ``bands`` runs of bits, so an equi-join on runs finds
-    every pair; where the bound is too wide for that, runs narrow until it holds.
+    Hashes that close agree in at least one of as many runs of bits as the bound, so an equi-join on
+    runs finds every pair.
     """
-    bands = max(bands, int(below) + 1)
-    width = -(-bits // bands)
-    run = lambda i: F.call_function("shiftrightunsigned", F.col("hash"), F.lit(i * width)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    keyed = rows.select("image_id", "hash", F.posexplode(F.array(*[run(i) for i in range(-(-bits // width))])).alias("band", "bits"))
+    runs = max(bands, ceil(below))
+    if runs > bits:
+        raise ValueError(f"hashes of {bits} bits have no {runs} runs")
+    edges = [i * bits // runs for i in range(runs + 1)]
+    run = lambda lo, hi: F.call_function("shiftrightunsigned", F.col("hash"), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).cast("long"))
+    keyed = rows.select("image_id", "hash", F.posexplode(F.array(*[run(lo, hi) for lo, hi in zip(edges, edges[1:])])).alias("band", "bits"))
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.image_id") < F.col("b.image_id")))
     distance = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash")))
     return met.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b"), distance.alias("distance")).filter(F.col("distance") < below).distinct()
 
 
+def group_links(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) -> DataFrame:
+    """Links a, b (image_id) that span the groups of ``near_links``: equal hashes are one node, so copies make no pairs."""
+    firsts = rows.groupBy("hash").agg(F.min("image_id").alias("first"))
+    apart = near_links(firsts.select(F.col("first").alias("image_id"), "hash"), below, bands, bits).select("a", "b")
+    return apart.unionByName(rows.join(firsts, "hash").filter("image_id <> first").select(F.col("first").alias("a"), F.col("image_id").alias("b")))
+
+
 def group_roots(links: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root: the smallest id that each linked node reaches; labels spread until nothing changes."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
@@ -134,11 +154,23 @@ def mixed_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group_id").agg(F.count_distinct("class_name").alias("classes"), F.count(F.lit(1)).alias("images")).filter("classes > 1")
 
 
+def type_candidates(rows: DataFrame, least: int) -> DataFrame:
+    """class_name, candidates: how many of its fragment types have ``least`` images or more."""
+    counts = rows.groupBy("class_name", "fragment_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("class_name").agg(F.count_if(F.col("n") >= least).alias("candidates"))
+
+
 def heldout_types(rows: DataFrame, least: int) -> DataFrame:
-    """Per class the fragment type with the fewest images, of those with ``least`` or more; ties by name. Needs two candidates."""
-    counts = rows.groupBy("class_name", "fragment_type").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    best = counts.groupBy("class_name").agg(F.min(F.struct("n", "fragment_type")).alias("m"), F.count(F.lit(1)).alias("candidates"))
-    return best.filter("candidates >= 2").select("class_name", F.col("m.fragment_type").alias("fragment_type"), F.col("m.n").alias("n"))
+    """Per class the fragment type with the fewest images, of those with ``least`` or more; ties by name.
+
+    A class with fewer than two candidates is an error: nothing of it could be learned.
+    """
+    counts = rows.groupBy("class_name", "fragment_type").agg(F.count(F.lit(1)).alias("n"))
+    candidates = F.count_if(F.col("n") >= least)
+    best = counts.groupBy("class_name").agg(F.min(F.when(F.col("n") >= least, F.struct("n", "fragment_type"))).alias("m"), candidates.alias("candidates"))
+    refused = F.raise_error(F.concat(F.lit("fewer than two fragment types to hold out of class "), F.coalesce("class_name", F.lit("null"))))
+    checked = F.when(F.col("candidates") < 2, refused.cast("string")).otherwise(F.col("m.fragment_type"))
+    return best.select("class_name", checked.alias("fragment_type"), F.col("m.n").alias("n"))
 
 
 def heldout_groups(rows: DataFrame, types: DataFrame) -> DataFrame:

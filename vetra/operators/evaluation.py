@@ -51,9 +51,16 @@ def pick(rows: DataFrame, case: str, where: Column, *order: Column) -> DataFrame
 
 
 def group_folds(groups: DataFrame, folds: int, seed: str = "cv") -> DataFrame:
-    """group_id, fold: groups of a class dealt in turn in the order of a seeded hash, so folds are stratified and keep groups whole."""
-    order = W.partitionBy("class_name").orderBy(F.md5(F.concat(F.lit(seed), "group_id").cast("binary")), "group_id")
-    return groups.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int")).select("group_id", "fold")
+    """group_id, fold for ``groups`` (group_id, class_name, size): groups stay whole, folds are alike in classes.
+
+    Within a class, larger groups come first (ties by a seeded hash) and are dealt to and fro, so that
+    the images of the class, not only its groups, are spread evenly.
+    """
+    order = W.partitionBy("class_name").orderBy(F.desc("size"), F.md5(F.concat(F.lit(seed), "group_id").cast("binary")), "group_id")
+    nth = F.row_number().over(order) - 1
+    place = F.col("nth") % folds
+    fold = F.when(F.floor(F.col("nth") / folds) % 2 == 0, place).otherwise(folds - 1 - place)
+    return groups.withColumn("nth", nth).select("group_id", fold.cast("int").alias("fold"))
 
 
 def adopts(accuracy: Column, loss: Column, best_accuracy: Column, best_loss: Column, latency: Column, budget: float) -> Column:

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetra.sources.store import ArtifactMismatch
+
 
 def upload_code(kind: Column, size: Column, allowed: list[str], most: int) -> Column:
     """Status of an upload: the format is judged first, then the size, then the content."""
@@ -21,9 +23,24 @@ def manifest_diff(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("role", state.alias("state")).filter("state IS NOT NULL")
 
 
-def one_fingerprint(parts: DataFrame) -> DataFrame:
-    """Number of distinct fingerprints among parts (part, fingerprint), and whether they agree."""
-    return parts.agg(F.count_distinct("fingerprint").alias("fingerprints")).withColumn("consistent", F.col("fingerprints") == 1)
+def consistency(fingerprints: DataFrame, versions: DataFrame, index_classes: DataFrame, known_classes: DataFrame) -> DataFrame:
+    """check, passed: whether artifacts that are loaded together belong together.
+
+    ``fingerprints`` (part, fingerprint) of encoder, classifier, index and unknown calibration must be one;
+    ``versions`` (calibrated_on, loaded) of the index must agree; the index has no class that the classifier
+    doesn't know (both: class_name).
+    """
+    one = fingerprints.agg((F.count_distinct(F.coalesce("fingerprint", F.lit("none"))) == 1).alias("passed")).select(F.lit("fingerprints").alias("check"), "passed")
+    same = versions.agg(F.coalesce(F.every(F.col("calibrated_on").eqNullSafe(F.col("loaded"))), F.lit(False)).alias("passed")).select(F.lit("index_version").alias("check"), "passed")
+    strange = index_classes.select("class_name").distinct().join(known_classes, "class_name", "left_anti")
+    subset = strange.agg((F.count(F.lit(1)) == 0).alias("passed")).select(F.lit("index_classes").alias("check"), "passed")
+    return one.unionByName(same).unionByName(subset)
+
+
+def require_consistent(fingerprints: DataFrame, versions: DataFrame, index_classes: DataFrame, known_classes: DataFrame) -> None:
+    failed = [r["check"] for r in consistency(fingerprints, versions, index_classes, known_classes).filter("NOT passed").collect()]  # three rows at most
+    if failed:
+        raise ArtifactMismatch(f"artifacts do not belong together: {', '.join(sorted(failed))}")
 
 
 def sha256_file(path: str | Path) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,24 @@ def session(master: str = "local[*]", **settings: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=SETTINGS | settings).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut lineage, in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only on one machine may it be a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        root = "file://" + tempfile.mkdtemp(prefix="vetra-")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vetra-"))
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/vetra-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once and cut lineage with a reliable checkpoint in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -163,24 +163,16 @@ def _training(spark, sf_dir):
 
 @query()
 def logreg_train_score(spark, sf_dir):
+    """Fitted on two thirds of the labelled vectors, until the fit settles; the predictions for the other third."""
     rows = _training(spark, sf_dir)
-    return A.fit_logistic(rows, "x", "label", 1.0, 30).transform(rows).select("vec_id", "prediction")
-
-
-def grid_losses(spark, rows, grid, score):
-    """c, log_loss for each strength, by a scorer of (train, validation)."""
-    from pyspark.ml.functions import vector_to_array
-
-    train, validation = rows.filter("vec_id % 3 <> 0"), rows.filter("vec_id % 3 = 0")
-    found = []
-    for c in grid:
-        scored = A.fit_logistic(train, "x", "label", c, score).transform(validation)
-        p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
-        found.append((c, A.log_loss(scored, p).first()[0]))
-    return spark.createDataFrame(found, "c double, log_loss double")
+    return A.fit_logistic(rows.filter("vec_id % 3 <> 0"), "x", "label", 1.0, 5_000).transform(rows.filter("vec_id % 3 = 0")).select("vec_id", "prediction")
 
 
 @query()
 def select_c(spark, sf_dir):
-    losses = grid_losses(spark, _training(spark, sf_dir), (0.1, 1.0), 15)
-    return losses.agg(F.min(F.struct("log_loss", "c")).alias("m")).select("m.c", "m.log_loss")
+    """The strength of least log-loss on the held-out third, of the whole grid."""
+    from vetra.operators import crossvalidation as X
+    from vetra.queries.evaluation import GRID
+
+    rows = embeddings(spark, sf_dir).filter("label < 6").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), "v", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("fold"))
+    return X.best(X.by_strength(X.out_of_fold(rows, 1, GRID, 6))).select("c", "log_loss")

@@ -39,9 +39,19 @@ def artifact_json_load(spark, sf_dir):
     return T.read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids FROM embeddings GROUP BY label")
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 6 QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5)
+    SELECT vec_id AS reference_id, 'c' || label AS class_name, 'f' || (vec_id % 4) AS fragment_type, len(v)::INT AS width, round(list_inner_product(v, v), 8) AS norm FROM e""")
 def index_roundtrip(spark, sf_dir):
-    return T.read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"))
+    """The reference index is written with its document, loaded again and checked."""
+    from vetra.functions.vectors import dot
+    from vetra.plans.session import shared_path
+    from vetra.queries.screening import references
+    from vetra.sources.store import load_artifact, save_artifact
+
+    path = shared_path(spark, "index")
+    save_artifact(references(spark, sf_dir), path, "index-v1", "unit-64", metric="inner product of unit vectors")
+    rows, _ = load_artifact(spark, path, "unit-64")
+    return rows.select("reference_id", "class_name", "fragment_type", F.size("v").alias("width"), F.round(dot(F.col("v"), F.col("v")), 8).alias("norm"))
 
 
 @query(W_INV + "SELECT image_id, 'img_' || substr(sha256, 1, 12) AS derived_id FROM inv")
@@ -90,7 +100,7 @@ _SIM = """, w AS (SELECT DISTINCT image_id, unnest(string_split_regex(lower(text
 
 @query(W_INV + _SIM + "SELECT image_id, hash FROM sim")
 def simhash_documents(spark, sf_dir):
-    return inventory_rows(spark, sf_dir).select("image_id", K.simhash60(F.col("text")).alias("hash"))
+    return K.simhash60(inventory_rows(spark, sf_dir), "image_id", "text")
 
 
 def hashed(spark, sf_dir):
@@ -132,7 +142,7 @@ def near_dup_links(spark, sf_dir):
 
 def grouped(spark, sf_dir):
     rows = hashed(spark, sf_dir)
-    return K.group_ids(rows, K.group_roots(K.near_links(rows, BELOW, bands=2, bits=16)))
+    return K.group_ids(rows, K.group_roots(K.group_links(rows, BELOW, bands=2, bits=16)))
 
 
 _GROUPS = H_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
@@ -158,13 +168,19 @@ _TYPES = """, ct AS (SELECT class_name, fragment_type, count(*) AS n FROM {t} GR
 
 @query(W_INV + _TYPES.format(t="inv") + "SELECT * FROM ty")
 def heldout_types(spark, sf_dir):
-    return K.heldout_types(inventory_rows(spark, sf_dir), 5)
+    return K.heldout_types(_able(inventory_rows(spark, sf_dir)), 5)
+
+
+def _able(rows):
+    """Rows of the classes that have two types to choose from; for others ``heldout_types`` raises."""
+    able = K.type_candidates(rows, 5).filter("candidates >= 2").select("class_name")
+    return rows.join(F.broadcast(able), "class_name", "left_semi")  # one row a class
 
 
 @query(_GROUPS + _TYPES.format(t="gr") + "SELECT image_id, group_id FROM gr WHERE group_id IN (SELECT group_id FROM gr JOIN ty USING (class_name, fragment_type))")
 def heldout_rows(spark, sf_dir):
     rows = grouped(spark, sf_dir)
-    return K.heldout_groups(rows, K.heldout_types(rows, 5)).select("image_id", "group_id")
+    return K.heldout_groups(rows, K.heldout_types(_able(rows), 5)).select("image_id", "group_id")
 
 
 _MODE = """SELECT group_id, {c}, count(*) AS n FROM gr GROUP BY group_id, {c} QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, {c}) = 1"""
@@ -192,10 +208,19 @@ def greedy_split(spark, sf_dir):
     return K.greedy_split(K.strata(grouped(spark, sf_dir)))
 
 
-@query(_GROUPS + ", gs AS (SELECT group_id, count(*) AS n FROM gr GROUP BY group_id) SELECT count(*) AS groups, count(*) FILTER (n > 1) AS multi_image_groups, max(n) AS largest_group FROM gs")
+@query(_GROUPS + """, gs AS (SELECT group_id, count(*) AS n, count(DISTINCT class_name) AS classes FROM gr GROUP BY group_id)
+    SELECT (SELECT count(*) FROM lk) // 2 AS links, count(*) AS groups, count(*) FILTER (n > 1) AS multi_image_groups, max(n) AS largest_group, count(*) FILTER (classes > 1) AS mixed_groups FROM gs""")
 def group_stats(spark, sf_dir):
-    sizes = grouped(spark, sf_dir).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("multi_image_groups"), F.max("n").alias("largest_group"))
+    """Links are counted from distinct hashes and how often each occurs; no pair of images is made."""
+    rows = hashed(spark, sf_dir)
+    counted = rows.groupBy("hash").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("n"))
+    apart = K.near_links(counted, BELOW, bands=2, bits=16)
+    n = counted.select("image_id", "n")
+    between = apart.join(n.withColumnsRenamed({"image_id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"image_id": "b", "n": "nb"}), "b").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("between"))
+    within = counted.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("within"))
+    sizes = grouped(spark, sf_dir).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_name").alias("classes"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("multi_image_groups"), F.max("n").alias("largest_group"), F.count_if(F.col("classes") > 1).alias("mixed_groups"))
+    return stats.join(between).join(within).select((F.col("between") + F.col("within")).cast("long").alias("links"), "groups", "multi_image_groups", "largest_group", "mixed_groups")
 
 
 @query("""WITH c AS (SELECT DISTINCT source AS class_name FROM documents), r AS (SELECT class_name, row_number() OVER (ORDER BY md5('ood' || class_name), class_name) AS nth, count(*) OVER () AS n FROM c)

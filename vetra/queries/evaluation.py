@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vetra.operators import evaluation as V
 from vetra.operators import release as L
-from vetra.queries.base import INV_SQL, embeddings, inventory_rows, query
-from vetra.queries.curation import H_SQL, hashed
+from vetra.queries.base import E_SQL, INV_SQL, embeddings, inventory_rows, query
 from vetra.queries.screening import S_SQL, references, screened
 from vetra.sources.tables import read
 
@@ -115,36 +115,56 @@ def demo_cases(spark, sf_dir):
 # Experiments
 
 
+FOLDS, GRID = 5, (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
+#: CTEs up to fo(group_id, fold): groups of labelled vectors (ids in runs of three), with their first class.
+_FOLDS = f"""WITH {E_SQL}, dv AS (SELECT vec_id, v, label, 'g' || (vec_id // 3) AS group_id FROM e WHERE label < 6),
+    gp AS (SELECT group_id, min('c' || label) AS class_name, count(*) AS size FROM dv GROUP BY group_id),
+    od AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY size DESC, md5('cv' || group_id), group_id) - 1 AS nth FROM gp),
+    fo AS (SELECT group_id, (CASE WHEN (nth // {FOLDS}) % 2 = 0 THEN nth % {FOLDS} ELSE {FOLDS} - 1 - nth % {FOLDS} END)::INT AS fold FROM od) """
+
+
+def _development(spark, sf_dir):
+    rows = embeddings(spark, sf_dir).filter("label < 6")
+    return rows.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), "v", F.concat(F.lit("g"), F.floor(F.col("vec_id") / 3).cast("string")).alias("group_id"))
+
+
 def _folds(spark, sf_dir):
-    groups = hashed(spark, sf_dir).groupBy(F.format_string("g%d", F.col("hash") % 97).alias("group_id")).agg(F.min("class_name").alias("class_name"))
-    return V.group_folds(groups, 5)
+    name = F.concat(F.lit("c"), F.col("label").cast("string"))
+    return V.group_folds(_development(spark, sf_dir).groupBy("group_id").agg(F.min(name).alias("class_name"), F.count(F.lit(1)).alias("size")), FOLDS)
 
 
-@query()
+@query(_FOLDS + "SELECT group_id, fold FROM fo")
 def group_kfold(spark, sf_dir):
     return _folds(spark, sf_dir)
 
 
-@query("SELECT 0::BIGINT AS groups_in_two_folds")
-def group_kfold_disjoint(spark, sf_dir):
-    per = _folds(spark, sf_dir).groupBy("group_id").agg(F.count_distinct("fold").alias("folds"))
-    return per.agg(F.count_if(F.col("folds") > 1).alias("groups_in_two_folds"))
+@query(_FOLDS + "SELECT fold, label::BIGINT AS label, count(*) AS images, count(DISTINCT group_id) AS groups FROM dv JOIN fo USING (group_id) GROUP BY ALL")
+def group_kfold_balance(spark, sf_dir):
+    """Images and groups of every class in every fold."""
+    rows = _development(spark, sf_dir).join(_folds(spark, sf_dir), "group_id")
+    return rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("group_id").alias("groups"))
+
+
+def _predictions(spark, sf_dir, grid=GRID):
+    from vetra.operators import crossvalidation as X
+
+    return X.out_of_fold(_development(spark, sf_dir).join(_folds(spark, sf_dir), "group_id"), FOLDS, grid, 6)
 
 
 @query()
 def cv_scores(spark, sf_dir):
-    """Accuracy by fold, out of fold, of the class whose first training vector is nearest in direction."""
-    from pyspark.sql import Window as W
+    """Fold accuracies, pooled accuracy and log-loss of out-of-fold predictions, for every strength of the grid."""
+    from vetra.operators import crossvalidation as X
+
+    return X.by_strength(_predictions(spark, sf_dir))
+
 
-    from vetra.functions.vectors import dot
+@query()
+def cross_validate(spark, sf_dir):
+    """The strength of least out-of-fold log-loss, with its scores."""
+    from vetra.operators import crossvalidation as X
 
-    rows = embeddings(spark, sf_dir).filter("label < 6").withColumn("fold", F.col("vec_id") % 5)
-    folds = spark.range(5).select(F.col("id").alias("out"))
-    first = F.row_number().over(W.partitionBy("out", "label").orderBy("vec_id"))
-    heads = rows.join(F.broadcast(folds), F.col("fold") != F.col("out")).withColumn("nth", first).filter("nth = 1").select("out", F.col("label").alias("said"), F.col("v").alias("w"))
-    scored = rows.join(F.broadcast(heads), F.col("fold") == F.col("out")).withColumn("z", dot(F.col("v"), F.col("w")))
-    best = scored.groupBy("vec_id", "fold", "label").agg(F.max_by("said", F.struct("z", -F.col("said"))).alias("said"))
-    return best.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), V.rate(F.col("said") == F.col("label")).alias("accuracy"))
+    return X.best(X.by_strength(_predictions(spark, sf_dir)))
 
 
 @query(S_SQL + f"SELECT fragment_type, count(*) AS images, count(*) FILTER (NOT {_HIT}) AS errors FROM s WHERE label < 6 GROUP BY fragment_type")
@@ -229,20 +249,41 @@ def gauge_position(spark, sf_dir):
 # Release
 
 
-@query("SELECT count(DISTINCT label % 1) AS fingerprints, count(DISTINCT label % 1) = 1 AS consistent FROM embeddings")
-def consistency_check(spark, sf_dir):
-    parts = embeddings(spark, sf_dir).select(F.col("vec_id").alias("part"), (F.col("label") % 1).alias("fingerprint"))
-    return L.one_fingerprint(parts)
+_REFS = f"WITH {E_SQL}, rf AS (SELECT vec_id, 'c' || label AS class_name, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS nth FROM e WHERE label < 6) "
+_VERSION = "(SELECT md5(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) FROM rf WHERE nth <= {n})"
+_SAME = f"{_VERSION.format(n=5)} = {_VERSION.format(n='{n}')}"
 
 
-@query(f"""WITH {INV_SQL}, m AS (SELECT 'role' || image_id AS role, sha256 FROM inv WHERE image_id < 24), a AS (SELECT 'role' || image_id AS role, CASE WHEN image_id % 5 = 0 THEN sha256(sha256) ELSE sha256 END AS found FROM inv WHERE image_id < 24 AND image_id % 7 <> 3)
+@query(_REFS + f"""SELECT * FROM (VALUES
+    ('as_released', 'fingerprints', (SELECT count(DISTINCT len(v)) = 1 FROM rf)), ('as_released', 'index_version', {_SAME.format(n=5)}), ('as_released', 'index_classes', true),
+    ('newer_index', 'fingerprints', (SELECT count(DISTINCT len(v)) = 1 FROM rf)), ('newer_index', 'index_version', {_SAME.format(n=6)}), ('newer_index', 'index_classes', true),
+    ('other_encoder', 'fingerprints', (SELECT count(DISTINCT len(x)) = 1 FROM (SELECT v AS x FROM rf UNION ALL SELECT v[1:32] FROM rf))), ('other_encoder', 'index_version', {_SAME.format(n=5)}),
+    ('other_encoder', 'index_classes', (SELECT count(*) = 0 FROM rf WHERE class_name NOT IN (SELECT class_name FROM rf WHERE class_name <> 'c5')))) AS t(release, "check", passed)""")
+def consistency_check(spark, sf_dir):
+    """Three releases: as made; with an index of more references than the calibration saw; with a classifier of other vectors and one class less."""
+    refs = embeddings(spark, sf_dir).filter("label < 6").select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("class_name"), "v", "label")
+    nth = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
+    refs = refs.withColumn("nth", nth).filter("nth <= 6")
+    made_of = lambda part, width: refs.select(F.lit(part).alias("part"), F.concat(F.lit("unit-"), width.cast("string")).alias("fingerprint")).distinct()
+    version = lambda n: F.md5(F.array_join(F.array_sort(F.collect_list(F.when(F.col("nth") <= n, F.col("vec_id")))), ",").cast("binary"))
+    full, half = F.size("v"), F.size(F.slice("v", 1, 32))
+    names = refs.select("class_name").distinct()
+    out = None
+    for release, width, loaded, known in (("as_released", full, 5, names), ("newer_index", full, 6, names), ("other_encoder", half, 5, names.filter("class_name <> 'c5'"))):
+        parts = made_of("encoder", full).union(made_of("index", full)).union(made_of("unknown calibration", full)).union(made_of("classifier", width))
+        found = L.consistency(parts, refs.agg(version(5).alias("calibrated_on"), version(loaded).alias("loaded")), names, known).withColumn("release", F.lit(release))
+        out = found if out is None else out.unionByName(found)
+    return out.select("release", "check", "passed")
+
+
+@query(f"""WITH {INV_SQL}, m AS (SELECT 'role' || image_id AS role, sha256 FROM inv), a AS (SELECT 'role' || image_id AS role, CASE WHEN image_id % 5 = 0 THEN sha256(sha256) ELSE sha256 END AS found FROM inv WHERE fragment_type <> 'src3')
     SELECT role, CASE WHEN found IS NULL THEN 'missing' ELSE 'changed' END AS state FROM m LEFT JOIN a USING (role) WHERE found IS NULL OR found <> m.sha256""")
 def manifest_diff(spark, sf_dir):
-    """24 roles; every fifth file has changed, some are missing."""
-    rows = inventory_rows(spark, sf_dir).filter("image_id < 24")
+    """Every document is a role; those of one source are missing, every fifth of the others has changed."""
+    rows = inventory_rows(spark, sf_dir)
     role = F.concat(F.lit("role"), F.col("image_id").cast("string")).alias("role")
     changed = F.when(F.col("image_id") % 5 == 0, F.sha2(F.col("sha256").cast("binary"), 256)).otherwise(F.col("sha256")).alias("sha256")
-    return L.manifest_diff(rows.select(role, "sha256"), rows.filter("image_id % 7 <> 3").select(role, changed))
+    return L.manifest_diff(rows.select(role, "sha256"), rows.filter("fragment_type <> 'src3'").select(role, changed))
 
 
 @query("SELECT array_to_string(list_sort(list(DISTINCT lang)), ', ') AS datasets, array_to_string(list_sort(list(DISTINCT source)), ', ') AS fragments FROM documents")
