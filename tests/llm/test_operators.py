@@ -401,33 +401,53 @@ def test_lm_scores(docs, empty):
     out = ngramlm.lm_scores(docs, block_bytes=3000, shard_bytes=6000).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     split = [(i, WORDS.findall((t or "").translate(LOWER)) + [""]) for i, t in texts()]
-    c, pair, total, types = (collections.Counter() for _ in range(4))
+    c, pair, triple, total, types = (collections.Counter() for _ in range(5))
+    histories = lambda w: zip([None, "", *w[:-2]], ["", *w[:-1]], w)  # noqa: E731 - a first token has no longer context
     for i, w in split:
         if not held(i):
             c.update(w)
-            pair.update(zip(["", *w[:-1]], w))
-    for (h, _), n in pair.items():
-        total[h] += n
-        types[h] += 1
+            pair.update((h, x) for _, h, x in histories(w))
+            triple.update(((g, h), x) for g, h, x in histories(w) if g is not None)
+    for counted in (pair, triple):
+        for (h, _), n in counted.items():
+            total[h] += n
+            types[h] += 1
     n, v = sum(c.values()), len(c)
     uni = lambda x: (c[x] + 1) / (n + v + 1)
-    p = lambda h, x: (max(pair[h, x] - 0.75, 0) + 0.75 * types[h] * uni(x)) / total[h] if h in total else uni(x)
-    want = [(i, held(i), len(w), sum(x in c for x in w), n, sum(math.log10(uni(x)) for x in w), sum(math.log10(p(h, x)) for h, x in zip(["", *w[:-1]], w))) for i, w in split]
+    over = lambda counted, h, x, low: (max(counted[h, x] - 0.75, 0) + 0.75 * types[h] * low) / total[h] if h in total else low
+    p = lambda g, h, x: over(triple, (g, h), x, over(pair, h, x, uni(x)))
+    want = [(i, held(i), len(w), sum(x in c for x in w), n, sum(math.log10(uni(x)) for x in w), sum(math.log10(p(*x)) for x in histories(w))) for i, w in split]
     assert len(out) == len(want)
     for a, b in zip(sorted(map(tuple, out), key=lambda r: (str(r[0]), r[2], r[5])), sorted(want, key=lambda r: (str(r[0]), r[2], r[5]))):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], abs=2e-4 * b[2] + 1e-9)
     assert ngramlm.lm_scores(empty).count() == 0
 
 
-def test_elias_fano():
+@pytest.mark.parametrize("top,n", [(10, 300), (1000, 300), (10**12, 300), (50, 20_000), (2**40, 20_000), (1, 5), (7, 1)])
+def test_elias_fano(top, n):
     rng = np.random.default_rng(2)
-    for top in (10, 1000, 10**12):
-        values = np.sort(rng.integers(0, top, 300))
-        level = ngramlm.EliasFano(values, lambda a: a)
-        assert (level.get(np.arange(300)) == values).all()
-        wanted = np.concatenate([values, rng.integers(0, top + 5, 200)])
-        place, found = level.successor(wanted)
-        assert (place == np.searchsorted(values, wanted)).all() and (found == np.isin(wanted, values)).all()
+    values = np.sort(rng.integers(0, top, n))
+    level = ngramlm.EliasFano(values, lambda a: a)
+    assert (level.get(np.arange(n)) == values).all()
+    wanted = np.concatenate([values, rng.integers(0, top + 5, 500)])
+    place, found = level.successor(wanted)
+    assert (place == np.searchsorted(values, wanted)).all() and (found == np.isin(wanted, values)).all()
+    # bits are packed: about 2 + log2(top / n) a value, and samples of 64 bits each 512
+    assert level.low.nbytes + level.high.nbytes <= n * (2 + max(0, math.log2(top / n)) + 1) / 8 + 160
+    assert ngramlm.EliasFano(values[:0], lambda a: a).successor(wanted)[1].sum() == 0
+
+
+def test_trie_levels():
+    """Pointers enclose the successors of their context; unknown contexts and words give nothing."""
+    first, second, count = np.array([2, 2, 5, 9]), np.array([1, 7, 7, 0]), np.array([3, 1, 2, 4])
+    context, third, times = np.array([0, 0, 2]), np.array([4, 6, 6]), np.array([1, 2, 2])
+    trie = ngramlm.Trie(first, second, count, context, third, times, 0.75)
+    pointers = [trie.second[1].get(np.arange(4)).tolist(), trie.third[1].get(np.arange(5)).tolist()]
+    assert pointers == [[0, 2, 3, 4], [0, 2, 2, 3, 3]]
+    near, far, near3, far3 = (ngramlm._decode(x) for x in trie.query(np.array([2, 2, 3, 5, 9]), np.array([1, 8, 7, 7, 0]), np.array([0, 0, 1, 2, 3, 4]), np.array([6, 5, 6, 6, 6, 6])))
+    close = lambda got, want: np.allclose(got, want, rtol=3e-4)
+    assert close(near, [2.25 / 4, 0, 0, 1.25 / 2, 3.25 / 4]) and close(far, [1.5 / 4, 1.5 / 4, 0, 0.75 / 2, 0.75 / 4])
+    assert close(near3, [1.25 / 3, 0, 0, 0, 1.25 / 2, 0]) and close(far3, [1.5 / 3, 1.5 / 3, 0, 0, 0.75 / 2, 0])
 
 
 def components_of(fps, radius):
@@ -510,6 +530,26 @@ def test_vantage_point_tree():
             assert of[i] & of[j]
 
 
+def test_stars_have_the_components_of_the_links():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 0), (50, 30), (300, 290), (2000, 1999)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        if m == 1999:  # a long chain in a random order
+            order = rng.permutation(n)
+            u, v = order[:-1], order[1:]
+        root = list(range(n))
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+        for x, y in zip(u.tolist(), v.tolist()):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        got = dict(zip(*(x.tolist() for x in simhash.stars(u, v))))
+        assert {i: got.get(i, i) for i in range(n)} == {i: find(i) for i in range(n)}
+
+
 def test_a_crowd_of_equal_keys_is_walked():
     rng = np.random.default_rng(6)
     fp = rng.integers(0, 2**64, (900, 1), np.uint64)

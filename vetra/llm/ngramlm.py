@@ -1,17 +1,22 @@
 """Language-model scoring with sharded Elias-Fano n-gram tries.
 
-The model is an interpolated bigram over all training tokens, on an add-one unigram:
-p(w|h) = max(c(hw) - D, 0) / c(h) + D t(h) / c(h) p(w), t(h) being h's distinct successors.
+The model is an interpolated trigram over all training tokens, on a bigram, on an add-one unigram:
+p(w|h) = max(c(hw) - D, 0) / c(h.) + D t(h) / c(h.) p(w|shorter h), t(h) being h's distinct successors. A
+document's first token has the start as its context and no longer one.
 
 Neither vocabulary nor trie has to fit one machine, and no text is read twice or joined:
 
 1. Map tasks encode blocks of documents: a stream of local word numbers, and for each shard of words
-   the block's distinct words with their training counts.
+   the block's distinct words with their training counts. Blocks lie in a table bucketed by block, so later steps bring
+   answers to them and never move them again.
 2. Word shards sum the counts, number the words (frequent first) and answer each block: number, count.
-3. Blocks ask the shards of contexts about their distinct bigrams, with the training counts they have.
-4. A context shard sums the counts, lays the trie out in memory-mapped levels and answers each block.
-   A level is an Elias-Fano sequence: contexts, pointers to successors (monotone), and successors,
-   found by successor search relative to their context. Probabilities and back-off weights are quantised.
+3. Blocks ask the shards of first words about their distinct bigrams and trigrams, with the training counts they
+   have. A trigram names its context by the place of its bigram in the same request.
+4. A shard sums the counts, lays the trie out in memory-mapped levels and answers each block. A level is an
+   Elias-Fano sequence of (place of the context, word), with pointers from each context to its successors;
+   bits are packed to their exact width. It is searched as it lies: samples of ranks find a word of bits,
+   population counts the bit in it, and a successor search among a context's few candidates the entry.
+   Probabilities and back-off weights are quantised.
 5. Blocks add up their documents' scores.
 
 Requests are distinct within a block, so hot words and contexts send one entry a block.
@@ -20,6 +25,7 @@ Requests are distinct within a block, so hot words and contexts send one entry a
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -28,12 +34,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetra.llm.common import cut
+from vetra.llm.common import cut, shared_path
 from vetra.llm.langid import held_out
 
 _ROW = "kind string, block long, shard int, n long, v long, data binary"
 _NAMES = ["kind", "block", "shard", "n", "v", "data"]
 STEP = 5000.0  # codes a factor of ten
+#: Buckets of the table of blocks at most; beyond it a bucket has several blocks.
+MOST_BUCKETS = 50_000
+_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -46,7 +56,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
         a = a.astype(kind)
         out += [np.array([len(a), a.itemsize], np.int64).tobytes(), np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -66,46 +76,99 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_NAMES)
 
 
+def _or_into(words: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``words`` 64-bit words with ``values`` set into those at the non-decreasing places ``at``."""
+    out = np.zeros(words, np.uint64)
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[first]] = np.bitwise_or.reduceat(values, first)
+    return out
+
+
 class EliasFano:
-    """A non-decreasing sequence: low bits as an array, high bits in unary; both in a mapped file."""
+    """A non-decreasing sequence in a mapped file: low bits packed to their width, high bits in unary, ranks sampled.
+
+    Nothing is unpacked: a search touches the words of bits that it needs.
+    """
+
+    BLOCK = 8  # words of 64 bits between two samples
+    CHUNK = 1 << 18  # searched at a time
 
     def __init__(self, values: np.ndarray, space) -> None:
         n, top = len(values), int(values[-1]) + 1 if len(values) else 1
-        self.n = n
-        self.shift = max(0, int(np.log2(max(1, top // max(1, n)))))
-        low = values & ((1 << self.shift) - 1)
-        self.low = space(low.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if self.shift <= 8 * np.dtype(k).itemsize)))
-        high = (values >> self.shift).astype(np.int64)
+        values = values.astype(np.int64)
+        self.n, self.shift = n, max(0, int(np.log2(max(1, top // max(1, n)))))
+        self.mask = np.uint64((1 << self.shift) - 1)
+        place = np.arange(n, dtype=np.int64) * self.shift
+        low, off = values.view(np.uint64) & self.mask, (place & 63).astype(np.uint64)
+        size = (n * self.shift >> 6) + 2
+        packed = _or_into(size, place >> 6, low << off)
+        over = np.flatnonzero((place & 63) + self.shift > 64)
+        packed |= _or_into(size, (place[over] >> 6) + 1, low[over] >> (np.uint64(64) - off[over]))
+        self.low = space(packed)
+        high = values >> self.shift
         self.buckets = int(high[-1]) + 1 if n else 0
-        bits = np.zeros(n + self.buckets + 1, np.uint8)
-        bits[high + np.arange(n)] = 1
-        self.size = len(bits)
-        self.high = space(np.packbits(bits))
-
-    def zeros(self) -> np.ndarray:
-        """Where the unary zeros stand: bucket b holds the elements zeros[b - 1] - b + 1 to zeros[b] - b."""
-        return np.flatnonzero(np.unpackbits(self.high, count=self.size) == 0)
+        ones = high + np.arange(n)  # where the unary ones stand; the other places up to n + buckets are zeros
+        words = -(-((n + self.buckets + 1 >> 6) + 1) // self.BLOCK) * self.BLOCK
+        bits = _or_into(words, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
+        self.high = space(bits)
+        before = np.concatenate([[0], np.bitwise_count(bits).reshape(-1, self.BLOCK).sum(axis=1, dtype=np.int64).cumsum()[:-1]])
+        self.ones = space(before)
+        self.zeros = space(np.arange(len(before)) * (64 * self.BLOCK) - before)
+
+    def _select(self, nth: np.ndarray, zeros: bool) -> np.ndarray:
+        """Where the ``nth`` (from 0) set bit stands, or the nth unset one."""
+        samples = self.zeros if zeros else self.ones
+        block = np.searchsorted(samples, nth, side="right") - 1
+        left, word = nth - samples[block], block * self.BLOCK
+        fetch = (lambda at: ~self.high[at]) if zeros else (lambda at: self.high[at])
+        for _ in range(self.BLOCK - 1):
+            count = np.bitwise_count(fetch(word))
+            beyond = left >= count
+            left, word = left - np.where(beyond, count, 0), word + beyond
+        bits, bit = fetch(word), np.zeros(len(nth), np.int64)
+        for step in (32, 16, 8, 4, 2, 1):
+            count = np.bitwise_count(bits & np.uint64((1 << step) - 1))
+            beyond = left >= count
+            left, bit = left - np.where(beyond, count, 0), bit + np.where(beyond, step, 0)
+            bits = np.where(beyond, bits >> np.uint64(step), bits)
+        return word * 64 + bit
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        place = at * self.shift
+        word, off = place >> 6, (place & 63).astype(np.uint64)
+        out = self.low[word] >> off
+        over = np.flatnonzero((place & 63) + self.shift > 64)
+        out[over] |= self.low[word[over] + 1] << (np.uint64(64) - off[over])
+        return (out & self.mask).view(np.int64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, count=self.size))
-        return ((ones[at] - at) << self.shift) | self.low[at].astype(np.int64)
+        return ((self._select(at, False) - at) << self.shift) | self._low(at) if len(at) else at
 
     def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First place whose value is not under each of ``wanted``, and whether it equals it."""
         if not self.n:
             return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        zeros = self.zeros()
-        bucket = np.minimum(wanted >> self.shift, self.buckets)
-        beyond = bucket == self.buckets
+        place, found = np.empty(len(wanted), np.int64), np.empty(len(wanted), bool)
+        for i in range(0, len(wanted), self.CHUNK):
+            place[i : i + self.CHUNK], found[i : i + self.CHUNK] = self._successor(wanted[i : i + self.CHUNK])
+        return place, found
+
+    def _successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = wanted >> self.shift
+        beyond = bucket >= self.buckets
         b = np.where(beyond, 0, bucket)
-        hi = np.where(beyond, self.n, zeros[b] - b)
-        lo = np.where(beyond, self.n, np.where(b > 0, zeros[np.maximum(b - 1, 0)] - b + 1, 0))
-        end, low = hi.copy(), wanted & ((1 << self.shift) - 1)
-        while (lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = (lo < hi) & (self.low[np.minimum(mid, self.n - 1)].astype(np.int64) < low)
-            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(hi, mid))
-        return lo, (lo < end) & (self.low[np.minimum(lo, self.n - 1)].astype(np.int64) == low)
+        hi = self._select(b, True) - b  # bucket b ends where the zero after it stands
+        lo = np.where(b > 0, self._select(np.maximum(b - 1, 0), True) - b + 1, 0)
+        lo, hi = np.where(beyond, self.n, lo), np.where(beyond, self.n, hi)
+        end, low = hi.copy(), wanted & int(self.mask)
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            lo[open_], hi[open_] = np.where(less, mid + 1, lo[open_]), np.where(less, hi[open_], mid)
+        found, near = np.zeros(len(wanted), bool), np.flatnonzero(lo < end)
+        found[near] = self._low(lo[near]) == low[near]
+        return lo, found
 
 
 def _code(p: np.ndarray) -> np.ndarray:
@@ -119,21 +182,27 @@ def _decode(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Contexts -> successors with quantised discounted probabilities and back-off weights."""
+    """First words -> second words -> third words; quantised discounted probabilities, and back-off weights of the contexts."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float) -> None:
-        """Distinct bigrams sorted by context, then word; counts over 0."""
+    def __init__(self, first: np.ndarray, second: np.ndarray, count: np.ndarray, context: np.ndarray, third: np.ndarray, times: np.ndarray, discount: float) -> None:
+        """Distinct bigrams sorted by first, then second word; distinct trigrams sorted by the place of
+        their context among the bigrams, then third word; counts over 0."""
         self.file = tempfile.TemporaryFile()
-        heads, first = np.unique(context, return_index=True)
-        rank = np.repeat(np.arange(len(heads)), np.diff([*first, len(context)]))
-        total = np.add.reduceat(count, first) if len(first) else count
-        types = np.diff([*first, len(context)])
+        self.universe = 1 + max(int(second.max()) if len(second) else 0, int(third.max()) if len(third) else 0)
+        heads, begin = np.unique(first, return_index=True)
         self.heads = EliasFano(heads, self._space)
-        self.pointers = EliasFano(np.append(first, len(context)).astype(np.int64), self._space)
-        self.universe = int(word.max()) + 1 if len(word) else 1
-        self.successors = EliasFano(rank * self.universe + word, self._space)  # monotone, as words rise within a context
-        self.probability = self._space(_code((count - discount) / total[rank]).astype(np.uint16) if len(rank) else np.empty(0, np.uint16))
-        self.backoff = self._space(_code(discount * types / total).astype(np.uint16) if len(first) else np.empty(0, np.uint16))
+        self.second = self._level(np.repeat(np.arange(len(heads)), np.diff([*begin, len(first)])), len(heads), second, count, discount)
+        self.third = self._level(context, len(first), third, times, discount)
+
+    def _level(self, context: np.ndarray, contexts: int, word: np.ndarray, count: np.ndarray, discount: float) -> tuple:
+        """Successors, pointers to them, their probabilities, and the contexts' back-off weights (0: no successors)."""
+        types = np.bincount(context, minlength=contexts)
+        total = np.bincount(context, count, contexts)
+        pointers = EliasFano(np.concatenate([[0], types.cumsum()]), self._space)
+        successors = EliasFano(context * self.universe + word, self._space)  # monotone, as words rise within a context
+        probability = self._space(_code((count - discount) / total[context]).astype(np.uint16))
+        backoff = self._space(_code(np.divide(discount * types, total, out=np.zeros(contexts), where=total > 0)).astype(np.uint16))
+        return successors, pointers, probability, backoff
 
     def _space(self, a: np.ndarray) -> np.ndarray:
         if not len(a):
@@ -143,21 +212,31 @@ class Trie:
         self.file.seek(at)
         self.file.write(a.tobytes())
         self.file.flush()
-        return np.memmap(self.file, a.dtype, "r", at, a.shape)
-
-    def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the discounted probability (0: not seen) and of the back-off weight (0: unknown context)."""
-        head, known = self.heads.successor(context)
-        near, far = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
-        at = np.flatnonzero(known & (word < self.universe))
-        far[known] = self.backoff[head[known]]
-        place, found = self.successors.successor(head[at] * self.universe + word[at])
-        at, place = at[found], place[found]
-        # a successor lies between its context's pointers
-        begin, end = (self.pointers.get(head[at] + k) for k in (0, 1))
-        inside = (place >= begin) & (place < end)
-        near[at[inside]] = self.probability[place[inside]]
-        return near, far
+        return np.memmap(self.file, a.dtype, "r", at, a.shape).view(np.ndarray)
+
+    def _step(self, level: tuple, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From places of contexts (-1: none) by a word: the place (-1: none), its probability and the context's back-off weight."""
+        successors, pointers, probability, backoff = level
+        out, near, far = np.full(len(context), -1), np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        known = np.flatnonzero(context >= 0)
+        far[known] = backoff[context[known]] if len(known) else 0
+        at = known[word[known] < self.universe]
+        distinct, which = np.unique(context[at], return_inverse=True)
+        begin, end = (pointers.get(distinct + k)[which] if len(distinct) else which for k in (0, 1))
+        at, begin, end = at[begin < end], begin[begin < end], end[begin < end]  # a context's pointers enclose its successors
+        place, found = successors.successor(context[at] * self.universe + word[at])
+        found &= (place >= begin) & (place < end)
+        out[at[found]], near[at[found]] = place[found], probability[place[found]] if found.any() else 0
+        return out, near, far
+
+    def query(self, first: np.ndarray, second: np.ndarray, context: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For bigrams (first, second) and trigrams (place of their bigram in that list, third): codes of the
+        bigrams' probability and back-off weight, and of the trigrams'; 0 where not seen."""
+        distinct, which = np.unique(first, return_inverse=True)
+        head, known = self.heads.successor(distinct)
+        place, near, far = self._step(self.second, np.where(known, head, -1)[which], second)
+        _, near3, far3 = self._step(self.third, place[context], third)
+        return near, far, near3, far3
 
 
 def _encode(shards: int, block_bytes: int):
@@ -197,7 +276,7 @@ def _encode(shards: int, block_bytes: int):
             for s in range(shards):
                 own = order[cuts[s] : cuts[s + 1]]
                 if len(own):
-                    text = zstandard.ZstdCompressor(level=1).compress(b"\n".join(vocabulary[i] for i in own))
+                    text = zstandard.ZstdCompressor(level=3).compress(b"\n".join(vocabulary[i] for i in own))
                     counts = _pack(own + 1, count[own + 1])
                     rows.append(("words", number, s, len(counts), None, counts + text))
             return _table(rows).to_batches()
@@ -245,12 +324,11 @@ def _number_words(shards: int):
 
 
 class _Block:
-    """A block with the answers of the word shards: its stream, and each local word's number and count."""
+    """A block with the answers of the word shards: its stream, and each local word's number and count; its distinct bigrams and trigrams."""
 
-    def __init__(self, tab: pa.Table, ends: int) -> None:
-        kinds, data = tab.column("kind").to_pylist(), tab.column("data").to_pylist()
-        self.ids, self.null, self.held, self.sizes, self.stream = _unpack(data[kinds.index("block")])
-        answers = [_unpack(d) for k, d in zip(kinds, data) if k == "numbers"]
+    def __init__(self, own: pa.Table, answers: pa.Table, ends: int) -> None:
+        self.ids, self.null, self.held, self.sizes, self.stream = _unpack(own.column("data")[0].as_py())
+        answers = [_unpack(d) for k, d in zip(answers.column("kind").to_pylist(), answers.column("data").to_pylist()) if k == "numbers"]
         n = int(self.stream.max()) + 1 if len(self.stream) else 1
         self.number, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.count[0] = ends
@@ -266,64 +344,92 @@ class _Block:
         self.pairs, self.pair = np.unique(code, return_inverse=True)
         self.context, self.word = by_number[self.pairs // n], by_number[self.pairs % n]
         self.times = np.bincount(self.pair[self.learned], minlength=len(self.pairs))
+        # distinct trigrams by the place of the bigram before, then word number; a document's first token has none
+        inner = np.ones(len(self.stream), bool)
+        inner[(self.sizes + 1).cumsum() - (self.sizes + 1)] = False
+        self.inner = np.flatnonzero(inner)
+        self.triples, self.triple = np.unique(self.pair[self.inner - 1] * n + place[self.stream[self.inner]], return_inverse=True)
+        self.before, self.last = self.triples // n, by_number[self.triples % n]
+        self.triple_times = np.bincount(self.triple[self.learned[self.inner]], minlength=len(self.triples))
 
     def shard(self, shards: int) -> np.ndarray:
         return self.number[self.context] * 0x9E3779B1 % (1 << 32) * shards >> 32
 
 
 def _ask(shards: int, ends: int):
-    """Step 3, for groupBy(block): the distinct bigrams, each to the shard of its context."""
+    """Step 3, for cogroups by block: the distinct bigrams and trigrams, each to the shard of its first word."""
 
-    def run(key, tab):
-        b = _Block(tab, ends)
+    def run(key, left, right):
+        if not len(left):
+            return _table([])
+        b = _Block(left, right, ends)
         where, rows = b.shard(shards), []
+        triple_where = where[b.before]
         for s in range(shards):
             own = np.flatnonzero(where == s)
             if len(own):
-                context = b.number[b.context[own]]
-                rows.append(("pairs", key[0].as_py(), s, None, None, _pack(np.diff(context, prepend=0), b.number[b.word[own]], b.times[own])))
+                context, mine = b.number[b.context[own]], np.flatnonzero(triple_where == s)
+                place = np.searchsorted(own, b.before[mine])
+                rows.append(("pairs", key[0].as_py(), s, None, None, _pack(np.diff(context, prepend=0), b.number[b.word[own]], b.times[own], np.diff(place, prepend=0), b.number[b.last[mine]], b.triple_times[mine])))
         return _table(rows)
 
     return run
 
 
+def _summed(*keys_and_count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys (columns, sorted by the first, then the next) with their summed counts over 0."""
+    *keys, count = keys_and_count
+    seen = np.flatnonzero(count)
+    order = seen[np.lexsort([k[seen] for k in reversed(keys)])]
+    keys, count = [k[order] for k in keys], count[order]
+    new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if len(order) else order
+    return *[k[new] for k in keys], np.add.reduceat(count, new) if len(new) else count
+
+
 def _answer(discount: float):
     """Step 4, for groupBy(shard): build the trie, answer each block in the order it asked."""
 
     def run(key, tab):
         tab = tab.sort_by("block")
         asked = [_unpack(d) for d in tab.column("data").to_pylist()]
-        context = np.concatenate([a[0].cumsum() for a in asked])
-        word, times = (np.concatenate([a[i] for a in asked]) for i in (1, 2))
-        seen = np.flatnonzero(times)
-        order = seen[np.lexsort((word[seen], context[seen]))]
-        h, w, c = context[order], word[order], times[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else order
-        trie = Trie(h[new], w[new], np.add.reduceat(c, new) if len(new) else c, discount)
-        rows, at = [], 0
+        for a in asked:
+            a[0], a[3] = a[0].cumsum(), a[3].cumsum()
+        first, second, count = _summed(*(np.concatenate([a[i] for a in asked]) for i in range(3)))
+        # contexts of trigrams by their place among the distinct bigrams: a request names them by its own
+        span = 1 + int(max([second.max(initial=0), *(a[1].max(initial=0) for a in asked)]))
+        codes = first * span + second
+        context = np.concatenate([np.searchsorted(codes, a[0] * span + a[1])[a[3]] for a in asked])
+        third = np.concatenate([a[4] for a in asked])
+        trie = Trie(first, second, count, *_summed(context, third, np.concatenate([a[5] for a in asked])), discount)
+        rows = []
         for number, a in zip(tab.column("block").to_pylist(), asked):
-            n = len(a[1])
-            rows.append(("codes", number, key[0].as_py(), None, None, _pack(*trie.query(context[at : at + n], word[at : at + n]))))
-            at += n
+            rows.append(("codes", number, key[0].as_py(), None, None, _pack(*trie.query(a[0], a[1], a[3], a[4]))))
         return _table(rows)
 
     return run
 
 
 def _score(shards: int, ends: int, n_train: int, n_distinct: int):
-    """Step 5, for groupBy(block)."""
+    """Step 5, for cogroups by block."""
 
-    def run(key, tab):
-        b = _Block(tab, ends)
+    def run(key, left, right):
+        if not len(left):
+            return _SCORES.empty_table()
+        b = _Block(left, right, ends)
         where = b.shard(shards)
-        near, far = np.zeros(len(b.pairs), np.int64), np.zeros(len(b.pairs), np.int64)
-        for kind, s, data in zip(*(tab.column(c).to_pylist() for c in ("kind", "shard", "data"))):
+        triple_where = where[b.before]
+        codes = [np.zeros(len(x), np.int64) for x in (b.pairs, b.pairs, b.triples, b.triples)]
+        for kind, s, data in zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "data"))):
             if kind == "codes":
-                own = np.flatnonzero(where == s)
-                near[own], far[own] = _unpack(data)
+                own, mine = np.flatnonzero(where == s), np.flatnonzero(triple_where == s)
+                for out, at, got in zip(codes, (own, own, mine, mine), _unpack(data)):
+                    out[at] = got
+        near, far, near3, far3 = codes
+        weight = lambda code: np.where(code > 0, _decode(code), 1.0)
         unigram = (b.count + 1) / (n_train + n_distinct + 1)
-        weight = np.where(far > 0, _decode(far), 1.0)
-        token = np.log10(_decode(near) + weight * unigram[b.word])[b.pair]
+        token = (_decode(near) + weight(far) * unigram[b.word])[b.pair]
+        token[b.inner] = _decode(near3)[b.triple] + weight(far3)[b.triple] * token[b.inner]
+        token = np.log10(token)
         first = (b.sizes + 1).cumsum() - (b.sizes + 1)
         count = b.count[b.stream]
         return pa.table({
@@ -343,21 +449,26 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, discount: f
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Documents whose crc32(doc_id as text) mod ``modulus`` is ``remainder`` are not learned from. A null
-    text counts as empty (its one token is the end); a null doc_id is learned from and stays null;
-    repeated rows are repeated (and learned from as often); an empty table gives an empty result; other
-    columns are ignored.
+    text counts as empty (its one token is the end); a null doc_id is learned from and stays null; a text
+    of any length is scored whole, as one block if need be; repeated rows are repeated (and learned from
+    as often); an empty table gives an empty result; other columns are ignored.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out(modulus, remainder).alias("held"))
-    shards = max(4, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
-    blocks = cut(rows.mapInArrow(_encode(shards, block_bytes), _ROW))
-    numbers = cut(blocks.filter("kind = 'words'").groupBy("shard").applyInArrow(_number_words(shards), _ROW))
-    content = blocks.filter("kind = 'block'")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, buckets = max(4, -(-size // shard_bytes)), int(min(MOST_BUCKETS, max(4, -(-size // block_bytes))))
+    name = f"vetra_blocks_{uuid.uuid4().hex}"
+    encoded = rows.mapInArrow(_encode(shards, block_bytes), _ROW)
+    encoded.write.partitionBy("kind").bucketBy(buckets, "block").option("path", shared_path(spark, "blocks")).saveAsTable(name)
+    kind = lambda k: spark.table(name).filter(F.col("kind") == k).select(*_NAMES)
+    content = kind("block")
+    numbers = cut(kind("words").groupBy("shard").applyInArrow(_number_words(shards), _ROW))
     ends = content.agg(F.sum("n")).first()[0] or 0
     n, v = numbers.filter("kind = 'total'").agg(F.sum("n"), F.sum("v")).first()
     n, v = (n or 0) + ends, (v or 0) + (ends > 0)
-    known = content.unionByName(numbers.filter("kind = 'numbers'"))
-    asked = known.groupBy("block").applyInArrow(_ask(shards, ends), _ROW)
+    numbered = numbers.filter("kind = 'numbers'")
+    by_block = lambda df: df.repartition(buckets, "block").groupBy("block")
+    asked = content.groupBy("block").cogroup(by_block(numbered)).applyInArrow(_ask(shards, ends), _ROW)
     codes = asked.groupBy("shard").applyInArrow(_answer(discount), _ROW)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.unionByName(codes).groupBy("block").applyInArrow(_score(shards, ends, n, v), schema)
+    return content.groupBy("block").cogroup(by_block(numbered.unionByName(codes))).applyInArrow(_score(shards, ends, n, v), _SCHEMA)
