@@ -77,15 +77,44 @@ def strength(*parts: Column) -> Column:
 
 
 def checks(p: Policy) -> Column:
-    """The five checks in order: name, passed."""
+    """The five checks in order: name, passed, and what was observed and required, as text."""
+    number = lambda c: F.format_string("%.3f", c)
     rows = [
-        ("confidence", F.col("confidence") >= p.min_confidence),
-        ("similarity", F.col("top_similarity") >= p.min_similarity),
-        ("risk", F.col("unknown_risk") <= p.max_risk),
-        ("agreement", F.col("agreement") == "HIGH"),
-        ("quality", F.col("quality_status") == "ACCEPTABLE"),
+        ("confidence", F.col("confidence") >= p.min_confidence, number(F.col("confidence")), F.lit(f">= {p.min_confidence:.3f}")),
+        ("similarity", F.col("top_similarity") >= p.min_similarity, number(F.col("top_similarity")), F.lit(f">= {p.min_similarity:.3f}")),
+        ("risk", F.col("unknown_risk") <= p.max_risk, number(F.col("unknown_risk")), F.lit(f"<= {p.max_risk:.3f}")),
+        ("agreement", F.col("agreement") == "HIGH", F.col("agreement"), F.lit("HIGH")),
+        ("quality", F.col("quality_status") == "ACCEPTABLE", F.col("quality_status"), F.lit("ACCEPTABLE")),
     ]
-    return F.array(*[F.struct(F.lit(n).alias("name"), c.alias("passed")) for n, c in rows])
+    return F.array(*[F.struct(F.lit(n).alias("name"), c.alias("passed"), o.alias("observed"), r.alias("required")) for n, c, o, r in rows])
+
+
+# The sentences of a summary.
+SENTENCES = {
+    "prediction": "The classifier predicts %s with %.0f%% confidence.",
+    "references": "%d of the %d most similar reference images are %s; the best reference match has cosine similarity %.3f.",
+    "conflict": "Reference retrieval favours %s, so the two analyses of the same visual representation disagree.",
+    "agreement": "Classifier and reference retrieval agree (%s agreement); they are complementary analyses of the same visual representation, not independent tests.",
+    "UNKNOWN": "The sample lies outside the calibrated reference distribution.",
+    "UNCERTAIN": "The sample is atypical compared with validated reference material.",
+    "KNOWN": "The sample lies within the calibrated reference distribution.",
+    "quality": "Image quality is degraded (%s).",
+}
+
+
+def summary() -> Column:
+    """The evidence in sentences, over the columns of ``screen`` and quality_failed (the failed quality checks, comma-joined)."""
+    said = SENTENCES
+    same = F.size(F.filter("matches", lambda m: m["class_name"] == F.col("predicted_class")))
+    agree = F.format_string(said["agreement"], F.lower("agreement"))
+    parts = [
+        F.format_string(said["prediction"], "predicted_class", F.bround(F.col("confidence") * 100, 0)),
+        F.format_string(said["references"], same, F.size("matches"), "predicted_class", "top_similarity"),
+        F.when(F.col("agreement") == "LOW", F.format_string(said["conflict"], "retrieved_class")).otherwise(agree),
+        F.when(F.col("unknown_status") == "UNKNOWN", said["UNKNOWN"]).when(F.col("unknown_status") == "UNCERTAIN", said["UNCERTAIN"]).otherwise(said["KNOWN"]),
+        F.when(F.col("quality_status") != "ACCEPTABLE", F.format_string(said["quality"], "quality_failed")),
+    ]
+    return F.concat_ws(" ", *parts)
 
 
 def decide(status_col: Column, checks_col: Column) -> Column:

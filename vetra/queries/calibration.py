@@ -13,7 +13,10 @@ from vetra.queries.vectors import _laplacian_sql, _tile_sql
 
 
 def _distances(spark, sf_dir, where):
-    return screened(spark, sf_dir).filter(where).select(F.round("distance", 9).alias("distance"))
+    """Computed once: thresholds read them several times."""
+    from vetra.plans.session import cut
+
+    return cut(screened(spark, sf_dir).filter(where).select(F.round("distance", 9).alias("distance")))
 
 
 _KNOWN, _OOD = "split = 'validation'", "split = 'ood_calibration'"
@@ -70,7 +73,9 @@ def select_min_confidence(spark, sf_dir):
 @query(S_SQL + """, r AS (SELECT round(top_similarity, 9) AS x FROM s WHERE split = 'validation' AND predicted_class = true_class)
     SELECT count(*) AS n, (list_sort(list(x)))[floor((1.0::DOUBLE - 0.95::DOUBLE) * (count(*) - 1))::INT + 1] AS min_similarity FROM r""")
 def min_similarity(spark, sf_dir):
-    rows = screened(spark, sf_dir).filter(_KNOWN).filter("predicted_class = true_class").select(F.round("top_similarity", 9).alias("x"))
+    from vetra.plans.session import cut
+
+    rows = cut(screened(spark, sf_dir).filter(_KNOWN).filter("predicted_class = true_class").select(F.round("top_similarity", 9).alias("x")))
     n = rows.count()
     return A.order_statistic(rows, "x", A.lower_quantile_place(1.0 - 0.95, n)).select(F.lit(n).cast("long").alias("n"), F.col("x").alias("min_similarity"))
 
@@ -93,17 +98,26 @@ _B_SQL = _M_SQL + """, fl AS (SELECT quantile_cont(t, 0.1) AS tile_floor FROM tv
     (SELECT round(tile_floor, 6) FROM fl) AS tile_floor, (SELECT round(quantile_cont(coverage, 0.01), 8) FROM cv) AS coverage_min""")
 def quality_bounds(spark, sf_dir):
     digits = {"sharpness_min": 6, "tile_floor": 6}
-    out = A.quality_bounds(measured(spark, sf_dir), C.coverage)
+    from vetra.plans.session import cut
+
+    out = A.quality_bounds(cut(measured(spark, sf_dir)), C.coverage)
     return out.select(*[F.round(c, digits.get(c, 8)).alias(c) for c in out.columns])
 
 
-@query(_M_SQL + " UNION ALL ".join(f"SELECT '{s}' AS signal, " + ", ".join(f"round(quantile_cont({s}, {p / 100}), 6) AS p{p}" for p in (1, 5, 50, 95, 99)) + " FROM me" for s in ("sharpness", "brightness", "clipped")))
+_SIGNALS = {"sharpness": "me", "brightness": "me", "clipped": "me", "coverage": "cv"}
+
+
+@query(_B_SQL + " UNION ALL ".join(f"SELECT '{s}' AS signal, " + ", ".join(f"round(quantile_cont({s}, {p / 100}), 6) AS p{p}" for p in (1, 5, 50, 95, 99)) + f" FROM {t}" for s, t in _SIGNALS.items()))
 def quality_distribution(spark, sf_dir):
-    """All signals in one pass, then turned into rows."""
-    points = (1, 5, 50, 95, 99)
-    cuts = measured(spark, sf_dir).agg(*[F.percentile(s, F.array(*[F.lit(p / 100) for p in points])).alias(s) for s in ("sharpness", "brightness", "clipped")])
-    rows = cuts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("q")) for s in ("sharpness", "brightness", "clipped")])).alias("r"))
-    return rows.select("r.signal", *[F.round(F.col("r.q")[i], 6).alias(f"p{p}") for i, p in enumerate(points)])
+    """All four signals in one pass after the pooled floor of tiles, then turned into rows."""
+    from vetra.plans.session import cut
+
+    points, rows = (1, 5, 50, 95, 99), cut(measured(spark, sf_dir))
+    floor_at = rows.select(F.explode("tiles").alias("t")).agg(F.percentile("t", 0.1).alias("tile_floor"))
+    rows = rows.join(F.broadcast(floor_at)).withColumn("coverage", C.coverage(F.col("tiles"), F.col("tile_floor")))
+    cuts = rows.agg(*[F.percentile(s, F.array(*[F.lit(p / 100) for p in points])).alias(s) for s in _SIGNALS])
+    turned = cuts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("q")) for s in _SIGNALS])).alias("r"))
+    return turned.select("r.signal", *[F.round(F.col("r.q")[i], 6).alias(f"p{p}") for i, p in enumerate(points)])
 
 
 BOUNDS = {"min_side": 8, "sharpness_min": 30000.0, "brightness_min": 0.48, "brightness_max": 0.53, "clipped_max": 0.1, "coverage_min": 0.8}

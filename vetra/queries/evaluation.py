@@ -78,6 +78,36 @@ def decision_outcomes(spark, sf_dir):
     return screened(spark, sf_dir).groupBy("split").agg(*[F.count_if(F.expr(v)).alias(k) for k, v in _OUTCOMES.items()])
 
 
+_SETS = {
+    ("known_material", "correct_pass"): f"known AND decision = 'PASS' AND {_HIT}", ("known_material", "false_pass_wrong_class"): f"known AND decision = 'PASS' AND NOT {_HIT}",
+    ("known_material", "review_when_classifier_wrong"): f"known AND decision = 'REVIEW' AND NOT {_HIT}", ("known_material", "review_when_classifier_right"): f"known AND decision = 'REVIEW' AND {_HIT}",
+    ("known_material", "false_unknown"): "known AND decision = 'UNKNOWN'", ("known_material", "samples"): "known",
+    ("ood", "correct_unknown"): "NOT known AND decision = 'UNKNOWN'", ("ood", "false_pass"): "NOT known AND decision = 'PASS'", ("ood", "review"): "NOT known AND decision = 'REVIEW'", ("ood", "samples"): "NOT known",
+}
+_POOLED = "SELECT *, split IN ('test', 'heldout_known') AS known FROM s WHERE split IN ('test', 'heldout_known', 'ood_evaluation')"
+
+
+@query(S_SQL + f", pooled AS ({_POOLED}) " + " UNION ALL ".join(f"SELECT '{a}' AS material, '{b}' AS outcome, count(*) FILTER ({v}) AS n FROM pooled" for (a, b), v in _SETS.items()))
+def outcome_sets(spark, sf_dir):
+    """Outcomes of known material, pooled, and of what lies outside: one pass, then turned into rows."""
+    rows = screened(spark, sf_dir).filter("split IN ('test', 'heldout_known', 'ood_evaluation')").withColumn("known", F.col("split") != "ood_evaluation")
+    counted = rows.agg(*[F.count_if(F.expr(v)).alias(f"n{i}") for i, v in enumerate(_SETS.values())])
+    turned = F.array(*[F.struct(F.lit(a).alias("material"), F.lit(b).alias("outcome"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(_SETS)])
+    return counted.select(F.explode(turned).alias("r")).select("r.*")
+
+
+_CUTS = (5, 25, 50, 75, 95)
+
+
+@query(S_SQL + "SELECT split, count(*) AS n, count(*) FILTER (unknown_status <> 'UNKNOWN')::DOUBLE / count(*) AS accepted, round(avg(distance), 8) AS mean, round(min(distance), 8) AS least, round(max(distance), 8) AS most, " + ", ".join(f"round(quantile_cont(distance, {p / 100}), 8) AS p{p}" for p in _CUTS) + " FROM s GROUP BY split")
+def distance_distributions(spark, sf_dir):
+    """Distances of every set, and what is accepted of it; outside known sets that is false acceptance."""
+    cuts = F.percentile("distance", F.array(*[F.lit(p / 100) for p in _CUTS]))
+    stats = screened(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"), V.rate(F.col("unknown_status") != "UNKNOWN").alias("accepted"), F.avg("distance").alias("mean"), F.min("distance").alias("least"), F.max("distance").alias("most"), cuts.alias("cuts"))
+    rounded = [F.round(c, 8).alias(c) for c in ("mean", "least", "most")]
+    return stats.select("split", "n", "accepted", *rounded, *[F.round(F.col("cuts")[i], 8).alias(f"p{p}") for i, p in enumerate(_CUTS)])
+
+
 _OK = ("confidence", "similarity", "risk", "agreement", "quality")
 _SYSTEMS = {"A": "true", "B": "ok_confidence", "C": "ok_confidence AND unknown_status <> 'UNKNOWN'", "D": "decision = 'PASS'"}
 

@@ -43,7 +43,8 @@ def samples(spark, sf_dir):
     })
     passed = [C.brightness(F.col("c")) >= MIN_BRIGHTNESS, C.clipped_fraction(F.col("c")) <= MAX_CLIPPED]
     fraction = reduce(lambda a, b: a + b, [F.when(p, 0.5).otherwise(0.0) for p in passed])
-    rows = rows.withColumn("quality_fraction", fraction)
+    failed = F.concat_ws(", ", *[F.when(~p, n) for p, n in zip(passed, ("brightness", "clipping"))])
+    rows = rows.withColumns({"quality_fraction": fraction, "quality_failed": failed})
     return rows.withColumn("quality_status", F.when(F.col("quality_fraction") == 1.0, "ACCEPTABLE").otherwise("DEGRADED")).drop("c")
 
 
@@ -59,7 +60,7 @@ S_SQL = f"""WITH {E_SQL},
     q AS (SELECT vec_id, v, label, CASE WHEN label >= 8 THEN 'ood_evaluation' WHEN label >= 6 THEN 'ood_calibration' WHEN vec_id % 3 = 0 THEN 'validation'
         WHEN vec_id % 3 = 1 THEN 'test' ELSE 'heldout_known' END AS split, 'c' || label AS true_class, 'f' || (vec_id % 4) AS fragment_type,
         [least(greatest(round(x * 512 + 128), 0.0::DOUBLE), 255.0::DOUBLE) FOR x IN v] AS c FROM e WHERE vec_id NOT IN (SELECT reference_id FROM refs)),
-    qq AS (SELECT * EXCLUDE (c), (list_sum(c) / 64 / 255 >= {MIN_BRIGHTNESS}::DOUBLE)::INT * 0.5::DOUBLE + (len([x FOR x IN c IF x = 0 OR x = 255]) / 64::DOUBLE <= {MAX_CLIPPED}::DOUBLE)::INT * 0.5::DOUBLE AS quality_fraction FROM q),
+    qq AS (SELECT * EXCLUDE (c), concat_ws(', ', CASE WHEN list_sum(c) / 64 / 255 < {MIN_BRIGHTNESS}::DOUBLE THEN 'brightness' END, CASE WHEN len([x FOR x IN c IF x = 0 OR x = 255]) / 64::DOUBLE > {MAX_CLIPPED}::DOUBLE THEN 'clipping' END) AS quality_failed, (list_sum(c) / 64 / 255 >= {MIN_BRIGHTNESS}::DOUBLE)::INT * 0.5::DOUBLE + (len([x FOR x IN c IF x = 0 OR x = 255]) / 64::DOUBLE <= {MAX_CLIPPED}::DOUBLE)::INT * 0.5::DOUBLE AS quality_fraction FROM q),
     nn AS (SELECT vec_id, reference_id, cls, frag, list_inner_product(v, r) AS sim, row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(v, r) DESC, reference_id) AS rank
         FROM qq, refs QUALIFY rank <= {CAL.k}),
     tot AS (SELECT vec_id, list_reduce(list(greatest(sim, 0) ORDER BY rank), lambda a, b: a + b) AS whole, list_reduce(list(sim ORDER BY rank), lambda a, b: a + b) AS sims,
@@ -161,11 +162,25 @@ def decision_reason(spark, sf_dir):
     return screened(spark, sf_dir).select("vec_id", "reason")
 
 
-@query(S_SQL + """SELECT vec_id, CASE agreement WHEN 'HIGH' THEN 'All references agree with ' WHEN 'MEDIUM' THEN 'Most support goes to ' ELSE 'References favour ' || retrieved_class || ' over ' END
-    || predicted_class AS summary FROM s""")
+_SAID = {k: v.replace("'", "''") for k, v in S.SENTENCES.items()}
+
+
+@query(S_SQL + f"""SELECT vec_id, concat_ws(' ', printf('{_SAID["prediction"]}', predicted_class, round_even(confidence * 100, 0)),
+    printf('{_SAID["references"]}', len([x FOR x IN classes IF x = predicted_class]), len(classes), predicted_class, top_similarity),
+    CASE WHEN agreement = 'LOW' THEN printf('{_SAID["conflict"]}', retrieved_class) ELSE printf('{_SAID["agreement"]}', lower(agreement)) END,
+    CASE unknown_status WHEN 'UNKNOWN' THEN '{_SAID["UNKNOWN"]}' WHEN 'UNCERTAIN' THEN '{_SAID["UNCERTAIN"]}' ELSE '{_SAID["KNOWN"]}' END,
+    CASE WHEN quality_status <> 'ACCEPTABLE' THEN printf('{_SAID["quality"]}', quality_failed) END) AS summary FROM s""")
 def evidence_summary(spark, sf_dir):
-    head = F.when(F.col("agreement") == "HIGH", "All references agree with ").when(F.col("agreement") == "MEDIUM", "Most support goes to ").otherwise(F.concat(F.lit("References favour "), "retrieved_class", F.lit(" over ")))
-    return screened(spark, sf_dir).select("vec_id", F.concat(head, "predicted_class").alias("summary"))
+    return screened(spark, sf_dir).select("vec_id", S.summary().alias("summary"))
+
+
+_SHOWN = {"confidence": ("printf('%.3f', confidence)", f">= {POL.min_confidence:.3f}"), "similarity": ("printf('%.3f', top_similarity)", f">= {POL.min_similarity:.3f}"), "risk": ("printf('%.3f', unknown_risk)", f"<= {POL.max_risk:.3f}"), "agreement": ("agreement", "HIGH"), "quality": ("quality_status", "ACCEPTABLE")}
+
+
+@query(S_SQL + " UNION ALL ".join(f"SELECT vec_id, '{k}' AS name, ok_{k} AS passed, {o} AS observed, '{r}' AS required FROM s" for k, (o, r) in _SHOWN.items()))
+def decision_check_values(spark, sf_dir):
+    """What each check observed and required."""
+    return screened(spark, sf_dir).select("vec_id", F.explode("checks").alias("c")).select("vec_id", "c.name", "c.passed", "c.observed", "c.required")
 
 
 @query()
