@@ -1,6 +1,7 @@
 """Near copies against brute force, on both sides of 0.8."""
 
 import random
+import re
 
 import pytest
 
@@ -10,8 +11,12 @@ from vetra.llm import nearcopies
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def grams(t):
-    w = t.lower().split()
+    """Words are runs other than ASCII white space; A-Z alone is lower-cased."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 

@@ -17,12 +17,14 @@ LOWER_TABLE = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session sets none (tests on one machine) a temporary folder is chosen and set.
+    Only where a session on one machine sets none (tests) a temporary folder is chosen and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
             root = "file://" + tempfile.mkdtemp(prefix="vetra-shared-")
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -49,3 +51,10 @@ def ascii_lower(col: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all but the ``used`` columns in one struct, where no name of theirs can clash; and what to select to get them back."""
+    others = [c for c in docs.columns if c not in used]
+    packed = docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in others]).alias("__others")) if others else docs
+    return packed, [F.col("__others").getField(c).alias(c) if c in others else F.col(c) for c in docs.columns]

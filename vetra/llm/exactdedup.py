@@ -103,25 +103,25 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, st
     state = spark.read.parquet(settled)
 
     total = state.agg(F.sum("group_size")).first()[0] or 0
-    hot = F.broadcast(state.filter(F.col("group_size") * HOT > total).select("digest", F.lit(True).alias("is_hot")))  # at most HOT rows
-    salted = lambda df: df.join(hot, "digest", "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("is_hot")
+    hot = F.broadcast(state.filter(F.col("group_size") * HOT > total).select("digest", F.lit(True).alias("__dedup_hot")))  # at most HOT rows
+    salted = lambda df: df.join(hot, "digest", "left").withColumn("__dedup_salt", F.when(F.col("__dedup_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("__dedup_hot")
     every = F.explode(F.when(F.col("group_size") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    whole = normalised(F.col("text")).alias("whole")
+    whole = normalised(F.col("text")).alias("__dedup_whole")
 
     hit = state.filter(F.col("group_size") > 1)
-    texts = salted(base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), whole)).join(hit.select("digest", every.alias("salt")), ["digest", "salt"], "left_semi")
-    texts = texts.select("digest", "doc_id", "whole").unionByName(_located(spark, hit, docs) if store else texts.select("digest", "doc_id", "whole").limit(0))
-    checked = texts.groupBy("digest", "whole").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    texts = salted(base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), whole)).join(hit.select("digest", every.alias("__dedup_salt")), ["digest", "__dedup_salt"], "left_semi")
+    texts = texts.select("digest", "doc_id", "__dedup_whole").unionByName(_located(spark, hit, docs) if store else texts.select("digest", "doc_id", "__dedup_whole").limit(0))
+    checked = texts.groupBy("digest", "__dedup_whole").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     apart_path = shared_path(spark, "dedup-apart")
     checked.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest").write.parquet(apart_path)
     clashing = spark.read.parquet(apart_path)
-    groups = state.select("digest", "keep_id", "group_size", every.alias("salt"))
+    groups = state.select("digest", "keep_id", "group_size", every.alias("__dedup_salt"))
     if clashing.isEmpty():
-        out = salted(base).join(groups, ["digest", "salt"]).drop("salt")
+        out = salted(base).join(groups, ["digest", "__dedup_salt"]).drop("__dedup_salt")
     else:  # different texts under one digest: those digests are resolved by the whole text
         split = checked.join(clashing, "digest", "left_semi")
-        resolved = base.withColumn("whole", whole).join(split, ["digest", "whole"]).drop("whole")
-        plain = salted(base).join(groups.join(clashing, "digest", "left_anti"), ["digest", "salt"]).drop("salt")
+        resolved = base.withColumn("__dedup_whole", whole).join(split, ["digest", "__dedup_whole"]).drop("__dedup_whole")
+        plain = salted(base).join(groups.join(clashing, "digest", "left_anti"), ["digest", "__dedup_salt"]).drop("__dedup_salt")
         out = plain.unionByName(resolved.select(plain.columns))
     out = out.select(*docs.columns, "digest", "keep_id", "group_size")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))
@@ -132,9 +132,9 @@ def _located(spark: SparkSession, hit: DataFrame, docs: DataFrame) -> DataFrame:
     at_hand = set(docs.inputFiles())
     files = [r[0] for r in hit.select("locator").distinct().collect() if r[0] and r[0] not in at_hand]  # one row a file
     if not files:
-        return hit.select("digest", F.col("keep_id").alias("doc_id"), F.lit("").alias("whole")).limit(0)
-    rows = spark.read.parquet(*files).select(F.col("doc_id").cast("long").alias("keep_id"), F.input_file_name().alias("locator"), normalised(F.col("text")).alias("whole"))
-    return rows.join(hit.select("digest", "keep_id", "locator"), ["keep_id", "locator"]).select("digest", F.col("keep_id").alias("doc_id"), "whole")
+        return hit.select("digest", F.col("keep_id").alias("doc_id"), F.lit("").alias("__dedup_whole")).limit(0)
+    rows = spark.read.parquet(*files).select(F.col("doc_id").cast("long").alias("keep_id"), F.input_file_name().alias("locator"), normalised(F.col("text")).alias("__dedup_whole"))
+    return rows.join(hit.select("digest", "keep_id", "locator"), ["keep_id", "locator"]).select("digest", F.col("keep_id").alias("doc_id"), "__dedup_whole")
 
 
 def dedup_classes(docs: DataFrame) -> DataFrame:
