@@ -30,3 +30,16 @@ def test_risk_rises_with_distance(spark, sf_dir):
 def test_all_decisions_occur(spark):
     rows = QUERIES["decide"](spark, "/root/testdata/sf0.01")
     assert {r["decision"] for r in rows.select("decision").distinct().collect()} == {"PASS", "REVIEW", "UNKNOWN"}
+
+
+def test_the_chain_runs_on_its_own_calibration(spark):
+    """What is accepted of the validation set is what the threshold was selected for, and risk meets the policy at the boundary."""
+    from vetra.queries.calibration import calibrated
+
+    sf = "/root/testdata/sf0.01"
+    c, p = calibrated(spark, sf)
+    rows = QUERIES["screen_calibrated"](spark, sf).collect()
+    known = [r for r in rows if r["split"] == "validation"]
+    assert c.boundary <= c.threshold and sum(r["distance"] <= c.boundary for r in known) >= 0.95 * len(known)
+    assert all(r["unknown_risk"] <= p.max_risk for r in rows if r["decision"] == "PASS")
+    assert all((r["unknown_status"] == "UNKNOWN") == (r["distance"] > c.threshold) for r in rows)

@@ -190,3 +190,30 @@ def select_c(spark, sf_dir):
 
     rows = embeddings(spark, sf_dir).filter("label < 6").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), "v", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("fold"))
     return X.best(X.by_strength(X.out_of_fold(rows, 1, GRID, 6))).select("c", "log_loss")
+
+
+def calibrated(spark, sf_dir):
+    """Calibration and policy of the screening chain, fitted on its validation and out-of-distribution sets."""
+    from vetra.plans.session import cut
+    from vetra.queries.screening import POL
+
+    rows = cut(screened(spark, sf_dir).filter(f"{_KNOWN} OR {_OOD}").select("split", "distance", "top_similarity", F.round("confidence", 6).alias("confidence"), (F.col("predicted_class") == F.col("true_class")).alias("ok")))
+    known, outside = rows.filter(_KNOWN), rows.filter(_OOD)
+    limit = A.select_threshold(known, outside, 0.95).first()
+    intercept, slope = A.fit_risk(rows.select("distance", F.expr(f"CAST({_OOD} AS double)").alias("unknown")))
+    c = S.Calibration(CAL.k, limit["threshold"], limit["boundary"], intercept, slope)
+    right = known.filter("ok").select(F.col("top_similarity").alias("x"))
+    similarity = A.order_statistic(right, "x", A.lower_quantile_place(1.0 - 0.95, right.count())).first()["x"]
+    confidence = A.select_min_confidence(known.select("confidence", "ok"), 0.25).first()["min_confidence"]
+    most = spark.range(1).select(S.risk(F.lit(c.boundary), c)).first()[0]
+    return c, S.Policy(confidence, POL.min_similarity if similarity is None else similarity, most)
+
+
+@query()
+def screen_calibrated(spark, sf_dir):
+    """The screening chain on thresholds that its own calibration sets give."""
+    from vetra.queries.screening import references
+
+    c, p = calibrated(spark, sf_dir)
+    out = S.screen(samples(spark, sf_dir), references(spark, sf_dir), weights(spark, sf_dir), c, p)
+    return out.select("vec_id", "split", "true_class", "predicted_class", "distance", "unknown_status", "unknown_risk", "agreement", "strength", "decision")
