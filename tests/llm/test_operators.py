@@ -173,6 +173,14 @@ def test_token_counts(docs, empty):
     assert tokencount.token_counts(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, "word " * 100_000, "漢字" * 60_000, " " * 200_000])
+def test_token_counts_of_very_long_texts(text):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert tokencount.Counter(path).count(text) == len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))
+
+
 def test_merge_count_takes_the_leftmost_of_equal_ranks():
     assert tokencount.merge_count("aaa", {"aa": 1}) == 1 and tokencount.merge_count("abab", {"ab": 2, "abab": 5, "ba": 1}) == 1
 

@@ -236,7 +236,8 @@ def fit(docs: DataFrame, per_language: int = 400, order: int = 4, deviations: fl
 def identify(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, lang_pred, score, entropy and rejected of every row; only the text decides.
 
-    ``und``, score 0 and rejected where the text is null or has no letter. A null doc_id stays null,
+    ``und``, score 0 and rejected where the text is null or has no letter. Whole texts are scored, in parts of
+    bounded size. A null doc_id stays null,
     repeated rows are repeated, an empty table gives an empty result, other columns are ignored.
     """
     names = np.array([*models.languages, UNKNOWN], dtype=object)

@@ -70,7 +70,7 @@ def mix(docs: DataFrame, dimensions: dict[str, Column], targets: dict[str, dict[
     ``targets`` has each dimension's shares by value; values without one, and null, are ``other``
     (share 0 unless given, so such documents are not taken; with ``whole`` the share of tokens that they
     have, and the given shares are of the rest). ``share`` is the part of all tokens to
-    take. A null text has no tokens; cells without tokens are kept whole. Rows that repeat an id get
+    take. A null text has no tokens, and one of any length is counted whole; cells without tokens are kept whole. Rows that repeat an id get
     one decision; a null id draws by its text. Columns of those names are replaced. An empty table gives an empty result.
     """
     if prod(len(t) + 1 for t in targets.values()) > MOST_CELLS:

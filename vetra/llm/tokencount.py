@@ -120,7 +120,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every whole text of ``docs``.
 
     A null text counts as empty (0 bytes, 0 tokens), a null doc_id stays null, repeated rows are
-    repeated, an empty table gives no row, and other columns are ignored.
+    repeated, an empty table gives no row, and other columns are ignored. A text of any length is counted
+    whole, one long word included (in n log n steps).
     """
 
     def run(batches):
