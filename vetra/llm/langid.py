@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from vetra.llm.common import small_batches, trimmed
+
 WORD = re.compile(r"[^\W\d_]+")
 EDGE = 0x20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -252,7 +254,8 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
@@ -269,7 +272,8 @@ def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
                 rejected = np.array([not (t and WORD.search(t)) for t in texts], dtype=bool)
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def predicted_languages(docs: DataFrame, per_language: int = 400) -> DataFrame:
