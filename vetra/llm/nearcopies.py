@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetra.llm.common import cut
+from vetra.llm.common import cut, small_batches, trimmed
 from vetra.llm.components import connected_components
 from vetra.llm.simhash import SEED, bit_groups, majority, near_links
 
 WORDS, GROUPS, REACH, CHECK, LIMIT = 7, 4, 1, 2, 36
+#: Bits that mark wanted texts.
+MARKS = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,20 +74,36 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
 
     text = F.col("text").cast("string").cast("binary")
     schema = "doc_id long, place long, node long, n long, " + ", ".join(f"{w} long" for w in words)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).mapInArrow(trimmed(run), schema)
+
+
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """Which places mod ``MARKS`` are wanted, as bits: 2 MB whatever the number of documents."""
+    x = F.pmod("place", F.lit(MARKS)) + 1  # both functions count from 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(x).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits")).collect()  # at most MARKS / 2 ** 15 rows of 4 KB
+    out = np.zeros((MARKS >> 15, 4096), np.uint8)
+    for r in rows:
+        out[r["b"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, own (its sorted shingles as bytes) of the texts that ``wanted`` (place, node) names."""
+    """node, own (its sorted shingles as bytes) of the texts that ``wanted`` (place, node) names.
+
+    Texts whose place is not marked are passed over where they are read, so few sets are shuffled and no text is.
+    """
+    marks = _marks(wanted)
 
     def run(batches):
         for batch in batches:
-            own = [shingles(x.as_py() or b"", shingle).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
+            at = batch.column(0).to_numpy() % MARKS
+            hit = np.flatnonzero(marks[at >> 15, (at & 0x7FFF) >> 3] >> (at & 7).astype(np.uint8) & 1)
+            own = [shingles(batch.column(1)[i].as_py() or b"", shingle).tobytes() for i in hit.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array(own, pa.binary())], names=["place", "own"])
 
     text = F.col("text").cast("string").cast("binary")
-    named = docs.select("doc_id", F.xxhash64(text).alias("place"), text.alias("text")).join(wanted, ["doc_id", "place"])
-    return named.select("node", "text").mapInArrow(run, "node long, own binary").dropDuplicates(["node"])
+    found = docs.select(F.xxhash64(text).alias("place"), text.alias("text")).mapInArrow(trimmed(run), "place long, own binary")
+    return found.dropDuplicates(["place"]).join(wanted, "place").select("node", "own")
 
 
 def forest(sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
@@ -154,6 +172,8 @@ def exact_links(groups: DataFrame, sets: DataFrame, similar: float, most: int, m
     if split.isEmpty():
         return links
 
+    sets = cut(sets.join(split.select("node"), "node", "left_semi"))
+
     def parts() -> DataFrame:
         """The sets of split groups, each with the component it is in so far."""
         return split.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -170,7 +190,7 @@ def exact_links(groups: DataFrame, sets: DataFrame, similar: float, most: int, m
     return links.unionByName(_compared(dealt, sets, similar, task_shingles))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: int = 1_000, most_shingles: int = 1_000_000, task_shingles: int = 4_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: int = 8_000, most_shingles: int = 500_000, task_shingles: int = 1_500_000) -> DataFrame:
     """doc_id and component_id of every document.
 
     Two texts are linked if the Jaccard similarity of their distinct shingles is ``similar`` or more. A
@@ -179,12 +199,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: i
     Repeated rows are repeated; an empty table gives an empty result; other columns are ignored.
     """
     words = [f"w{k}" for k in range(WORDS)]
+    small_batches(docs.sparkSession)
     marked = cut(_marked(docs, shingle))
-    first = F.min(F.struct("doc_id", "place", "n", *words)).alias("first")
+    first = F.min(F.struct("place", "n", *words)).alias("first")
     nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), first).select("node", "least", "first.*"))
-    candidates = near_links(nodes.filter("n > 0").select(*words, "node"), bit_groups(GROUPS, WORDS), REACH, LIMIT, CHECK, per_shard=8_192)
+    candidates = near_links(nodes.filter("n > 0").select(*words, "node"), bit_groups(GROUPS, WORDS), REACH, LIMIT, CHECK, per_shard=131_072)
     groups = cut(connected_components(candidates).join(nodes.select("node", "n"), "node").select(F.col("root").alias("grp"), "node", "n"))
-    wanted = nodes.join(groups.select("node"), "node", "left_semi").select("doc_id", "place", "node")
+    wanted = nodes.join(groups.select("node"), "node", "left_semi").select("place", "node")
     links = exact_links(groups, cut(_sets(docs, wanted, shingle)), similar, most, most_shingles, task_shingles)
     rooted = nodes.select("node", "least").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -10,7 +10,8 @@ radius leaves the smaller larger half is taken. Whatever lies within the radius
 lies outside, and by the triangle bound also what lies less than ``reach`` within, goes outside. So two
 fingerprints within reach of each other always share a leaf, and a fingerprint visits the neighbouring
 shards that its reach may overlap. The first levels (as many as the table's size asks for, at most
-``MOST_DEPTH``) are fitted on a bounded sample and make the shards; every fingerprint is dealt by them.
+``MOST_DEPTH``) are fitted on a bounded sample and make the shards; every fingerprint is dealt by them. They are few, as each
+level sends some fingerprints twice.
 Each shard goes on growing its own tree from all it holds, down to ``small`` fingerprints, which are
 compared over all their bits. A shard reports links that span its components, never all pairs.
 """
@@ -169,10 +170,29 @@ def shard_links(fp: np.ndarray, key: np.ndarray, reach: int, limit: int, small:
     return np.concatenate(left), np.concatenate(right)
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of links u, v as a link from every other node to the component's smallest."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        least, before = np.minimum(root[a], root[b]), root.copy()
+        for side in (a, b, before[a], before[b]):
+            np.minimum.at(root, side, least)
+        while not (root == root[root]).all():
+            root = root[root]
+        if (root == before).all():
+            break
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[other], nodes[root[other]]
+
+
 def near_links(
-    fps: DataFrame, groups: list[tuple[int, int]], reach: int, limit: int, check: int = 1, per_shard: int = 4_096, task_rows: int = 200_000, most: int = 50_000
+    fps: DataFrame, groups: list[tuple[int, int]], reach: int, limit: int, check: int = 1, per_shard: int = 32_768, task_rows: int = 200_000, most: int = 400_000
 ) -> DataFrame:
-    """Links u, v between fingerprints that span every link found: ``limit`` bits or fewer of the first ``check`` words differ.
+    """Links u, v between fingerprints that have the components of all links found: ``limit`` bits or fewer of the first ``check`` words differ.
+
+    A task reports its components as stars, so a crowd of near copies sends a row for each and not one for each pair.
 
     ``fps`` has w0, w1, ... and last a long column ``node`` that names the fingerprint. Found is each link
     that lies within ``reach`` bits in one of ``groups`` (word, mask): all links, if they have more than
@@ -201,7 +221,7 @@ def near_links(
                 yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i).take(who) for i in range(check)), batch.column(len(own)).take(who)], names=["leaf", "key", *checked, "node"])
 
     schema = "leaf int, key long, " + "".join(f"{c} long, " for c in checked) + "node long"
-    rows = cut(fps.mapInArrow(deal, schema))
+    rows = fps.mapInArrow(deal, schema)  # made twice, which costs less than keeping it: `fps` should be a checkpointed frame
     sizes = cut(rows.groupBy("leaf").count())  # one row a shard
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
     tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // task_rows))
@@ -222,7 +242,7 @@ def near_links(
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)]):
             u, v = shard_links(fp[a:b], bits[a:b], reach, limit)
             left.append(node[a + u]), right.append(node[a + v])
-        return pa.table({"u": np.concatenate(left), "v": np.concatenate(right)})
+        return pa.table(dict(zip("uv", stars(np.concatenate(left), np.concatenate(right)))))
 
     bucket = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(tasks))
     return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "u long, v long").filter("u <> v")
