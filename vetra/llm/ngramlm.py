@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetra.llm.common import cut, shared_path
+from vetra.llm.common import cut, give_back, shared_path, trimmed
 from vetra.llm.langid import held_out
 
 _ROW = "kind string, block long, shard int, n long, v long, data binary"
@@ -399,11 +399,15 @@ def _answer(discount: float):
         span = 1 + int(max([second.max(initial=0), *(a[1].max(initial=0) for a in asked)]))
         codes = first * span + second
         context = np.concatenate([np.searchsorted(codes, a[0] * span + a[1])[a[3]] for a in asked])
-        third = np.concatenate([a[4] for a in asked])
-        trie = Trie(first, second, count, *_summed(context, third, np.concatenate([a[5] for a in asked])), discount)
+        summed = _summed(context, *(np.concatenate([a[i] for a in asked]) for i in (4, 5)))
+        del context, codes
+        trie = Trie(first, second, count, *summed, discount)
+        del first, second, count, summed
         rows = []
         for number, a in zip(tab.column("block").to_pylist(), asked):
             rows.append(("codes", number, key[0].as_py(), None, None, _pack(*trie.query(a[0], a[1], a[3], a[4]))))
+        del asked, trie
+        give_back()
         return _table(rows)
 
     return run
@@ -445,7 +449,7 @@ def _score(shards: int, ends: int, n_train: int, n_distinct: int):
     return run
 
 
-def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, discount: float = 0.75, block_bytes: int = 10_000_000, shard_bytes: int = 20_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, discount: float = 0.75, block_bytes: int = 10_000_000, shard_bytes: int = 12_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Documents whose crc32(doc_id as text) mod ``modulus`` is ``remainder`` are not learned from. A null
@@ -459,7 +463,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, discount: f
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets = max(4, -(-size // shard_bytes)), int(min(MOST_BUCKETS, max(4, -(-size // block_bytes))))
     name = f"vetra_blocks_{uuid.uuid4().hex}"
-    encoded = rows.mapInArrow(_encode(shards, block_bytes), _ROW)
+    encoded = rows.mapInArrow(trimmed(_encode(shards, block_bytes)), _ROW)
     encoded.write.partitionBy("kind").bucketBy(buckets, "block").option("path", shared_path(spark, "blocks")).saveAsTable(name)
     kind = lambda k: spark.table(name).filter(F.col("kind") == k).select(*_NAMES)
     content = kind("block")
