@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetra.llm import exactdedup, langid, mixing, nearcopies, packing
-from vetra.llm.common import set_aside, shared_path, table
+from vetra.llm.common import cut, set_aside, shared_path, table
 
 #: Part of the words that the mix takes.
 SHARE = 0.5
+#: Ids (8 bytes each) that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     SimHash and its vantage-point trees find them, the shingles decide. Ids name documents here: rows
     that share an id go or stay together; rows without one stay. A null text counts as empty.
     """
-    found = nearcopies.near_copies(docs).filter(F.col("doc_id") != F.col("component_id"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = cut(nearcopies.near_copies(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    if gone.count() <= MOST_BROADCAST:  # else both sides are shuffled
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
