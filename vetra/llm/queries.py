@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vetra.llm import exactdedup, langid, licenses, mixing, neighbours, ngramlm, packing, simhash, substring, tokencount
+from vetra.llm import bpecodec, exactdedup, langid, licenses, mixing, neighbours, ngramlm, packing, periodic, simhash, substring, tokencount, whitening
 from vetra.llm.common import table
 
 
@@ -54,11 +55,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = _vocabulary("word_bpe_49k.json")
+    done = bpecodec.decode_documents(bpecodec.encode_documents(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return done.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), most=4)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), edit=periodic.planted))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_mixing, op3_exact_dedup, op4_language_id, op5_token_counts, op6_nearest_neighbours, op7_license_scan,
-        op8_substring_dedup, op9_lm_scores, op10_simhash,
+        op8_substring_dedup, op9_lm_scores, op10_simhash, op11_bpe_codec, op12_whitening, op13_periodic_runs,
     )
 }
 
