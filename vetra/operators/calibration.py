@@ -5,18 +5,15 @@ from __future__ import annotations
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vetra.operators.selection import order_statistics, percentiles, running_sums, values_of
 
-def order_statistic(rows: DataFrame, value: str, place: int) -> DataFrame:
-    """One row: the value at 0-based ``place`` of all values, from a histogram of distinct values.
 
-    Values are counted by partial aggregation; running counts are over distinct values only.
-    """
-    counted = rows.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    return counted.withColumn("upto", upto).filter(F.col("upto") > place).agg(F.min("x").alias("x"))
+def order_statistic(rows: DataFrame, value: str, place: int) -> DataFrame:
+    """One row: the value at 0-based ``place`` of all values; null where there are fewer."""
+    found = order_statistics(rows.select(F.lit("x").alias("key"), F.col(value).cast("double").alias("x")), {"x": [place]})
+    return rows.sparkSession.createDataFrame([(found.get(("x", place)),)], "x double")
 
 
 def lower_quantile_place(q: float, n: int) -> int:
@@ -80,11 +77,10 @@ def log_loss(rows: DataFrame, probability: Column, floor_at: float = 1e-15) -> D
 def select_min_confidence(rows: DataFrame, target: float) -> DataFrame:
     """The smallest observed confidence at or over which accuracy meets ``target``. ``rows``: confidence, ok.
 
-    Rows are counted by distinct confidence first. Where no confidence meets the target: 1, and no accuracy.
+    Rows are counted by distinct confidence first, and counts run over ranges of it. Where no confidence meets the target: 1, and no accuracy.
     """
     counted = rows.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("right"))
-    down = W.orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, 0)
-    running = counted.select("confidence", F.sum("n").over(down).alias("n"), F.sum("right").over(down).alias("right"))
+    running = running_sums(counted, F.desc("confidence"), ["n", "right"])
     whole = rows.agg(F.count(F.lit(1)).alias("all"))
     met = running.withColumn("accuracy", F.col("right") / F.col("n")).filter(F.col("accuracy") >= target)
     best = met.agg(F.min_by(F.struct("confidence", "accuracy", "n"), "confidence").alias("b")).join(whole)
@@ -95,21 +91,34 @@ def select_min_confidence(rows: DataFrame, target: float) -> DataFrame:
 
 
 def describe(rows: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
-    cuts = F.percentile(value, F.array(*[F.lit(p) for p in points.values()]))
-    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), cuts.alias("cuts")).select(
-        "n", F.round("mean", 8).alias("mean"), F.round("least", 8).alias("least"), F.round("most", 8).alias("most"), *[F.round(F.col("cuts")[i], 8).alias(k) for i, k in enumerate(points)]
-    )
+    """n, mean, least, most and the percentiles ``points`` of a column, as one row."""
+    cuts = percentiles(rows.select(F.lit("x").alias("key"), F.col(value).cast("double").alias("x")), {"x": [*points.values()]})
+    whole = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return whole.select("n", *[F.round(c, 8).alias(c) for c in ("mean", "least", "most")], *[F.round(F.lit(cuts["x", p]).cast("double"), 8).alias(k) for k, p in points.items()])
+
+
+def signal_percentiles(rows: DataFrame, coverage_of, wanted: dict[str, list[float]], tile_floor: float = 0.1) -> tuple[dict[tuple[str, float], float | None], float | None]:
+    """Percentiles of quality signals (sharpness, brightness, clipped; coverage) of ``rows``, which has tiles, and the tiles' floor.
+
+    All columns go through one selection; coverage needs the floor, which is a percentile of all rows' tiles, and follows in a second.
+    """
+    plain = {k: v for k, v in wanted.items() if k != "coverage"}
+    tiles = F.transform("tiles", lambda t: F.struct(F.lit("tiles").alias("key"), t.cast("double").alias("x")))
+    found = percentiles(rows.select(F.inline(values_of(tiles, **{k: F.col(k) for k in plain}))), plain | {"tiles": [tile_floor]})
+    floor_at = found.pop(("tiles", tile_floor))
+    covered = rows.select(F.lit("coverage").alias("key"), coverage_of(F.col("tiles"), F.lit(floor_at).cast("double")).alias("x"))
+    return found | percentiles(covered, {"coverage": wanted["coverage"]}), floor_at
 
 
 def quality_bounds(rows: DataFrame, coverage_of) -> DataFrame:
-    """Bounds from training rows (sharpness, brightness, clipped, tiles): first and last percentiles, and a
+    """Bounds from training rows (sharpness, brightness, clipped, tiles), as one row: first and last percentiles, and a
     floor for tiles pooled over all rows, from which the coverage bound follows in a second pass."""
-    first = rows.agg(
-        F.percentile("sharpness", 0.01).alias("sharpness_min"), F.percentile("brightness", F.array(F.lit(0.01), F.lit(0.99))).alias("b"), F.percentile("clipped", 0.99).alias("clipped_max"),
-    )
-    floor_at = rows.select(F.explode("tiles").alias("t")).agg(F.percentile("t", 0.1).alias("tile_floor"))
-    covered = rows.join(F.broadcast(floor_at)).withColumn("coverage", coverage_of(F.col("tiles"), F.col("tile_floor"))).agg(F.percentile("coverage", 0.01).alias("coverage_min"))
-    return first.join(floor_at).join(covered).select("sharpness_min", F.col("b")[0].alias("brightness_min"), F.col("b")[1].alias("brightness_max"), "clipped_max", "tile_floor", "coverage_min")
+    q, floor_at = signal_percentiles(rows, coverage_of, {"sharpness": [0.01], "brightness": [0.01, 0.99], "clipped": [0.99], "coverage": [0.01]})
+    bounds = {
+        "sharpness_min": q["sharpness", 0.01], "brightness_min": q["brightness", 0.01], "brightness_max": q["brightness", 0.99],
+        "clipped_max": q["clipped", 0.99], "tile_floor": floor_at, "coverage_min": q["coverage", 0.01],
+    }
+    return rows.sparkSession.createDataFrame([tuple(bounds.values())], ", ".join(f"{k} double" for k in bounds))
 
 
 def quality_checks(bounds: dict[str, float]) -> Column:

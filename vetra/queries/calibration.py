@@ -109,15 +109,13 @@ _SIGNALS = {"sharpness": "me", "brightness": "me", "clipped": "me", "coverage":
 
 @query(_B_SQL + " UNION ALL ".join(f"SELECT '{s}' AS signal, " + ", ".join(f"round(quantile_cont({s}, {p / 100}), 6) AS p{p}" for p in (1, 5, 50, 95, 99)) + f" FROM {t}" for s, t in _SIGNALS.items()))
 def quality_distribution(spark, sf_dir):
-    """All four signals in one pass after the pooled floor of tiles, then turned into rows."""
+    """All four signals by one selection each of values and of coverage, a row a signal."""
     from vetra.plans.session import cut
 
-    points, rows = (1, 5, 50, 95, 99), cut(measured(spark, sf_dir))
-    floor_at = rows.select(F.explode("tiles").alias("t")).agg(F.percentile("t", 0.1).alias("tile_floor"))
-    rows = rows.join(F.broadcast(floor_at)).withColumn("coverage", C.coverage(F.col("tiles"), F.col("tile_floor")))
-    cuts = rows.agg(*[F.percentile(s, F.array(*[F.lit(p / 100) for p in points])).alias(s) for s in _SIGNALS])
-    turned = cuts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("q")) for s in _SIGNALS])).alias("r"))
-    return turned.select("r.signal", *[F.round(F.col("r.q")[i], 6).alias(f"p{p}") for i, p in enumerate(points)])
+    points = (1, 5, 50, 95, 99)
+    q, _ = A.signal_percentiles(cut(measured(spark, sf_dir)), C.coverage, {s: [p / 100 for p in points] for s in _SIGNALS})
+    rows = [(s, *[q[s, p / 100] for p in points]) for s in _SIGNALS]
+    return spark.createDataFrame(rows, "signal string, " + ", ".join(f"p{p} double" for p in points)).select("signal", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in points])
 
 
 BOUNDS = {"min_side": 8, "sharpness_min": 30000.0, "brightness_min": 0.48, "brightness_max": 0.53, "clipped_max": 0.1, "coverage_min": 0.8}

@@ -102,10 +102,16 @@ _CUTS = (5, 25, 50, 75, 95)
 @query(S_SQL + "SELECT split, count(*) AS n, count(*) FILTER (unknown_status <> 'UNKNOWN')::DOUBLE / count(*) AS accepted, round(avg(distance), 8) AS mean, round(min(distance), 8) AS least, round(max(distance), 8) AS most, " + ", ".join(f"round(quantile_cont(distance, {p / 100}), 8) AS p{p}" for p in _CUTS) + " FROM s GROUP BY split")
 def distance_distributions(spark, sf_dir):
     """Distances of every set, and what is accepted of it; outside known sets that is false acceptance."""
-    cuts = F.percentile("distance", F.array(*[F.lit(p / 100) for p in _CUTS]))
-    stats = screened(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"), V.rate(F.col("unknown_status") != "UNKNOWN").alias("accepted"), F.avg("distance").alias("mean"), F.min("distance").alias("least"), F.max("distance").alias("most"), cuts.alias("cuts"))
-    rounded = [F.round(c, 8).alias(c) for c in ("mean", "least", "most")]
-    return stats.select("split", "n", "accepted", *rounded, *[F.round(F.col("cuts")[i], 8).alias(f"p{p}") for i, p in enumerate(_CUTS)])
+    from vetra.operators.selection import percentiles
+    from vetra.plans.session import cut
+
+    rows = cut(screened(spark, sf_dir).select("split", "unknown_status", "distance"))
+    stats = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), V.rate(F.col("unknown_status") != "UNKNOWN").alias("accepted"), F.avg("distance").alias("mean"), F.min("distance").alias("least"), F.max("distance").alias("most"))
+    splits = [r["split"] for r in stats.select("split").collect()]
+    q = percentiles(rows.select(F.col("split").alias("key"), F.col("distance").alias("x")), {k: [p / 100 for p in _CUTS] for k in splits})
+    cuts = spark.createDataFrame([(k, *[q[k, p / 100] for p in _CUTS]) for k in splits], "split string, " + ", ".join(f"p{p} double" for p in _CUTS))
+    rounded = [F.round(c, 8).alias(c) for c in ("mean", "least", "most", *[f"p{p}" for p in _CUTS])]
+    return stats.join(F.broadcast(cuts), "split").select("split", "n", "accepted", *rounded)  # one row a split
 
 
 _OK = ("confidence", "similarity", "risk", "agreement", "quality")
