@@ -7,16 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vetra.functions.vectors import dot, let, mean, total
+from vetra.operators.blocksearch import search_blocks
 
-#: A library is a curated set; it travels as one array to every task, so its size is checked.
+#: A library up to this size travels as one array to every task; larger ones are searched in blocks.
 MOST_REFERENCES = 20_000
 
 
 def library(refs: DataFrame) -> DataFrame:
     """One row: the whole library as an array of references (reference_id, class_name, fragment_type, v)."""
-    size = refs.count()
-    if size > MOST_REFERENCES:
-        raise ValueError(f"a library of {size} references is too large for exact search in every task")
     item = F.struct("reference_id", "class_name", "fragment_type", F.col("v").alias("r"))
     return refs.agg(F.array_sort(F.collect_list(item)).alias("refs"))
 
@@ -24,8 +22,11 @@ def library(refs: DataFrame) -> DataFrame:
 def search(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """``queries`` (with v) plus matches: the k most similar references, best first, ties to the smaller id.
 
-    Every query meets the library within its own task; nothing is shuffled.
+    Every query meets the library within its own task and nothing is shuffled, while the library has at most
+    ``MOST_REFERENCES``; beyond, ``blocksearch`` gives the same rows.
     """
+    if refs.count() > MOST_REFERENCES:
+        return search_blocks(queries, refs, k)[0]
     scored = lambda v: F.transform("refs", lambda r: F.struct((-dot(v, r["r"])).alias("far"), r["reference_id"].alias("reference_id"), r["class_name"].alias("class_name"), r["fragment_type"].alias("fragment_type")))
     best = F.slice(F.array_sort(let(F.col("v"), scored)), 1, k)
     ranked = F.transform(best, lambda m, i: F.struct((i + 1).alias("rank"), (-m["far"]).alias("similarity"), m["reference_id"].alias("reference_id"), m["class_name"].alias("class_name"), m["fragment_type"].alias("fragment_type")))
