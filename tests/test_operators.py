@@ -9,6 +9,7 @@ from vetra.functions import canvas as C
 from vetra.functions import vectors as V
 from vetra.operators import calibration as A
 from vetra.operators import curation as K
+from vetra.operators import distances as D
 from vetra.operators import evaluation as E
 from vetra.operators import release as L
 from vetra.operators import retrieval as R
@@ -125,10 +126,43 @@ def test_links_and_groups(spark):
 def test_histogram_percentile_equals_pairs(spark):
     import numpy as np
 
-    rows = spark.createDataFrame([(f"c{i % 3}", (i * 37) % 256) for i in range(40)], "class_name string, hash long")
-    own = [(r["class_name"], r["hash"]) for r in rows.collect()]
+    rows = spark.createDataFrame([(f"c{i % 3}", (i * 37) % 256) for i in range(40)] + [(None, 3), ("c1", None)], "class_name string, hash long")
+    own = [(r["class_name"], r["hash"]) for r in rows.dropna().collect()]
     pairs = [bin(x ^ y).count("1") for a, (ca, x) in enumerate(own) for cb, y in own[a + 1 :] if ca != cb]
-    assert K.percentile_of_histogram(K.distance_histogram(rows), 0.1).first()[0] == np.percentile(pairs, 10)
+    for bits in (8, 13, 64):
+        assert K.percentile_of_histogram(D.distance_histogram(rows, bits), 0.1).first()[0] == np.percentile(pairs, 10)
+
+
+def test_distances_by_transform_and_by_blocks_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    for bits in (1, 5, 12, 64):
+        own = [(f"c{rng.randrange(4)}", rng.getrandbits(bits)) for _ in range(150)] + [("c0", 0)] * 60  # a third are one hash
+        own = [(c, h - (1 << 64) if h >> 63 else h) for c, h in own]
+        want = {}
+        for i, (a, x) in enumerate(own):
+            for b, y in own[i + 1 :]:
+                if a != b:
+                    d = bin((x ^ y) & ((1 << 64) - 1)).count("1")
+                    want[d] = want.get(d, 0) + 1
+        rows = spark.createDataFrame(own, "class_name string, hash long")
+        assert {r["distance"]: r["n"] for r in D.distance_histogram(rows, bits).collect()} == want
+        assert {r["distance"]: r["n"] for r in D.distance_histogram(rows, 64, per_block=40).collect()} == want
+    with pytest.raises(ValueError, match="pairs"):
+        D.distance_histogram(rows, 64, most_pairs=10)
+    assert D.distance_histogram(rows.limit(0), 8).count() == D.distance_histogram(rows.filter("class_name = 'c1'"), 8).count() == 0
+
+
+def test_large_counts_stay_whole():
+    """Squares beyond 64 bits: two hashes of 2**40 rows each."""
+    import pyarrow as pa
+
+    from vetra.operators.distances import _powers
+
+    tab = pa.table({"part": [0, 0], "hash": [0, 3], "n": [2**40, 2**40]})
+    got = _powers(2)((pa.scalar(0),), tab)
+    assert [int(x) for x in got.column("power").to_pylist()] == [2**82, 0, 2**82]
 
 
 def test_dihedral_views_differ():
@@ -234,6 +268,9 @@ def test_a_class_with_one_type_to_hold_out_is_an_error(spark):
     assert K.heldout_types(rows.filter("class_name = 'a'"), 2).collect() == [("a", "x", 3)]
     with pytest.raises(Exception, match="fewer than two fragment types"):
         K.heldout_types(rows, 2).collect()
+    for read in (lambda f: f.count(), lambda f: f.select("class_name").collect()):  # no column of the result is read
+        with pytest.raises(Exception, match="fewer than two fragment types"):
+            read(K.heldout_types(rows, 2))
 
 
 def test_stored_artifacts_are_checked(spark, tmp_path):

@@ -79,20 +79,8 @@ def simhash60(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key).join(counted.select(key, total.alias("hash")), key, "left").select(key, F.coalesce("hash", F.lit(0).cast("long")).alias("hash"))
 
 
-def distance_histogram(rows: DataFrame) -> DataFrame:
-    """Hamming distances of all cross-class pairs as distance, n: at most 65 rows.
-
-    Equal (class, hash) rows are counted first, so the pairs are those of distinct hashes; each block of
-    them meets the others within the aggregation, and only counts leave it.
-    """
-    counted = rows.groupBy("class_name", "hash").count()
-    a, b = counted.alias("a"), counted.alias("b")
-    pairs = a.join(b, F.col("a.class_name") < F.col("b.class_name"))
-    distance = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash")))
-    return pairs.groupBy(distance.alias("distance")).agg(F.sum(F.col("a.count") * F.col("b.count")).alias("n"))
-
-
 def percentile_of_histogram(histogram: DataFrame, p: float) -> DataFrame:
+    """One row: the percentile of distances by their numbers; a histogram has at most 65 rows."""
     return histogram.agg(F.percentile("distance", F.lit(p), F.col("n")).alias("bound"))
 
 
@@ -169,8 +157,9 @@ def heldout_types(rows: DataFrame, least: int) -> DataFrame:
     candidates = F.count_if(F.col("n") >= least)
     best = counts.groupBy("class_name").agg(F.min(F.when(F.col("n") >= least, F.struct("n", "fragment_type"))).alias("m"), candidates.alias("candidates"))
     refused = F.raise_error(F.concat(F.lit("fewer than two fragment types to hold out of class "), F.coalesce("class_name", F.lit("null"))))
-    checked = F.when(F.col("candidates") < 2, refused.cast("string")).otherwise(F.col("m.fragment_type"))
-    return best.select("class_name", checked.alias("fragment_type"), F.col("m.n").alias("n"))
+    # a filter, as a column that nothing reads would be pruned and its error with it
+    checked = best.filter(F.when(F.col("candidates") < 2, refused.cast("boolean")).otherwise(F.lit(True)))
+    return checked.select("class_name", F.col("m.fragment_type").alias("fragment_type"), F.col("m.n").alias("n"))
 
 
 def heldout_groups(rows: DataFrame, types: DataFrame) -> DataFrame:

@@ -109,5 +109,12 @@ def leaks(references: DataFrame, others: DataFrame) -> DataFrame:
     return by_id.unionByName(rest.join(references.select("sha256").distinct(), "sha256", "left_semi").select("image_id", F.lit("sha256").alias("by")))
 
 
+def refuse_leaks(references: DataFrame, others: DataFrame) -> None:
+    """Raises where ``leaks`` finds a row, and names the first few."""
+    found = leaks(references, others).orderBy("image_id").limit(5).collect()
+    if found:
+        raise ValueError("references outside the training rows: " + ", ".join(f"{r['image_id']} (by {r['by']})" for r in found))
+
+
 def mean_similarity(matches: Column, k: int) -> Column:
     return mean(F.transform(F.slice(matches, 1, k), lambda m: m["similarity"]))

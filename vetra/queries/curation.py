@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vetra.functions.vectors import let
 from vetra.operators import curation as K
 from vetra.operators import retrieval as R
+from vetra.operators.containment import benchmark_pairs
+from vetra.operators.distances import distance_histogram
 from vetra.queries.base import INV_SQL, P_SQL, canvases, inventory_rows, query
 from vetra.queries.vectors import _phash_sql, phash
 from vetra.sources import tables as T
@@ -129,24 +130,36 @@ _DIST = """, dist AS (SELECT bit_count(xor(a.hash, b.hash))::INT AS distance FRO
 
 @query(H_SQL + _DIST + "SELECT quantile_cont(distance, 0.0001) AS bound FROM dist")
 def near_dup_bound(spark, sf_dir):
-    return K.percentile_of_histogram(K.distance_histogram(hashed(spark, sf_dir)), 0.0001)
+    return K.percentile_of_histogram(distance_histogram(hashed(spark, sf_dir), bits=16), 0.0001)
 
 
-BELOW = 2  # bits of 16
+#: The percentile of cross-class distances under which rows are linked. Hashes of 16 bits are coarse: of 64 bits, a tenth would do.
+NULL_SHARE = 0.001
+_BELOW = _DIST + f", bd AS MATERIALIZED (SELECT quantile_cont(distance, {NULL_SHARE}) AS below FROM dist) "
 
 
-@query(H_SQL + f"SELECT a.image_id AS a, b.image_id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM hs a JOIN hs b ON a.image_id < b.image_id WHERE bit_count(xor(a.hash, b.hash)) < {BELOW}")
+def linking(spark, sf_dir):
+    """The hashes, computed once, and the bound that their own cross-class distances give."""
+    from vetra.plans.session import cut
+
+    rows = cut(hashed(spark, sf_dir))
+    bound = K.percentile_of_histogram(distance_histogram(rows, bits=16), NULL_SHARE).first()["bound"]
+    return rows, bound or 0.0
+
+
+@query(H_SQL + _BELOW + "SELECT a.image_id AS a, b.image_id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM hs a JOIN hs b ON a.image_id < b.image_id, bd WHERE bit_count(xor(a.hash, b.hash)) < below")
 def near_dup_links(spark, sf_dir):
-    return K.near_links(hashed(spark, sf_dir), BELOW, bands=2, bits=16)
+    rows, below = linking(spark, sf_dir)
+    return K.near_links(rows, below, bands=2, bits=16)
 
 
 def grouped(spark, sf_dir):
-    rows = hashed(spark, sf_dir)
-    return K.group_ids(rows, K.group_roots(K.group_links(rows, BELOW, bands=2, bits=16)))
+    rows, below = linking(spark, sf_dir)
+    return K.group_ids(rows, K.group_roots(K.group_links(rows, below, bands=2, bits=16)))
 
 
-_GROUPS = H_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
-    lk AS MATERIALIZED (SELECT a.image_id AS a, b.image_id AS b FROM hs a JOIN hs b ON a.image_id <> b.image_id WHERE bit_count(xor(a.hash, b.hash)) < {BELOW}),
+_GROUPS = H_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + _BELOW + """,
+    lk AS MATERIALIZED (SELECT a.image_id AS a, b.image_id AS b FROM hs a JOIN hs b ON a.image_id <> b.image_id, bd WHERE bit_count(xor(a.hash, b.hash)) < below),
     reach(node, root) AS (SELECT image_id, image_id FROM hs UNION SELECT lk.b, root FROM reach JOIN lk ON lk.a = node),
     gr AS MATERIALIZED (SELECT hs.*, root, 'g' || CASE WHEN root < 10000 THEN lpad(root::VARCHAR, 4, '0') ELSE root::VARCHAR END AS group_id
         FROM hs JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) ON node = image_id) """
@@ -212,13 +225,13 @@ def greedy_split(spark, sf_dir):
     SELECT (SELECT count(*) FROM lk) // 2 AS links, count(*) AS groups, count(*) FILTER (n > 1) AS multi_image_groups, max(n) AS largest_group, count(*) FILTER (classes > 1) AS mixed_groups FROM gs""")
 def group_stats(spark, sf_dir):
     """Links are counted from distinct hashes and how often each occurs; no pair of images is made."""
-    rows = hashed(spark, sf_dir)
+    rows, below = linking(spark, sf_dir)
     counted = rows.groupBy("hash").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("n"))
-    apart = K.near_links(counted, BELOW, bands=2, bits=16)
+    apart = K.near_links(counted, below, bands=2, bits=16)
     n = counted.select("image_id", "n")
     between = apart.join(n.withColumnsRenamed({"image_id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"image_id": "b", "n": "nb"}), "b").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("between"))
     within = counted.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("within"))
-    sizes = grouped(spark, sf_dir).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_name").alias("classes"))
+    sizes = K.group_ids(rows, K.group_roots(K.group_links(rows, below, bands=2, bits=16))).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_name").alias("classes"))
     stats = sizes.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("multi_image_groups"), F.max("n").alias("largest_group"), F.count_if(F.col("classes") > 1).alias("mixed_groups"))
     return stats.join(between).join(within).select((F.col("between") + F.col("within")).cast("long").alias("links"), "groups", "multi_image_groups", "largest_group", "mixed_groups")
 
@@ -272,23 +285,6 @@ def leakage_check(spark, sf_dir):
     return R.leaks(rows.filter("image_id % 10 = 0"), rows.filter("image_id % 10 <> 0 OR image_id % 100 = 0"))
 
 
-def benchmark_pairs(docs, items, k=8):
-    """Documents that contain a whole passage: they meet by a hash of ``k`` of its inner words, then the text decides.
-
-    Words are runs of letters and digits. A passage's first and last word may be parts of longer ones in the
-    document, whatever stands around it; those between are whole in both. Shorter passages are held against every text.
-    """
-    words = lambda t: F.filter(F.split(t, r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), lambda w: w != "")
-    key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
-    split = items.select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).filter("passage IS NOT NULL")
-    passages = split.filter(F.size("w") >= k + 2).select("item_id", "passage", key(F.col("w"), F.lit(2)).alias("key"))
-    heads = lambda w: F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: key(w, i))))
-    spread = docs.select("doc_id", let(words(F.col("text")), heads).alias("keys"))
-    met = spread.select("doc_id", F.explode("keys").alias("key")).join(passages, "key").join(docs.select("doc_id", "text"), "doc_id")
-    short = docs.select("doc_id", "text").join(F.broadcast(split.filter(F.size("w") < k + 2).select("item_id", "passage")), F.contains("text", "passage"))
-    return met.filter(F.contains("text", "passage")).select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
-
-
 @query("SELECT DISTINCT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def benchmark_containment(spark, sf_dir):
     return benchmark_pairs(T.read(spark, sf_dir, "documents"), T.read(spark, sf_dir, "benchmark"))
