@@ -142,11 +142,21 @@ def test_batches_are_held_against_the_store(spark, tmp_path):
         out = exactdedup.exact_dedup(spark.read.parquet(f"{tmp_path}/in{k}"), store=store)
         got.append({(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()})
     assert got == [{(1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True)}, {(7, 7, 2, True), (8, 8, 1, True), (2, 2, 2, True)}, {(4, 7, 3, False)}]
-    one = lambda t: F.lit("d")  # noqa: E731 - every text has this digest: only the bytes behind the locator tell them apart
-    weak = "file://" + str(tmp_path / "weak")
-    for k, rows in enumerate(batches[:1] + batches[2:]):
-        out = exactdedup.exact_dedup(spark.read.parquet(f"{tmp_path}/in{2 * k}").limit(1), one, weak).collect()
-    assert [(r.doc_id, r.keep_id, r.kept) for r in out] == [(4, 4, True)]
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3, 4, 5, 6), (6, 5, 4, 3, 2, 1), (2, 6, 1, 5, 3, 4)])
+def test_texts_of_one_digest_are_told_apart_over_batches(spark, tmp_path, ids):
+    """Every text has the same digest here: only the bytes behind the locators tell them apart, whichever id is the larger."""
+    one = lambda t: F.lit("d")
+    store, texts_of, so_far = "file://" + str(tmp_path / "store"), ["alpha", "beta", "Alpha", "gamma", "beta", "alpha"], []
+    for k, rows in enumerate([[(i, t)] for i, t in zip(ids, texts_of)] + [[(7, "BETA"), (8, "delta"), (9, "delta")]]):
+        so_far += rows
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/in{k}")
+        out = exactdedup.exact_dedup(spark.read.parquet(f"{tmp_path}/in{k}"), one, store).collect()
+        for i, t in rows:
+            group = [j for j, u in so_far if u.lower() == t.lower()]
+            assert (i, max(group), len(group), i == max(group)) in {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out}
+        assert len(out) == len(rows)
 
 
 def test_a_hot_digest_is_salted(spark):
@@ -192,6 +202,8 @@ def test_language_id(spark, docs, empty, sf_dir):
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in rows)
     assert sum(r.rejected for r in rows) < 0.02 * len(rows)
+    signs = langid.predicted_languages(own.select("doc_id", "text", "lang").limit(500).unionByName(spark.createDataFrame([(9001, "½ ²", None), (9002, "① Ⅷ ٣ 12", None), (9003, "_", None)], "doc_id long, text string, lang string")), 60)
+    assert {(r.lang_pred, r.score) for r in signs.filter("doc_id > 9000").collect()} == {("und", 0.0)}
     odd = {r.doc_id: r for r in langid.predicted_languages(docs).collect()}
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (300, 301, 302, 305)) and odd[1].lang_pred == "en"
     assert langid.predicted_languages(empty).count() == 0

@@ -6,9 +6,9 @@ the count, the stable identifier (largest doc_id, which stays) and a content loc
 document's row, which with the identifier says where its bytes are. With a ``store`` the state outlives
 the call, and later batches are held against everything seen before.
 
-A hit, a digest met more than once, is checked on full bytes: the texts of its rows at hand, and the
-text that the locator names where that lies in a file of an earlier batch, are grouped by the whole text.
-Should two texts share a digest, each gets its own group.
+A hit, a digest met more than once, is checked on full bytes: the texts of its rows at hand, and a
+text of an earlier batch that its locator names, are grouped by the whole text. Should two texts share a
+digest, it is noted as parted, and each of its texts, of all batches, gets its own group.
 
 Only DataFrame operations run. Copies collapse in map-side partial aggregates before any shuffle. Rows
 of hot digests (over 1 / ``HOT`` of all rows each, so at most ``HOT`` of them) are dealt by a salt too,
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, st
     group_size, kept or digest are replaced); an empty table gives an empty result.
 
     ``store``, a folder that all executors reach, keeps the state: a later call with it takes ``docs`` as a
-    further batch, and groups span all batches (Parquet files of earlier ones must still be there).
+    further batch, and groups span all batches. A hit on an earlier batch is checked on that batch's text, which its
+    locator finds: Parquet files of earlier batches must still be there. Rows that came from no file are known by their digest alone.
     """
     spark = docs.sparkSession
     docs = docs.drop("keep_id", "group_size", "kept", "digest")
@@ -95,6 +97,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, st
     # What the stream reads: a digest and a locator for each row, not the texts.
     root = store.rstrip("/") if store else shared_path(spark, "dedup")
     staged = f"{root}/digests"
+    earlier, parted = (_kept_table(spark, f"{root}/{k}") if store else None for k in ("digests", "apart"))
     base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("locator")).write.mode("append").parquet(staged)
     digests = spark.read.parquet(staged)
     state = stream_state(spark, spark.readStream.schema(digests.schema).parquet(staged), f"{root}/state")
@@ -110,11 +113,19 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, st
 
     hit = state.filter(F.col("group_size") > 1)
     texts = salted(base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), whole)).join(hit.select("digest", every.alias("__dedup_salt")), ["digest", "__dedup_salt"], "left_semi")
-    texts = texts.select("digest", "doc_id", "__dedup_whole").unionByName(_located(spark, hit, docs) if store else texts.select("digest", "doc_id", "__dedup_whole").limit(0))
-    checked = texts.groupBy("digest", "__dedup_whole").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    texts = texts.select("digest", "doc_id", "__dedup_whole")
+    seen, own = texts, hit.select("digest").join(base.select("digest"), "digest", "left_semi")
+    if earlier is not None:  # one earlier text of each digest: were there several, the digest is known to be parted
+        seen = seen.unionByName(_located(spark, earlier.join(own, "digest", "left_semi").groupBy("digest").agg(F.min("locator").alias("locator")), digest))
     apart_path = shared_path(spark, "dedup-apart")
-    checked.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest").write.parquet(apart_path)
+    apart = seen.select("digest", "__dedup_whole").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
+    (apart if parted is None else apart.unionByName(parted.join(own, "digest", "left_semi").select("digest")).distinct()).write.parquet(apart_path)
     clashing = spark.read.parquet(apart_path)
+    if store:
+        clashing.write.mode("append").parquet(f"{root}/apart")
+    if not clashing.isEmpty() and earlier is not None:  # then all their texts count
+        texts = texts.unionByName(_located(spark, earlier.join(clashing, "digest", "left_semi").select("digest", "locator").distinct(), digest))
+    checked = texts.groupBy("digest", "__dedup_whole").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = state.select("digest", "keep_id", "group_size", every.alias("__dedup_salt"))
     if clashing.isEmpty():
         out = salted(base).join(groups, ["digest", "__dedup_salt"]).drop("__dedup_salt")
@@ -127,14 +138,22 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, st
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))
 
 
-def _located(spark: SparkSession, hit: DataFrame, docs: DataFrame) -> DataFrame:
-    """digest, doc_id, whole of the rows that the locators of ``hit`` name in files other than those of ``docs``."""
-    at_hand = set(docs.inputFiles())
-    files = [r[0] for r in hit.select("locator").distinct().collect() if r[0] and r[0] not in at_hand]  # one row a file
+def _kept_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """What earlier calls wrote there, without what this one will."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # there is none yet
+        return None
+
+
+def _located(spark: SparkSession, where: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """digest, doc_id, whole of all rows with the digests of ``where`` (digest, locator) in the files that its locators name."""
+    files = [r[0] for r in where.select("locator").distinct().collect() if r[0]]  # one row a file
     if not files:
-        return hit.select("digest", F.col("keep_id").alias("doc_id"), F.lit("").alias("__dedup_whole")).limit(0)
-    rows = spark.read.parquet(*files).select(F.col("doc_id").cast("long").alias("keep_id"), F.input_file_name().alias("locator"), normalised(F.col("text")).alias("__dedup_whole"))
-    return rows.join(hit.select("digest", "keep_id", "locator"), ["keep_id", "locator"]).select("digest", F.col("keep_id").alias("doc_id"), "__dedup_whole")
+        return where.select("digest", F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("__dedup_whole")).limit(0)
+    whole = normalised(F.col("text"))
+    rows = spark.read.parquet(*files).select(digest(whole).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("locator"), whole.alias("__dedup_whole"))
+    return rows.join(where, ["digest", "locator"], "left_semi").select("digest", "doc_id", "__dedup_whole")
 
 
 def dedup_classes(docs: DataFrame) -> DataFrame:

@@ -24,12 +24,25 @@ from pyspark.sql import Window as W
 
 from vetra.llm.common import small_batches, trimmed
 
-WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
 EDGE = 0x20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters. Number signs such as ½ and Ⅷ pass for word characters, but are none."""
+    runs = _RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in "".join(c if c.isalpha() else " " for c in r).split()]
+
+
+def has_letter(text: str) -> bool:
+    found = _RUN.search(text)
+    return bool(found) and (found.group().isalpha() or any(map(str.isalpha, text)))
+
+
 def held_out(modulus: int, remainder: int):
     """crc32 of doc_id as text, modulo ``modulus``, equals ``remainder``; a null id is not held out."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -80,7 +93,7 @@ class Models:
         self.bounds = np.zeros((3, len(parts)))
 
     def _fit(self, texts: list[str]) -> list:
-        counted = Counter(w for t in texts for w in WORD.findall(t.lower()))
+        counted = Counter(w for t in texts for w in words_of(t.lower()))
         words, times = list(counted), np.fromiter(counted.values(), np.float64, len(counted))
         full, context, depth, starts = _grams(words, self.order)
         weight = np.repeat(times, np.diff([*starts, len(depth)]))
@@ -136,7 +149,7 @@ class Models:
         for k, language in enumerate(self.languages):
             mean, single = [], []
             for text in aside.get(language, []):
-                words = WORD.findall(text.lower())
+                words = words_of(text.lower())
                 if words:
                     loss = self.losses(words)[0][:, k]
                     mean.append(loss.mean()), single.append(loss.std())
@@ -170,7 +183,7 @@ class Models:
 
         def some(texts: list[str]):
             nonlocal known, used
-            rows = [WORD.findall(t.lower()) if t else [] for t in texts]
+            rows = [words_of(t.lower()) if t else [] for t in texts]
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
             total = np.zeros((len(rows), width + 1))
             flat = [w for r in rows for w in r]
@@ -229,7 +242,7 @@ def fit(docs: DataFrame, per_language: int = 400, order: int = 4, deviations: fl
     use, aside = {k: [] for k in sizes}, {k: [] for k in sizes}
     for r in rows.select("lang", "text", "nth").collect():  # at most per_language rows a language
         (aside if r["nth"] % 5 == 0 else use)[r["lang"]].append(r["text"])
-    use = {k: v for k, v in use.items() if any(WORD.search(t) for t in v)}
+    use = {k: v for k, v in use.items() if any(map(has_letter, v))}
     models = Models(use, order)
     models.calibrate({k: aside[k] or use[k] for k in use}, deviations)
     return models
@@ -269,7 +282,7 @@ def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
             if models.languages:
                 rejected = score(texts)[3]
             else:
-                rejected = np.array([not (t and WORD.search(t)) for t in texts], dtype=bool)
+                rejected = np.array([not (t and has_letter(t)) for t in texts], dtype=bool)
             yield batch.filter(pa.array(~rejected))
 
     small_batches(docs.sparkSession)
