@@ -103,3 +103,18 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(4, 2), (2, 2), (None, 7), (7, 7), (9, 9), (9, 9)], key=str)
     assert nearcopies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_short_pair_is_missed(spark):
+    """Pairs at exactly 0.8 of 4 to 100 shingles (a text and the same with a few words after it), and crowds that share a passage."""
+    rng, rows, pairs = random.Random(3), [], []
+    for k in range(3000):
+        n = 4 * rng.choice([1, 1, 1, 2, 3, 5, 8, 13, 20, 25])
+        words = [f"w{rng.randrange(50_000)}" for _ in range(n + 4)]
+        pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"x{rng.randrange(50_000)}" for _ in range(n // 4)]))]
+    passage = " ".join(f"p{i}" for i in range(30))
+    crowd = [(10_000 + i, f"{passage} " + " ".join(f"y{rng.randrange(50_000)}" for _ in range(30))) for i in range(400)]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows + crowd, "doc_id long, text string").repartition(4)).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+    assert all(got[i] == i for i, _ in crowd)

@@ -7,6 +7,10 @@ in a given group with probability 0.28 (0.37 at 0.85, 0.50 at 0.9), in none of t
 5e-9). Found pairs must also agree in all but ``LIMIT`` of the first 128 bits (on average 19 differ at
 0.8, 64 for unlike texts).
 
+Short texts vary more than that. Sets of up to ``SHORT`` shingles therefore also meet by prefix: of two sets at 0.8,
+each has one of its n - 0.8 n + 1 rarest shingles in common with the other, so sets that share one are
+candidates. For pairs whose smaller set has up to 0.8 * ``SHORT`` shingles, nothing is left to chance.
+
 Candidates form groups. Within a group sets are compared exactly, breadth-first: a set that is reached is
 not held against its own component again. A group too large for one task is cut into blocks: sets are
 compared within their block, then representatives of the components with each other, and only if that
@@ -19,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from vetra.llm.common import cut, small_batches, trimmed
 from vetra.llm.components import connected_components
 from vetra.llm.simhash import SEED, bit_groups, majority, near_links
 
 WORDS, GROUPS, REACH, CHECK, LIMIT = 7, 4, 1, 2, 36
+#: Sets up to this size meet by their rarest shingles too; parts of the sets that share one.
+SHORT, SALTS = 125, 64
 #: Bits that mark wanted texts.
 MARKS = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -57,26 +64,54 @@ def fingerprint(own: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, place (a hash of the text), node (a hash of its set), n (the set's size) and the fingerprint of every document."""
+    """doc_id, place (a hash of the text), node (a hash of its set), n (the set's size), own (the set, if it is short) and the fingerprint of every document."""
     words = [f"w{k}" for k in range(WORDS)]
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            node, n, fp = [], [], np.zeros((batch.num_rows, WORDS), np.uint64)
+            node, n, short, fp = [], [], [], np.zeros((batch.num_rows, WORDS), np.uint64)
             for i, x in enumerate(batch.column(2)):
                 own = shingles(x.as_py() or b"", shingle)
-                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED)), n.append(len(own))
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED)), n.append(len(own)), short.append(own.tobytes() if len(own) <= SHORT else None)
                 fp[i] = fingerprint(own)
             node = pa.array(np.array(node, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(n, pa.int64()), *(pa.array(fp[:, k].copy().view(np.int64)) for k in range(WORDS))], names=["doc_id", "place", "node", "n", *words])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(n, pa.int64()), pa.array(short, pa.binary()), *(pa.array(fp[:, k].copy().view(np.int64)) for k in range(WORDS))], names=["doc_id", "place", "node", "n", "own", *words])
 
     text = F.col("text").cast("string").cast("binary")
-    schema = "doc_id long, place long, node long, n long, " + ", ".join(f"{w} long" for w in words)
+    schema = "doc_id long, place long, node long, n long, own binary, " + ", ".join(f"{w} long" for w in words)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).mapInArrow(trimmed(run), schema)
 
 
+def prefix_links(nodes: DataFrame, similar: float) -> DataFrame:
+    """Links u, v that join all sets of ``nodes`` (node, n, own) which share one of their rarest shingles.
+
+    A set's prefix has n - similar * n + 1 shingles, rarest first (ties by hash). Shingles of one set alone come
+    before all others and join nothing, so only the rest of the prefix is looked at. The sets that share a shingle
+    are joined to the smallest of their part, and the parts' smallest to the smallest of all: no
+    shingle, however common, brings over 1 / SALTS of its sets into one task.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            hashes = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in batch.column(2))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(hashes)], names=["node", "n", "h"])
+
+    rows = nodes.select("node", "n", "own").mapInArrow(trimmed(spread), "node long, n long, h long")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    own = W.partitionBy("node")
+    prefix = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
+    ranked = rows.join(shared, "h").withColumns({"shares": F.count(F.lit(1)).over(own), "nth": F.row_number().over(own.orderBy("often", "h"))})
+    part = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("part")
+    keys = cut(ranked.filter(F.col("nth") <= prefix - (F.col("n") - F.col("shares"))).select("h", part, "node"))
+    heads = keys.groupBy("h", "part").agg(F.min("node").alias("head"))
+    firsts = heads.groupBy("h").agg(F.min("head").alias("v"))
+    stars = keys.join(heads, ["h", "part"]).select(F.col("node").alias("u"), F.col("head").alias("v"))
+    return stars.unionByName(heads.join(firsts, "h").select(F.col("head").alias("u"), "v")).filter("u <> v").distinct()
+
+
 def _marks(wanted: DataFrame) -> np.ndarray:
     """Which places mod ``MARKS`` are wanted, as bits: 2 MB whatever the number of documents."""
     x = F.pmod("place", F.lit(MARKS)) + 1  # both functions count from 1
@@ -193,17 +228,19 @@ def exact_links(groups: DataFrame, sets: DataFrame, similar: float, most: int, m
 def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: int = 8_000, most_shingles: int = 500_000, task_shingles: int = 1_500_000) -> DataFrame:
     """doc_id and component_id of every document.
 
-    Two texts are linked if the Jaccard similarity of their distinct shingles is ``similar`` or more. A
-    null text counts as empty, and empty texts belong together. component_id is the smallest doc_id of
+    Two texts are linked if the Jaccard similarity of their distinct shingles is ``similar`` or more: all of
+    them where the smaller set has at most 100 shingles; of larger ones, a pair at exactly 0.8 is no
+    candidate with a probability of about 1 in 3,000, and rarer above. A null text counts as empty, and empty texts belong together. component_id is the smallest doc_id of
     the component (null only where all its ids are null). Whole texts are read, whatever their length.
     Repeated rows are repeated; an empty table gives an empty result; other columns are ignored.
     """
     words = [f"w{k}" for k in range(WORDS)]
     small_batches(docs.sparkSession)
     marked = cut(_marked(docs, shingle))
-    first = F.min(F.struct("place", "n", *words)).alias("first")
+    first = F.min(F.struct("place", "n", "own", *words)).alias("first")
     nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), first).select("node", "least", "first.*"))
     candidates = near_links(nodes.filter("n > 0").select(*words, "node"), bit_groups(GROUPS, WORDS), REACH, LIMIT, CHECK, per_shard=131_072)
+    candidates = candidates.unionByName(prefix_links(nodes.filter("n > 0 AND own IS NOT NULL"), similar))
     groups = cut(connected_components(candidates).join(nodes.select("node", "n"), "node").select(F.col("root").alias("grp"), "node", "n"))
     wanted = nodes.join(groups.select("node"), "node", "left_semi").select("place", "node")
     links = exact_links(groups, cut(_sets(docs, wanted, shingle)), similar, most, most_shingles, task_shingles)
