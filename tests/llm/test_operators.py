@@ -159,7 +159,10 @@ def test_texts_of_one_digest_are_told_apart_over_batches(spark, tmp_path, ids):
         assert len(out) == len(rows)
 
 
-def test_a_hot_digest_is_salted(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_a_hot_digest_is_salted(spark, monkeypatch, most):
+    """Digests met again are broadcast up to a number, and shuffled with salts beyond it."""
+    monkeypatch.setattr(exactdedup, "MOST_BROADCAST", most)
     rows = [(i, "copy" if i % 3 else f"own {i}") for i in range(1500)]
     rows += [(None, "copy"), (None, "alone"), (5000, "x" * 2_000_000), (5001, "X" * 2_000_000)]
     got = exactdedup.dedup_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()

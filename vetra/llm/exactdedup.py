@@ -10,9 +10,10 @@ A hit, a digest met more than once, is checked on full bytes: the texts of its r
 text of an earlier batch that its locator names, are grouped by the whole text. Should two texts share a
 digest, it is noted as parted, and each of its texts, of all batches, gets its own group.
 
+Digests met more than once are broadcast behind a check of their number, so texts met once are not shuffled.
 Only DataFrame operations run. Copies collapse in map-side partial aggregates before any shuffle. Rows
 of hot digests (over 1 / ``HOT`` of all rows each, so at most ``HOT`` of them) are dealt by a salt too,
-in the check and in the last join, so no task gets all copies of a text.
+in the check and in the last join where those are shuffles, so no task gets all copies of a text.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ STATE_STORE = {
 #: A digest is hot from this part of all rows.
 HOT = 500
 SALTS = 64
+#: Digests met more than once (about 100 bytes each) that are broadcast at most; beyond, both sides are shuffled.
+MOST_BROADCAST = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -105,14 +108,26 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, st
     state.write.parquet(settled)  # read several times below
     state = spark.read.parquet(settled)
 
+    hit = state.filter("group_size > 1")
+    few = hit.count() <= MOST_BROADCAST
     total = state.agg(F.sum("group_size")).first()[0] or 0
     hot = F.broadcast(state.filter(F.col("group_size") * HOT > total).select("digest", F.lit(True).alias("__dedup_hot")))  # at most HOT rows
     salted = lambda df: df.join(hot, "digest", "left").withColumn("__dedup_salt", F.when(F.col("__dedup_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("__dedup_hot")
-    every = F.explode(F.when(F.col("group_size") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    every = F.explode(F.when(F.col("group_size") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("__dedup_salt")
     whole = normalised(F.col("text")).alias("__dedup_whole")
 
-    hit = state.filter(F.col("group_size") > 1)
-    texts = salted(base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), whole)).join(hit.select("digest", every.alias("__dedup_salt")), ["digest", "__dedup_salt"], "left_semi")
+    def marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """``rows`` with keep_id and group_size of their group in ``groups``; rows without one are alone."""
+        groups = groups.select("digest", "keep_id", "group_size", F.lit(True).alias("__dedup_met"), *([] if few else [every]))
+        met = rows.join(F.broadcast(groups), "digest", "left") if few else salted(rows).join(groups, ["digest", "__dedup_salt"], "left").drop("__dedup_salt")
+        own = {"keep_id": F.col("doc_id").cast("long"), "group_size": F.lit(1).cast("long")}
+        return met.withColumns({k: F.when(F.col("__dedup_met"), F.col(k)).otherwise(v) for k, v in own.items()}).drop("__dedup_met")
+
+    texts = base.select("digest", F.col("doc_id").cast("long").alias("doc_id"), whole)
+    if few:  # only texts that are met again are shuffled
+        texts = texts.join(F.broadcast(hit.select("digest")), "digest", "left_semi")
+    else:
+        texts = salted(texts).join(hit.select("digest", every), ["digest", "__dedup_salt"], "left_semi")
     texts = texts.select("digest", "doc_id", "__dedup_whole")
     seen, own = texts, hit.select("digest").join(base.select("digest"), "digest", "left_semi")
     if earlier is not None:  # one earlier text of each digest: were there several, the digest is known to be parted
@@ -126,13 +141,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, st
     if not clashing.isEmpty() and earlier is not None:  # then all their texts count
         texts = texts.unionByName(_located(spark, earlier.join(clashing, "digest", "left_semi").select("digest", "locator").distinct(), digest))
     checked = texts.groupBy("digest", "__dedup_whole").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = state.select("digest", "keep_id", "group_size", every.alias("__dedup_salt"))
     if clashing.isEmpty():
-        out = salted(base).join(groups, ["digest", "__dedup_salt"]).drop("__dedup_salt")
+        out = marked(base, hit)
     else:  # different texts under one digest: those digests are resolved by the whole text
-        split = checked.join(clashing, "digest", "left_semi")
-        resolved = base.withColumn("__dedup_whole", whole).join(split, ["digest", "__dedup_whole"]).drop("__dedup_whole")
-        plain = salted(base).join(groups.join(clashing, "digest", "left_anti"), ["digest", "__dedup_salt"]).drop("__dedup_salt")
+        resolved = base.withColumn("__dedup_whole", whole).join(checked.join(clashing, "digest", "left_semi"), ["digest", "__dedup_whole"]).drop("__dedup_whole")
+        plain = marked(base.join(clashing, "digest", "left_anti"), hit.join(clashing, "digest", "left_anti"))
         out = plain.unionByName(resolved.select(plain.columns))
     out = out.select(*docs.columns, "digest", "keep_id", "group_size")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()))
