@@ -31,7 +31,7 @@ from vetra.llm.simhash import SEED, bit_groups, majority, near_links
 
 WORDS, GROUPS, REACH, CHECK, LIMIT = 7, 4, 1, 2, 36
 #: Sets up to this size meet by their rarest shingles too; parts of the sets that share one.
-SHORT, SALTS = 125, 64
+SHORT, SALTS = 40, 64
 #: Bits that mark wanted texts.
 MARKS = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -229,7 +229,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: i
     """doc_id and component_id of every document.
 
     Two texts are linked if the Jaccard similarity of their distinct shingles is ``similar`` or more: all of
-    them where the smaller set has at most 100 shingles; of larger ones, a pair at exactly 0.8 is no
+    them where the smaller set has at most 32 shingles; of larger ones, a pair at exactly 0.8 is no
     candidate with a probability of about 1 in 3,000, and rarer above. A null text counts as empty, and empty texts belong together. component_id is the smallest doc_id of
     the component (null only where all its ids are null). Whole texts are read, whatever their length.
     Repeated rows are repeated; an empty table gives an empty result; other columns are ignored.
@@ -239,7 +239,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: i
     marked = cut(_marked(docs, shingle))
     first = F.min(F.struct("place", "n", "own", *words)).alias("first")
     nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), first).select("node", "least", "first.*"))
-    candidates = near_links(nodes.filter("n > 0").select(*words, "node"), bit_groups(GROUPS, WORDS), REACH, LIMIT, CHECK, per_shard=131_072)
+    candidates = near_links(nodes.filter("n > 0").select(*words, "node"), bit_groups(GROUPS, WORDS), REACH, LIMIT, CHECK, per_shard=393_216)
     candidates = candidates.unionByName(prefix_links(nodes.filter("n > 0 AND own IS NOT NULL"), similar))
     groups = cut(connected_components(candidates).join(nodes.select("node", "n"), "node").select(F.col("root").alias("grp"), "node", "n"))
     wanted = nodes.join(groups.select("node"), "node", "left_semi").select("place", "node")
