@@ -225,7 +225,7 @@ def exact_links(groups: DataFrame, sets: DataFrame, similar: float, most: int, m
     return links.unionByName(_compared(dealt, sets, similar, task_shingles))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: int = 8_000, most_shingles: int = 500_000, task_shingles: int = 1_500_000) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: int = 20_000, most_shingles: int = 1_500_000, task_shingles: int = 1_500_000) -> DataFrame:
     """doc_id and component_id of every document.
 
     Two texts are linked if the Jaccard similarity of their distinct shingles is ``similar`` or more: all of
