@@ -27,7 +27,12 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, c: float, max_iter:
     """Weights (features + 1, classes), the intercept last, of least c * weighted log-loss + half the squared weights.
 
     Newton steps with halving; the intercepts carry no penalty. Classes without rows get no probability.
+    With more features than rows, the fit is in the coordinates of the rows' span, where the weights lie.
     """
+    if x.shape[1] > len(x):
+        q, r = np.linalg.qr(x.T)
+        inner = fit_softmax(r.T, y, classes, c, max_iter, tol)
+        return np.vstack([q @ inner[:-1], inner[-1:]])
     n, w = len(x), balanced(y, classes)
     x1 = np.column_stack([x, np.ones(n)])
     width = x1.shape[1]
@@ -75,13 +80,15 @@ def probabilities(beta: np.ndarray, x: np.ndarray, present: np.ndarray) -> np.nd
     return p / p.sum(axis=1, keepdims=True)
 
 
-def out_of_fold(rows: DataFrame, folds: int, grid: tuple[float, ...], classes: int, max_iter: int = 5_000) -> DataFrame:
+def out_of_fold(rows: DataFrame, folds: int, grid: tuple[float, ...], classes: int, max_iter: int = 5_000, on_views: bool = False) -> DataFrame:
     """c, fold, id, label, said, p (of the true class) for every row and strength, each from a fit without its fold.
 
-    ``rows``: id, label (0 to classes - 1), fold, v.
+    ``rows``: id, label (0 to classes - 1), fold, v and, where it learns ``on_views``, views: equally many vectors a row, each
+    of them a row of the fit. What is predicted is always v.
     """
-    rows = cut(rows.select("id", "label", "fold", "v"))
-    if rows.count() > MOST_ROWS:
+    rows = cut(rows.select("id", "label", "fold", "v", *(["views"] if on_views else [])))
+    many = rows.agg(F.sum(F.size("views") if on_views else F.lit(1)).alias("n")).first()["n"] or 0
+    if many > MOST_ROWS:
         raise ValueError("the development set is too large for one task; train with fit_logistic")
     tasks = rows.sparkSession.createDataFrame([(float(c), k, i) for i, (c, k) in enumerate((c, k) for c in grid for k in range(folds))], "c double, out int, task int")
 
@@ -93,7 +100,11 @@ def out_of_fold(rows: DataFrame, folds: int, grid: tuple[float, ...], classes: i
         train, test = fold != out, fold == out
         if not train.any() or not test.any():
             return tab.slice(0, 0).select(["c", "fold", "id", "label"]).append_column("said", pa.array([], pa.int64())).append_column("p", pa.array([], pa.float64()))
-        beta = fit_softmax(x[train], y[train], classes, c, max_iter)
+        own, of = x[train], y[train]
+        if on_views:
+            seen = np.array(tab.column("views").to_pylist())[train]
+            own, of = seen.reshape(-1, seen.shape[2]), np.repeat(of, seen.shape[1])
+        beta = fit_softmax(own, of, classes, c, max_iter)
         p = probabilities(beta, x[test], np.bincount(y[train], minlength=classes) > 0)
         kept = tab.filter(pa.array(test)).select(["c", "fold", "id", "label"])
         return kept.append_column("said", pa.array(p.argmax(axis=1))).append_column("p", pa.array(p[np.arange(len(p)), y[test]]))

@@ -11,6 +11,9 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vetra.operators.folds import ordered_fold
 
 
 def begin(rows: DataFrame) -> DataFrame:
@@ -179,20 +182,25 @@ SPLITS = (("train", 0.7), ("validation", 0.15), ("test", 0.15))
 def greedy_split(groups: DataFrame, seed: str = "s") -> DataFrame:
     """Per stratum, groups in the order of a seeded hash go to the split that lacks most; ties to the larger ratio, then the first.
 
-    ``groups``: group_id, class_name, fragment_type, size. A stratum is folded as one array; at scale
-    strata are made finer, as the fold is sequential within one.
+    ``groups``: group_id, class_name, fragment_type, size. The rule is sequential within a stratum: its groups are sorted
+    and pass through one task, which holds three sums; the stratum's total comes before them as a row of its own.
     """
-    item = F.struct(F.md5(F.concat(F.lit(seed), "group_id").cast("binary")).alias("order"), "group_id", F.col("size").cast("double").alias("size"))
-    packed = groups.groupBy("class_name", "fragment_type").agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("size").cast("double").alias("total"))
-    start = F.struct(*[F.lit(0.0).alias(n) for n, _ in SPLITS], F.array().cast("array<struct<group_id:string,split:string>>").alias("out"))
-
-    def step(acc: Column, g: Column) -> Column:
-        lack = {n: F.lit(r) * F.col("total") - acc[n] for n, r in SPLITS}
-        best = F.when((lack["train"] >= lack["validation"]) & (lack["train"] >= lack["test"]), "train").when(lack["validation"] >= lack["test"], "validation").otherwise("test")
-        return F.struct(*[(acc[n] + F.when(best == n, g["size"]).otherwise(0.0)).alias(n) for n, _ in SPLITS], F.array_append(acc["out"], F.struct(g["group_id"].alias("group_id"), best.alias("split"))).alias("out"))
-
-    folded = packed.select(F.aggregate("items", start, step)["out"].alias("out"))
-    return folded.select(F.explode("out").alias("o")).select("o.group_id", "o.split")
+    stratum = ["class_name", "fragment_type"]
+    size = F.col("size").cast("double").alias("size")
+    items = groups.select(*stratum, F.md5(F.concat(F.lit(seed), "group_id").cast("binary")).alias("order"), "group_id", size, F.lit(False).alias("total"))
+    totals = groups.groupBy(*stratum).agg(F.sum("size").cast("double").alias("size"))
+    totals = totals.select(*stratum, F.lit("").alias("order"), F.lit(None).cast(items.schema["group_id"].dataType).alias("group_id"), "size", F.lit(True).alias("total"))
+
+    def step(state: dict, row: dict) -> str | None:
+        if row["total"]:
+            state["total"] = row["size"]
+            return None
+        best = max(SPLITS, key=lambda s: s[1] * state["total"] - state[s[0]])[0]  # the first of the largest
+        state[best] += row["size"]
+        return best
+
+    folded = ordered_fold(totals.unionByName(items), stratum, [F.desc("total"), "order", "group_id"], lambda: dict.fromkeys([n for n, _ in SPLITS], 0.0), step, "split", T.StringType())
+    return folded.filter("NOT total").select("group_id", "split")
 
 
 def class_halves(classes: DataFrame, fraction: float, seed: str = "ood") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vetra.operators import evaluation as V
+from vetra.operators import folds as D
 from vetra.operators import release as L
 from vetra.queries.base import E_SQL, INV_SQL, embeddings, inventory_rows, query
 from vetra.queries.screening import S_SQL, references, screened
@@ -181,10 +182,56 @@ def group_kfold_balance(spark, sf_dir):
     return rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("group_id").alias("groups"))
 
 
+#: CTEs up to sg(group_id, fold): groups of equal class counts dealt evenly, the others placed one by one.
+_GREEDY = f"""WITH RECURSIVE {E_SQL}, dv AS (SELECT vec_id, label, 'g' || (vec_id // 3) AS group_id FROM e WHERE label < 6),
+    gc AS (SELECT group_id, [{", ".join(f"count(*) FILTER (label = {k})" for k in range(6))}] AS counts, count(*) AS size FROM dv GROUP BY group_id),
+    nb AS (SELECT *, row_number() OVER (PARTITION BY counts ORDER BY md5('cv' || group_id), group_id) - 1 AS nth, count(*) OVER (PARTITION BY counts) AS m FROM gc),
+    tt AS (SELECT [{", ".join(f"(SELECT 1.0::DOUBLE / nullif(count(*) * count(*), 0) FROM dv WHERE label = {k})" for k in range(6))}] AS w),
+    lf AS MATERIALIZED (SELECT group_id, counts, size, w, row_number() OVER (ORDER BY 6 * list_sum([x * x FOR x IN counts]) - list_sum(counts) ** 2 DESC, size DESC, md5('cv' || group_id), group_id) AS place
+        FROM nb, tt WHERE nth >= greatest(m // {FOLDS} - 8, 0) * {FOLDS}),
+    st(place, filled, sizes, group_id, fold) AS (SELECT 0::BIGINT, [[0::BIGINT FOR j IN range(6)] FOR k IN range({FOLDS})], [0::BIGINT FOR k IN range({FOLDS})], NULL::VARCHAR, NULL::INT
+        UNION ALL SELECT place, [[filled[k + 1][j + 1] + CASE WHEN k = best THEN counts[j + 1] ELSE 0 END FOR j IN range(6)] FOR k IN range({FOLDS})],
+            [sizes[k + 1] + CASE WHEN k = best THEN size ELSE 0 END FOR k IN range({FOLDS})], group_id, best::INT
+        FROM (SELECT lf.place, lf.counts, lf.size, lf.group_id, filled, sizes,
+            list_min([{{'cost': round({" + ".join(f"coalesce(filled[k + 1][{j}] * counts[{j}] * w[{j}], 0)" for j in range(1, 7))}, 12), 'size': sizes[k + 1], 'fold': k}} FOR k IN range({FOLDS})]).fold AS best
+            FROM st JOIN lf ON lf.place = st.place + 1)),
+    sg AS (SELECT group_id, (nth % {FOLDS})::INT AS fold FROM nb WHERE nth < greatest(m // {FOLDS} - 8, 0) * {FOLDS} UNION ALL SELECT group_id, fold FROM st WHERE place > 0) """
+
+
+def _stratified(spark, sf_dir):
+    return D.stratified_group_folds(_development(spark, sf_dir), 6, FOLDS)
+
+
+@query(_GREEDY + "SELECT group_id, fold FROM sg")
+def stratified_group_kfold(spark, sf_dir):
+    """Folds of whole groups by their class counts."""
+    return _stratified(spark, sf_dir)
+
+
+@query(_GREEDY + """, n AS (SELECT fold, label::BIGINT AS label, count(*) AS n FROM dv JOIN sg USING (group_id) GROUP BY ALL)
+    SELECT label, sum(n)::BIGINT AS images, CASE WHEN count(*) < """ + str(FOLDS) + """ THEN 0 ELSE min(n) END AS least, max(n) AS most FROM n GROUP BY label""")
+def stratified_spread(spark, sf_dir):
+    """Fewest and most images of each class in a fold."""
+    return D.class_spread(_development(spark, sf_dir), _stratified(spark, sf_dir), 6, FOLDS)
+
+
 def _predictions(spark, sf_dir, grid=GRID):
     from vetra.operators import crossvalidation as X
 
-    return X.out_of_fold(_development(spark, sf_dir).join(_folds(spark, sf_dir), "group_id"), FOLDS, grid, 6)
+    return X.out_of_fold(_development(spark, sf_dir).join(_stratified(spark, sf_dir), "group_id"), FOLDS, grid, 6)
+
+
+@query()
+def cross_validate_views(spark, sf_dir):
+    """The same, learned on the four quarter turns of each vector as an 8 x 8 square, predicted on their mean."""
+    from vetra.functions import canvas as C
+    from vetra.operators import crossvalidation as X
+
+    turns = F.array(*[C.take(F.col("v"), places) for places in C.dihedral_places(8)[:4]])
+    rows = _development(spark, sf_dir).withColumn("views", turns)
+    middle = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate("views", F.lit(0.0), lambda a, w: a + F.get(w, i)) / 4)
+    rows = rows.withColumn("v", middle).join(_stratified(spark, sf_dir), "group_id")
+    return X.best(X.by_strength(X.out_of_fold(rows, FOLDS, (0.1, 10.0, 1000.0), 6, on_views=True)))
 
 
 @query()
