@@ -48,21 +48,27 @@ def conflict_hashes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sha256").agg(classes.alias("classes")).filter(F.size("classes") > 1).select("sha256", F.array_join("classes", "|").alias("conflicting_classes"))
 
 
+def _first_paths(rows: DataFrame) -> DataFrame:
+    """``rows`` with first_path: the first path of the pending rows of the same hash, where there are several.
+
+    Firsts are aggregated before the shuffle and joined back, which splits a hash that very many rows have.
+    """
+    pending = rows.filter("role IS NULL AND sha256 IS NOT NULL").groupBy("sha256")
+    several = pending.agg(F.min("path").alias("first_path"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    return rows.join(several, "sha256", "left")
+
+
 def resolve_conflicts(rows: DataFrame) -> DataFrame:
-    """The first path of a conflicting hash becomes a probe, the others go."""
-    marked = rows.join(conflict_hashes(rows.filter("role IS NULL")), "sha256", "left")
-    first = F.min(F.when(F.col("role").isNull(), F.col("path"))).over(W.partitionBy("sha256"))
-    marked = marked.withColumn("first_path", first)
+    """The first path of a conflicting hash becomes a probe, the others go. Rows without a hash conflict with none."""
+    marked = _first_paths(rows).join(conflict_hashes(rows.filter("role IS NULL")), "sha256", "left")
     marked = assign(marked, F.col("conflicting_classes").isNotNull() & (F.col("path") == F.col("first_path")), "ambiguity_probe")
     marked = assign(marked, F.col("conflicting_classes").isNotNull(), "excluded", "label-conflict duplicate copy")
     return marked.drop("first_path")
 
 
 def exact_duplicates(rows: DataFrame) -> DataFrame:
-    """Within a hash, pending rows after the first by path go."""
-    first = F.min(F.when(F.col("role").isNull(), F.col("path"))).over(W.partitionBy("sha256"))
-    marked = rows.withColumn("first_path", first)
-    return assign(marked, F.col("path") > F.col("first_path"), "excluded", "exact duplicate").drop("first_path")
+    """Within a hash, pending rows after the first by path go. Rows without a hash are copies of none."""
+    return assign(_first_paths(rows), F.col("path") > F.col("first_path"), "excluded", "exact duplicate").drop("first_path")
 
 
 def simhash60(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,6 +113,7 @@ def near_links(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) ->
 
 def group_links(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) -> DataFrame:
     """Links a, b (image_id) that span the groups of ``near_links``: equal hashes are one node, so copies make no pairs."""
+    rows = rows.filter(F.lit(below > 0))
     firsts = rows.groupBy("hash").agg(F.min("image_id").alias("first"))
     apart = near_links(firsts.select(F.col("first").alias("image_id"), "hash"), below, bands, bits).select("a", "b")
     return apart.unionByName(rows.join(firsts, "hash").filter("image_id <> first").select(F.col("first").alias("a"), F.col("image_id").alias("b")))
@@ -136,9 +143,33 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def group_ids(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with root (its own id where unlinked) and group_id."""
+    """``rows`` with root (its own id where unlinked) and group_id: g and the root, numbers with at least four digits."""
     out = rows.join(roots.withColumnRenamed("node", "image_id"), "image_id", "left").withColumn("root", F.coalesce("root", "image_id"))
-    return out.withColumn("group_id", F.format_string("g%04d", F.col("root")))
+    named = isinstance(rows.schema["image_id"].dataType, T.StringType)
+    return out.withColumn("group_id", F.concat(F.lit("g-"), "root") if named else F.format_string("g%04d", F.col("root")))
+
+
+def hash_groups(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) -> DataFrame:
+    """``rows`` with root and group_id, as ``group_ids`` over ``near_links`` gives them.
+
+    Components are of distinct hashes, so a crowd of equal ones is one node; its rows come back by a join on the hash.
+    Rows without a hash stand alone, and where ``below`` isn't positive, all do.
+    """
+    firsts = _cut(rows.filter(F.col("hash").isNotNull() & F.lit(below > 0)).groupBy("hash").agg(F.min("image_id").alias("image_id")))
+    roots = group_roots(near_links(firsts, below, bands, bits).select("a", "b")).withColumnRenamed("node", "image_id")
+    by_hash = firsts.join(roots, "image_id", "left").select("hash", F.coalesce("root", "image_id").alias("root"))
+    found = rows.join(by_hash, "hash", "left").withColumn("root", F.coalesce("root", "image_id"))
+    named = isinstance(rows.schema["image_id"].dataType, T.StringType)
+    return found.withColumn("group_id", F.concat(F.lit("g-"), "root") if named else F.format_string("g%04d", F.col("root")))
+
+
+def count_links(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) -> int:
+    """How many pairs of rows ``near_links`` gives, from distinct hashes and how often each occurs."""
+    counted = _cut(rows.filter(F.col("hash").isNotNull() & F.lit(below > 0)).groupBy("hash").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("n")))
+    n = counted.select("image_id", "n")
+    apart = near_links(counted, below, bands, bits).join(n.withColumnsRenamed({"image_id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"image_id": "b", "n": "nb"}), "b")
+    between = apart.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0))).first()[0]
+    return between + counted.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0))).first()[0]
 
 
 def mixed_groups(rows: DataFrame) -> DataFrame:

@@ -12,12 +12,12 @@ class ArtifactMismatch(ValueError):
     """A stored artifact is not what its document or its reader says."""
 
 
-def save_artifact(rows: DataFrame, path: str, version: str, fingerprint: str, **provenance) -> None:
+def save_artifact(rows: DataFrame, path: str, version: str, fingerprint: str, mode: str = "errorifexists", **provenance) -> None:
     """Write ``rows`` and their document {version, fingerprint, rows, ...} under ``path``."""
-    rows.write.parquet(f"{path}/rows")
+    rows.write.mode(mode).parquet(f"{path}/rows")
     spark = rows.sparkSession
     document = {"version": version, "fingerprint": fingerprint, "rows": spark.read.parquet(f"{path}/rows").count(), **provenance}
-    spark.createDataFrame([(json.dumps(document, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/document")
+    spark.createDataFrame([(json.dumps(document, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/document")
 
 
 def load_document(spark: SparkSession, path: str) -> dict:
