@@ -82,26 +82,6 @@ def medoids(rows: DataFrame) -> DataFrame:
     return scored.groupBy("cluster").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("m")).select("cluster", "m.id", "m.score")
 
 
-def kmeans_references(rows: DataFrame, per_class: int, runs: int = 3, seed: int = 7) -> DataFrame:
-    """Per class, up to ``per_class`` medoids of the best of several k-means runs. ``rows``: image_id, class_name, v."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    out = None
-    for (name,) in rows.select("class_name").distinct().orderBy("class_name").collect():  # the classes
-        own = rows.filter(F.col("class_name") == name).withColumn("features", array_to_vector("v"))
-        k = min(per_class, own.count())
-        if k < 2:
-            picked = own.orderBy("image_id").limit(k).select("class_name", F.col("image_id"))
-        else:
-            models = [KMeans(k=k, seed=seed + s, maxIter=20).fit(own) for s in range(runs)]
-            best = min(models, key=lambda m: m.summary.trainingCost)
-            members = best.transform(own).select(F.col("prediction").alias("cluster"), F.col("image_id").alias("id"), "v")
-            picked = medoids(members).select(F.lit(name).alias("class_name"), F.col("id").alias("image_id"))
-        out = picked if out is None else out.unionByName(picked)
-    return out
-
-
 def leaks(references: DataFrame, others: DataFrame) -> DataFrame:
     """Non-training rows whose id is a reference's, or else whose hash is. Both have image_id, sha256."""
     by_id = others.join(references.select("image_id"), "image_id", "left_semi").select("image_id", F.lit("id").alias("by"))

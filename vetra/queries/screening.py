@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vetra.functions import canvas as C
 from vetra.operators import retrieval as R
 from vetra.operators import screening as S
+from vetra.operators.clustering import kmeans_references as kmeans_references_of
 from vetra.queries.base import E_SQL, embeddings, query
 
 CAL, POL = S.Calibration(k=3, threshold=0.84, boundary=0.78, risk_intercept=-19.5), S.Policy(0.3, 0.22, 0.8)
@@ -30,18 +31,25 @@ def weights(spark, sf_dir):
     return rows.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("class_name"), F.col("v").alias("w"))
 
 
+def pixels():
+    return F.transform("v", lambda x: F.least(F.greatest(F.round(x * 512 + 128), F.lit(0.0)), F.lit(255.0)))
+
+
+def quality_passed(c):
+    return [C.brightness(c) >= MIN_BRIGHTNESS, C.clipped_fraction(c) <= MAX_CLIPPED]
+
+
 def samples(spark, sf_dir):
     """Vectors that are no references, with split, true class, fragment and quality."""
     refs = references(spark, sf_dir).select(F.col("reference_id").alias("vec_id"))
     rows = embeddings(spark, sf_dir).join(F.broadcast(refs), "vec_id", "left_anti")  # five a class
     split = F.when(F.col("label") >= 8, "ood_evaluation").when(F.col("label") >= 6, "ood_calibration")
     split = split.when(F.col("vec_id") % 3 == 0, "validation").when(F.col("vec_id") % 3 == 1, "test").otherwise("heldout_known")
-    pixels = F.transform("v", lambda x: F.least(F.greatest(F.round(x * 512 + 128), F.lit(0.0)), F.lit(255.0)))
     rows = rows.withColumns({
         "split": split, "true_class": F.concat(F.lit("c"), F.col("label").cast("string")),
-        "fragment_type": F.concat(F.lit("f"), (F.col("vec_id") % 4).cast("string")), "c": pixels,
+        "fragment_type": F.concat(F.lit("f"), (F.col("vec_id") % 4).cast("string")), "c": pixels(),
     })
-    passed = [C.brightness(F.col("c")) >= MIN_BRIGHTNESS, C.clipped_fraction(F.col("c")) <= MAX_CLIPPED]
+    passed = quality_passed(F.col("c"))
     fraction = reduce(lambda a, b: a + b, [F.when(p, 0.5).otherwise(0.0) for p in passed])
     failed = F.concat_ws(", ", *[F.when(~p, n) for p, n in zip(passed, ("brightness", "clipping"))])
     rows = rows.withColumns({"quality_fraction": fraction, "quality_failed": failed})
@@ -206,8 +214,10 @@ def medoid_per_cluster(spark, sf_dir):
 
 @query()
 def kmeans_references(spark, sf_dir):
-    rows = embeddings(spark, sf_dir).filter("label < 6").select(F.col("vec_id").alias("image_id"), F.col("label").cast("string").alias("class_name"), "v")
-    return R.kmeans_references(rows, 4)
+    """Medoids of every class, of acceptable quality."""
+    rows = embeddings(spark, sf_dir).filter("label < 6").withColumn("c", pixels())
+    rows = rows.select(F.col("vec_id").alias("image_id"), F.col("label").cast("string").alias("class_name"), "v", reduce(lambda a, b: a & b, quality_passed(F.col("c"))).alias("acceptable"))
+    return kmeans_references_of(rows, 4, acceptable=F.col("acceptable"))
 
 
 @query(S_SQL + "SELECT cls AS class_name, frag AS fragment_type, count(*) AS n FROM refs GROUP BY ALL")
