@@ -73,11 +73,18 @@ def _block_pair(key, tab):
     i, j = key[0].as_py(), key[1].as_py()
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     total = np.zeros(65, np.int64)
+    single, exact = n.max() == 1, int(n.max()) ** 2 * 512 * max(len(right), 1) < 1 << 53
     for at in range(0, len(left), 512):
         a = left[at : at + 512]
         apart = np.bitwise_count((hashes[a][:, None] ^ hashes[right][None, :]).view(np.uint64))
         other = cls[a][:, None] < cls[right][None, :] if i == j else cls[a][:, None] != cls[right][None, :]
+        if single:
+            total += np.bincount(np.where(other, apart, 65).ravel(), minlength=66)[:65]
+            continue
         weight = n[a][:, None] * n[right][None, :]
+        if exact:  # sums of doubles without rounding
+            total += np.bincount(apart.ravel(), np.where(other, weight, 0).ravel(), 65).astype(np.int64)
+            continue
         for d in np.unique(apart).tolist():
             total[d] += weight[other & (apart == d)].sum()
     at = np.flatnonzero(total)
