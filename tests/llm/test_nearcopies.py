@@ -118,3 +118,25 @@ def test_no_short_pair_is_missed(spark):
     got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows + crowd, "doc_id long, text string").repartition(4)).collect()}
     assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
     assert all(got[i] == i for i, _ in crowd)
+
+
+def test_chained_group_is_cut_before_sets_are_compared(spark, monkeypatch):
+    """60 sets with half of their shingles in common make one group; two of them are near copies, and only these are compared."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    common = rng.integers(1, 1 << 62, 50)
+    own = [np.unique(np.concatenate([common, rng.integers(1, 1 << 62, 50)])) for _ in range(60)]
+    own[7] = np.unique(np.append(own[41][:-3], rng.integers(1, 1 << 62, 3)))
+    sets = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(own)], "node long, own binary").cache()
+    groups = spark.createDataFrame([(0, i, len(s)) for i, s in enumerate(own)], "grp long, node long, n long")
+    dealt, compared = [], nearcopies._compared
+
+    def seen(placed, *rest):
+        dealt.append(placed.count())
+        return compared(placed, *rest)
+
+    monkeypatch.setattr(nearcopies, "_compared", seen)
+    links = nearcopies.exact_links(groups, sets, 0.8, 5, 10_000, 10_000).collect()
+    assert {frozenset(r) for r in links} == {frozenset((7, 41))}
+    assert sum(dealt) <= 4

@@ -12,7 +12,8 @@ each has one of its n - 0.8 n + 1 rarest shingles in common with the other, so s
 candidates. For pairs whose smaller set has up to 0.8 * ``SHORT`` shingles, nothing is left to chance.
 
 Candidates form groups. Within a group sets are compared exactly, breadth-first: a set that is reached is
-not held against its own component again. A group too large for one task is cut into blocks: sets are
+not held against its own component again. Large groups are chains of texts that merely have parts in common, and grow faster than
+the table; they are first cut by prefix, as above. A group too large for one task even so is cut into blocks: sets are
 compared within their block, then representatives of the components with each other, and only if that
 leaves a group in several parts, block by block. Equal sets are one node, so copies cost nothing.
 """
@@ -34,6 +35,8 @@ WORDS, GROUPS, REACH, CHECK, LIMIT = 7, 4, 1, 2, 36
 SHORT, SALTS = 40, 64
 #: Bits that mark wanted texts.
 MARKS = 1 << 24
+#: Groups of more sets than this are cut by their rarest shingles before sets are compared.
+LARGE = 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,7 +88,7 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def prefix_links(nodes: DataFrame, similar: float) -> DataFrame:
-    """Links u, v that join all sets of ``nodes`` (node, n, own) which share one of their rarest shingles.
+    """Links u, v that join all sets of ``nodes`` (node, n, own) which share one of their rarest shingles; with a column grp, those of one grp.
 
     A set's prefix has n - similar * n + 1 shingles, rarest first (ties by hash). Shingles of one set alone come
     before all others and join nothing, so only the rest of the prefix is looked at. The sets that share a shingle
@@ -97,9 +100,11 @@ def prefix_links(nodes: DataFrame, similar: float) -> DataFrame:
         for batch in batches:
             sizes = batch.column(1).to_numpy()
             hashes = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in batch.column(2))])
+            if batch.num_columns > 3:  # a shingle of another group is another shingle
+                hashes = hashes ^ np.repeat(_scramble(batch.column(3).to_numpy().view(np.uint64) * _MIX).view(np.int64), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(hashes)], names=["node", "n", "h"])
 
-    rows = nodes.select("node", "n", "own").mapInArrow(trimmed(spread), "node long, n long, h long")
+    rows = nodes.select("node", "n", "own", *(["grp"] if "grp" in nodes.columns else [])).mapInArrow(trimmed(spread), "node long, n long, h long")
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     own = W.partitionBy("node")
     prefix = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
@@ -199,8 +204,23 @@ def _blocks(rows: DataFrame, most: int, most_shingles: int) -> DataFrame:
     return rows.join(sized, "grp").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
 
 
+def cut_groups(groups: DataFrame, sets: DataFrame, similar: float, most: int, most_shingles: int) -> DataFrame:
+    """``groups`` (grp, node, n), those of over ``most`` sets or ``most_shingles`` cut where no set shares one of its rarest shingles with another.
+
+    That parts no pair with a similarity of ``similar`` or more. Sets that are left alone go.
+    """
+    sized = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"))
+    large = cut(groups.join(sized.filter((F.col("many") > most) | (F.col("weight") > most_shingles)), "grp", "left_semi"))
+    if large.isEmpty():
+        return groups
+    links = prefix_links(large.join(sets, "node").select("node", "n", "own", "grp"), similar)
+    parts = connected_components(links).join(large.select("node", "n"), "node").select(F.col("root").alias("grp"), "node", "n")
+    return cut(groups.join(large.select("grp").distinct(), "grp", "left_anti").unionByName(parts))
+
+
 def exact_links(groups: DataFrame, sets: DataFrame, similar: float, most: int, most_shingles: int, task_shingles: int) -> DataFrame:
     """Links u, v that span all pairs of one group of ``groups`` (grp, node, n) with a similarity of ``similar`` or more."""
+    groups = cut_groups(groups, sets, similar, min(most, LARGE), most_shingles)
     blocks = cut(_blocks(groups, most, most_shingles))
     links = cut(_compared(blocks.withColumn("j", F.col("i")), sets, similar, task_shingles))
     split = blocks.filter("k > 1")
