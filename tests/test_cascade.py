@@ -179,3 +179,30 @@ def test_counts_of_all_facets_come_from_one_scan(spark, tmp_path):
     assert json.loads(spark.read.text(f"{tmp_path}/json/facts").first().value) == {"title": "Inventory", "bound": 3.0, "types": {"a": "x"}}
     text = spark.read.text(f"{tmp_path}/markdown", wholetext=True).first().value
     assert text.startswith("# Inventory\n") and '| types | {"a": "x"} |' in text and "| a | 2 | 2 | 2 |" in text and "2 more in the table of counts." in text
+
+
+def test_close_pairs_against_all_pairs(spark):
+    """Bound, number of closer pairs and components of wide hashes by one look at each pair of blocks; before, links met by runs of bits, of which the topmost four never differ."""
+    import numpy as np
+
+    from vetra.operators import distances as D
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, 60)
+    flip = lambda h, k: int(h) ^ sum(1 << int(b) for b in rng.choice(60, k, replace=False))
+    data = [(i, f"c{rng.integers(3)}", flip(base[rng.integers(60)], int(rng.integers(0, 6)))) for i in range(300)] + [(300, "c0", None), (301, "c1", int(base[0])), (302, "c2", int(base[0]))]
+    rows = spark.createDataFrame(data, "image_id long, class_name string, hash long")
+    real = [r for r in data if r[2] is not None]
+    pairs = [(a, b, (a[2] ^ b[2]).bit_count()) for i, a in enumerate(real) for b in real[i + 1 :]]
+    for p, guess in ((0.01, None), (0.01, 0), (0.3, None), (0.0, None)):
+        bound = float(np.percentile([d for a, b, d in pairs if a[1] != b[1]], 100 * p))
+        got, links, close = D.close_pairs(rows, p, per_block=70, guess=guess)
+        assert got == pytest.approx(bound) and links == sum(d < bound for _, _, d in pairs)
+        root = {r[0]: r[0] for r in data}
+        for _ in range(300):
+            for a, b, d in pairs:
+                if d < bound:
+                    root[a[0]] = root[b[0]] = min(root[a[0]], root[b[0]])
+            if all(root[a[0]] == root[b[0]] for a, b, d in pairs if d < bound):
+                break
+        assert {r["image_id"]: r["root"] for r in C.K.linked_groups(rows, close, got > 0).collect()} == root

@@ -6,8 +6,12 @@ Frames have image_id, path, class_name, fragment_type, sha256, and carry role an
 
 from __future__ import annotations
 
+import hashlib
+import re
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +20,10 @@ from pyspark.sql import types as T
 from vetra.operators.folds import ordered_fold
 
 
+#: What stands between words.
+_APART = re.compile(rb"[^a-z0-9]+")
+
+
 def begin(rows: DataFrame) -> DataFrame:
     """No row has a role yet."""
     return rows.withColumns({k: F.lit(None).cast("string") for k in ("role", "exclusion_reason")})
@@ -71,21 +79,37 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
     return assign(_first_paths(rows), F.col("path") > F.col("first_path"), "excluded", "exact duplicate").drop("first_path")
 
 
+#: Words whose hashes a task remembers.
+MEMO = 500_000
+
+
 def simhash60(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, hash: the 60-bit SimHash of distinct words, hashed by the head of their MD5.
 
-    Bits are counted by one hash aggregation with map-side partials; no word leaves its map task. ``key`` names a row.
+    Each text is counted where it is read, so neither words nor texts are shuffled. ``key`` names a row.
     """
-    words = F.array_distinct(F.split(F.lower(text), r"[^a-z0-9]+"))
-    spread = rows.select(key, F.explode(words).alias("w")).filter("w <> ''")
-    hashed = spread.select(key, F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 15), 16, 10).cast("long").alias("h"))
-    bit = lambda i: F.call_function("shiftright", F.col("h"), F.lit(i)).bitwiseAND(F.lit(1).cast("long"))
-    counted = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(60)])
-    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(60)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
-    return rows.select(key).join(counted.select(key, total.alias("hash")), key, "left").select(key, F.coalesce("hash", F.lit(0).cast("long")).alias("hash"))
+
+    def run(batches):
+        memo: dict[bytes, int] = {}
+        for batch in batches:
+            found = np.zeros(batch.num_rows, np.int64)
+            for i, x in enumerate(batch.column(1)):
+                words = set(_APART.split(x.as_py() or b"")) - {b""}
+                if len(memo) > MEMO:
+                    memo.clear()
+                hashes = np.empty(len(words), np.uint64)
+                for k, w in enumerate(words):
+                    if (h := memo.get(w)) is None:
+                        h = memo[w] = int(hashlib.md5(w).hexdigest()[:15], 16)
+                    hashes[k] = h
+                ones = np.zeros(64, np.int64)
+                for at in range(0, len(hashes), 65_536):
+                    ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                found[i] = np.packbits(ones * 2 > len(words), bitorder="little").view(np.int64)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=[key, "hash"])
+
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("hash", T.LongType())])
+    return rows.select(key, F.lower(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def percentile_of_histogram(histogram: DataFrame, p: float) -> DataFrame:
@@ -163,6 +187,16 @@ def hash_groups(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) -
     return found.withColumn("group_id", F.concat(F.lit("g-"), "root") if named else F.format_string("g%04d", F.col("root")))
 
 
+def linked_groups(rows: DataFrame, links: DataFrame, alike: bool = True) -> DataFrame:
+    """``rows`` with root and group_id as ``hash_groups`` gives them, from links a, b between hashes; equal hashes belong together if ``alike``."""
+    firsts = _cut(rows.filter(F.col("hash").isNotNull() & F.lit(alike)).groupBy("hash").agg(F.min("image_id").alias("first")))
+    heads = _cut(firsts.join(group_roots(links).withColumnsRenamed({"node": "hash", "root": "head"}), "hash", "left").select("hash", "first", F.coalesce("head", "hash").alias("head")))
+    roots = heads.join(heads.groupBy("head").agg(F.min("first").alias("root")), "head").select("hash", "root")
+    found = rows.join(roots, "hash", "left").withColumn("root", F.coalesce("root", "image_id"))
+    named = isinstance(rows.schema["image_id"].dataType, T.StringType)
+    return found.withColumn("group_id", F.concat(F.lit("g-"), "root") if named else F.format_string("g%04d", F.col("root")))
+
+
 def count_links(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) -> int:
     """How many pairs of rows ``near_links`` gives, from distinct hashes and how often each occurs."""
     counted = _cut(rows.filter(F.col("hash").isNotNull() & F.lit(below > 0)).groupBy("hash").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("n")))

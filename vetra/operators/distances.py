@@ -7,6 +7,9 @@ interest. One transform a class over 2**bits cells, whatever the number of rows;
 
 Wide hashes: distinct (class, hash) in blocks, each pair of blocks a task of matrix work that gives counts alone.
 That is quadratic in distinct hashes, so its cost is checked first.
+
+Where only close pairs matter (a small percentile, links under it), ``close_pairs`` counts them by distance and hands on forests
+of them, both in one look at each pair of blocks. It is quadratic too, but in a few instructions a pair and bounded memory.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,3 +122,122 @@ def distance_histogram(rows: DataFrame, bits: int = 64, per_block: int = 8_192,
     counted = valid.groupBy("class_name", low.alias("hash")).agg(F.count(F.lit(1)).alias("n"))
     numbers = _by_transform(counted, bits) if bits <= NARROW else _by_blocks(counted, per_block, most_pairs)
     return rows.sparkSession.createDataFrame([(d, n) for d, n in enumerate(numbers) if n], "distance int, n long")
+
+
+#: Hashes of a block of ``close_pairs`` at most; close pairs that a task holds before it reduces them to a forest.
+BLOCK, HELD = 65_536, 4_000_000
+#: Rows from which the distance is guessed up to which pairs are kept.
+GUESS_ROWS = 2_000
+
+
+def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links among rows 0 to ``size`` - 1 that join, at every bound on d, the same rows as all of u, v, d do."""
+    root, out = np.arange(size), []
+    for at in np.unique(d).tolist():
+        a, b = root[u[d == at]], root[v[d == at]]
+        while (apart := a != b).any():
+            a, b = a[apart], b[apart]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((low, high))
+            first = order[np.flatnonzero(np.concatenate([[True], high[order][1:] != high[order][:-1]]))]
+            out.append((high[first], low[first], np.full(len(first), at, d.dtype)))
+            root[high[first]] = low[first]
+            while not (root == root[root]).all():
+                root = root[root]
+            a, b = root[a], root[b]
+    if not out:
+        return u[:0], v[:0], d[:0]
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _close(cap: int):
+    """For a pair of blocks: how many pairs of rows there are of each distance up to ``cap``, and a forest of them."""
+
+    def run(key, tab):
+        i, j = key[0].as_py(), key[1].as_py()
+        block, hashes, n = (tab.column(c).to_numpy() for c in ("block", "hash", "n"))
+        hashes = hashes.view(np.uint64)
+        cls = np.unique(np.array([c or "" for c in tab.column("class_name").to_pylist()], object).astype(str), return_inverse=True)[1]
+        cls[pc.is_null(tab.column("class_name")).to_numpy()] = -1
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        every, cross = np.zeros(cap + 1, np.int64), np.zeros(cap + 1, np.int64)
+        wide, high = 8_192, 64
+        mixed, apart, near = np.empty((high, wide), np.uint64), np.empty((high, wide), np.uint8), np.empty((high, wide), bool)
+        kept, held = [(left[:0], left[:0], np.empty(0, np.uint8))], 0
+        for lo in range(0, len(right), wide):
+            b = right[lo : lo + wide]
+            for at in range(0, len(left), high):
+                a = left[at : at + high]
+                if i == j and at >= lo + wide:  # below the diagonal
+                    break
+                x, c, ok = mixed[: len(a), : len(b)], apart[: len(a), : len(b)], near[: len(a), : len(b)]
+                np.bitwise_xor(hashes[a][:, None], hashes[b][None, :], out=x)
+                np.bitwise_count(x, out=c)
+                np.less_equal(c, cap, out=ok)
+                r, q = np.nonzero(ok)
+                if i == j:
+                    upper = at + r < lo + q
+                    r, q = r[upper], q[upper]
+                if not len(r):
+                    continue
+                d, u, v = c[r, q], a[r], b[q]
+                weight = n[u] * n[v]
+                np.add.at(every, d, weight)
+                other = (cls[u] != cls[v]) & (cls[u] >= 0) & (cls[v] >= 0)
+                np.add.at(cross, d[other], weight[other])
+                kept.append((u, v, d))
+                held += len(u)
+                if held > HELD:
+                    kept = [forest(*(np.concatenate(k) for k in zip(*kept)), len(hashes))]
+                    held = len(kept[0][0])
+        u, v, d = forest(*(np.concatenate(k) for k in zip(*kept)), len(hashes))
+        at = np.flatnonzero(every)
+        none, counts = np.zeros(len(at), np.int64), np.zeros(len(u), np.int64)
+        return pa.table({
+            "a": np.concatenate([none, hashes[u].view(np.int64)]), "b": np.concatenate([none, hashes[v].view(np.int64)]),
+            "distance": np.concatenate([at, d]).astype(np.int32), "n": np.concatenate([every[at], counts]), "across": np.concatenate([cross[at], counts]),
+        })
+
+    return run
+
+
+def _blockwise(counted: DataFrame, m: int, cap: int, per_block: int) -> DataFrame:
+    parallel = counted.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-m // per_block), min(-(-m // 2_048), int(np.ceil((4 * parallel) ** 0.5))))
+    own = F.pmod(F.xxhash64("class_name", "hash"), F.lit(blocks)).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    dealt = counted.withColumn("block", own).select("class_name", "hash", "n", "block", F.inline(others))
+    tasks = max(parallel, blocks * (blocks + 1) // 2)  # a pair of blocks is long work on few bytes
+    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(_close(cap), "a long, b long, distance int, n long, across long")
+
+
+def close_pairs(rows: DataFrame, percentile: float, bits: int = 64, per_block: int = BLOCK, guess: int | None = None) -> tuple[float, int, DataFrame]:
+    """The percentile of the distances between rows of different classes (0 without such), how many pairs of rows lie closer, and links a, b (hashes) that join the hashes which do.
+
+    ``rows``: class_name, hash. All pairs of distinct (class, hash) are looked at; pairs up to a distance guessed from a
+    bounded sample (``guess``, if given) are counted, and if these prove too few for the percentile, all are. Rows without a
+    hash count for nothing, those without a class only as pairs. Hashes are whole; ``bits`` says how many can differ.
+    """
+    from vetra.plans.session import cut
+
+    counted = cut(rows.filter("hash IS NOT NULL").groupBy("class_name", "hash").agg(F.count(F.lit(1)).alias("n")))
+    sums = counted.filter("class_name IS NOT NULL").groupBy("class_name").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).first()
+    m, total = counted.count(), ((sums["n"] or 0) ** 2 - (sums["own"] or 0)) // 2
+    if guess is None:
+        sample = counted.orderBy(F.xxhash64("hash", "class_name")).filter("class_name IS NOT NULL").limit(GUESS_ROWS).collect()  # bounded
+        h, c = np.array([r["hash"] for r in sample], np.int64).view(np.uint64), np.array([r["class_name"] for r in sample], object)
+        u, v = np.triu_indices(len(sample), 1)
+        other = np.unique(c.astype(str), return_inverse=True)[1] if len(c) else u
+        apart = np.bitwise_count(h[u] ^ h[v])[other[u] != other[v]]
+        guess = int(np.quantile(apart, percentile)) + 2 if len(apart) else 0
+    for cap in (min(guess, bits), bits):
+        found = cut(_blockwise(counted, m, cap, per_block))
+        numbers = {r["distance"]: (r["n"], r["across"]) for r in found.filter("n > 0").groupBy("distance").agg(F.sum("n").alias("n"), F.sum("across").alias("across")).collect()}
+        across = sum(x for _, x in numbers.values())
+        if across == total or across > percentile * (total - 1) + 1 or cap == bits:
+            break
+    cells = [(d, x) for d, (_, x) in sorted(numbers.items()) if x] + [(bits + 1, total - across)] * (total > across)
+    bound = rows.sparkSession.createDataFrame(cells, "distance int, n long").agg(F.percentile("distance", F.lit(percentile), F.col("n")).alias("bound")).first()["bound"] or 0.0
+    same = counted.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+    closer = sum(n for d, (n, _) in numbers.items() if d < bound) + (same if bound > 0 else 0)
+    return float(bound), closer, found.filter((F.col("n") == 0) & (F.col("distance") < bound) & (F.col("a") != F.col("b"))).select("a", "b").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vetra.operators import curation as K
-from vetra.operators.distances import distance_histogram
+from vetra.operators.distances import close_pairs
 from vetra.plans.session import cut
 from vetra.plans.stages import Done, Stage, run_stages
 
@@ -34,12 +34,11 @@ def _pending(rows: DataFrame) -> DataFrame:
     return rows.filter("role IS NULL")
 
 
-def near_groups(rows: DataFrame, percentile: float, bits: int, bands: int) -> tuple[DataFrame, dict]:
+def near_groups(rows: DataFrame, percentile: float, bits: int) -> tuple[DataFrame, dict]:
     """Pending rows whose hashes are closer than the percentile of cross-class distances are one group; groups of several classes go."""
     pending = cut(_pending(rows).select("image_id", "class_name", "hash"))
-    bound = K.percentile_of_histogram(distance_histogram(pending, bits=bits), percentile).first()["bound"] or 0.0
-    links = K.count_links(pending, bound, bands, bits)
-    grouped = cut(K.hash_groups(pending, bound, bands, bits))
+    bound, links, close = close_pairs(pending, percentile, bits)
+    grouped = cut(K.linked_groups(pending, close, bound > 0))
     sizes = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_name").alias("classes"))
     facts = sizes.agg(F.count_if(F.col("n") > 1).alias("multi_image_groups"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_group"), F.count_if(F.col("classes") > 1).alias("mixed_groups"))
     mixed = sizes.filter("classes > 1").select("group_id", F.lit(True).alias("mixed"))
@@ -74,11 +73,12 @@ def split(rows: DataFrame, seed: str) -> DataFrame:
 
 
 def cascade(percentile: float = 0.0001, bits: int = 64, bands: int = 8, least: int = 5, undersized: str = "refuse", seed: str = "s") -> list[Stage]:
+    """``bands`` is accepted and changes nothing: pairs no longer meet by runs of bits."""
     return [
         Stage("readable", readable),
         Stage("conflicts", conflicts),
         Stage("duplicates", K.exact_duplicates),
-        Stage("near_groups", near_groups, {"percentile": percentile, "bits": bits, "bands": bands}),
+        Stage("near_groups", near_groups, {"percentile": percentile, "bits": bits}, version="2"),
         Stage("hold_out", hold_out, {"least": least, "undersized": undersized}),
         Stage("split", split, {"seed": seed}),
     ]
