@@ -111,3 +111,20 @@ def test_equal_views_weigh_as_a_larger_strength(spark):
     a = {r.id: (r.said, r.p) for r in X.out_of_fold(plain, 2, (4.0,), 3).collect()}
     b = {r.id: (r.said, r.p) for r in X.out_of_fold(seen, 2, (1.0,), 3, on_views=True).collect()}
     assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], abs=1e-5) for k in a)
+
+
+def test_larger_development_sets_are_fitted_by_parts(spark):
+    """More rows than a task takes were refused; parts give the predictions of one task, on views too."""
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(3, 4))
+    data = []
+    for i in range(240):
+        label = int(rng.integers(3))
+        v = middle[label] + rng.normal(size=4) * 1.5
+        data.append((i, label, int(rng.integers(4)), v.tolist(), [v.tolist(), (v + rng.normal(size=4) * 0.1).tolist()]))
+    rows = spark.createDataFrame(data, "id long, label long, fold int, v array<double>, views array<array<double>>")
+    for on_views in (False, True):
+        a = {(r.c, r.id): r for r in X.out_of_fold(rows, 4, (0.1, 1000.0), 3, on_views=on_views).collect()}
+        b = {(r.c, r.id): r for r in X.out_of_fold(rows, 4, (0.1, 1000.0), 3, on_views=on_views, most_rows=50).collect()}
+        assert a.keys() == b.keys() and len(a) == 480
+        assert all(a[k].said == b[k].said and a[k].fold == b[k].fold and abs(a[k].p - b[k].p) < 1e-7 for k in a)

@@ -1,7 +1,8 @@
 """Grouped, stratified cross-validation of a softmax regression over a grid of strengths.
 
-Each fit of (strength, fold) is one task of an Arrow-grouped map. It gets the development set, which is
-curated by hand and of checked size; larger training sets are for ``calibration.fit_logistic``.
+Each fit of (strength, fold) is one task of an Arrow-grouped map, if the development set is small. Of a larger one, tasks
+see parts: a pass over the rows evaluates all fits at once, sums of a fit meet in a task that makes its next Newton
+step, and what comes to the driver is a vector of weights a fit.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vetra.plans.session import cut
 
-#: Rows of a development set that one task takes.
+#: Rows of a development set that one task takes; a larger set is fitted by parts of as many.
 MOST_ROWS = 50_000
 
 
@@ -80,7 +81,7 @@ def probabilities(beta: np.ndarray, x: np.ndarray, present: np.ndarray) -> np.nd
     return p / p.sum(axis=1, keepdims=True)
 
 
-def out_of_fold(rows: DataFrame, folds: int, grid: tuple[float, ...], classes: int, max_iter: int = 5_000, on_views: bool = False) -> DataFrame:
+def out_of_fold(rows: DataFrame, folds: int, grid: tuple[float, ...], classes: int, max_iter: int = 5_000, on_views: bool = False, most_rows: int = MOST_ROWS) -> DataFrame:
     """c, fold, id, label, said, p (of the true class) for every row and strength, each from a fit without its fold.
 
     ``rows``: id, label (0 to classes - 1), fold, v and, where it learns ``on_views``, views: equally many vectors a row, each
@@ -88,8 +89,8 @@ def out_of_fold(rows: DataFrame, folds: int, grid: tuple[float, ...], classes: i
     """
     rows = cut(rows.select("id", "label", "fold", "v", *(["views"] if on_views else [])))
     many = rows.agg(F.sum(F.size("views") if on_views else F.lit(1)).alias("n")).first()["n"] or 0
-    if many > MOST_ROWS:
-        raise ValueError("the development set is too large for one task; train with fit_logistic")
+    if many > most_rows:
+        return _by_parts(rows, folds, grid, classes, max_iter, on_views, -(-many // most_rows))
     tasks = rows.sparkSession.createDataFrame([(float(c), k, i) for i, (c, k) in enumerate((c, k) for c in grid for k in range(folds))], "c double, out int, task int")
 
     def run(key, tab):
@@ -113,6 +114,145 @@ def out_of_fold(rows: DataFrame, folds: int, grid: tuple[float, ...], classes: i
     return spread.groupBy("task").applyInArrow(run, "c double, fold int, id long, label long, said long, p double")
 
 
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    while pa.types.is_list(column.type):
+        column = column.flatten()
+    return column.to_numpy().reshape(-1, width)
+
+
+_SLICE = 1_000
+
+
+def _sums(fits: dict, betas, weights: dict, classes: int, width: int, on_views: bool):
+    """For rows with a column deal: of each fit of that deal the sums of losses, slopes and second derivatives over the rows outside its fold."""
+    upper = [(i, j) for i in range(classes) for j in range(i, classes)]
+
+    def run(batches):
+        out: dict[int, list] = {}
+        for batch in batches:
+            deal = batch.column(0).to_numpy()
+            for lo in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(lo, _SLICE)
+                y, fold = part.column(1).to_numpy().astype(int), part.column(2).to_numpy()
+                x = _vectors(part.column(3), width - 1)
+                each = len(x) // max(1, len(y))
+                y, fold = np.repeat(y, each), np.repeat(fold, each)
+                x = np.column_stack([x, np.ones(len(x))])
+                for f, beta in betas.value.items():
+                    if f % fits["deals"] != deal[lo]:
+                        continue
+                    k = fits["of"][f][1]
+                    own = np.flatnonzero(fold != k)
+                    if not len(own):
+                        continue
+                    x1, y1, w = x[own], y[own], weights[k][y[own]]
+                    z = np.where(weights[k] > 0, x1 @ beta, -np.inf)
+                    z -= z.max(axis=1, keepdims=True)
+                    p = np.exp(z)
+                    whole = p.sum(axis=1)
+                    loss = float((w * (np.log(whole) - z[np.arange(len(own)), y1])).sum())
+                    p /= whole[:, None]
+                    apart = p.copy()
+                    apart[np.arange(len(own)), y1] -= 1
+                    slope = x1.T @ (w[:, None] * apart)
+                    bends = np.stack([w * p[:, i] * ((i == j) - p[:, j]) for i, j in upper], axis=1)
+                    bend = x1.T @ (bends[:, :, None] * x1[:, None, :]).reshape(len(own), -1)
+                    if f not in out:
+                        out[f] = [0.0, np.zeros_like(slope), np.zeros_like(bend)]
+                    out[f][0] += loss
+                    out[f][1] += slope
+                    out[f][2] += bend
+        for f, (loss, slope, bend) in out.items():  # a record batch a fit
+            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([loss]), pa.array([slope.tobytes()]), pa.array([bend.tobytes()])], names=["fit", "loss", "slope", "bend"])
+
+    return run
+
+
+def _next(fits: dict, betas, classes: int, width: int):
+    """For groupBy(fit): the loss at the fit's weights, and the Newton step from them."""
+    upper = [(i, j) for i in range(classes) for j in range(i, classes)]
+
+    def run(key, tab):
+        f = key[0].as_py()
+        tab = tab.sort_by("loss")  # added in one order whatever the order of arrival
+        beta, c = betas.value[f], fits["of"][f][0]
+        penalty = np.ones(width)
+        penalty[-1] = 1e-8
+        slope = c * sum(np.frombuffer(b).reshape(width, classes) for b in tab.column("slope").to_pylist()) + penalty[:, None] * beta
+        parts = c * sum(np.frombuffer(b).reshape(width, len(upper), width) for b in tab.column("bend").to_pylist())
+        bend = np.zeros((classes, width, classes, width))
+        for at, (i, j) in enumerate(upper):
+            bend[i, :, j, :] = parts[:, at]
+            bend[j, :, i, :] = parts[:, at].T
+        for i in range(classes):
+            bend[i, :, i, :] += np.diag(penalty)
+        step = np.linalg.solve(bend.reshape(classes * width, -1), slope.T.reshape(-1)).reshape(classes, width).T
+        loss = c * float(tab.column("loss").to_numpy().sum()) + 0.5 * float((penalty[:, None] * beta * beta).sum())
+        return pa.table({"fit": pa.array([f], pa.int32()), "loss": [loss], "step": [step.tobytes()]})
+
+    return run
+
+
+def _by_parts(rows: DataFrame, folds: int, grid: tuple[float, ...], classes: int, max_iter: int, on_views: bool, parts: int, tol: float = 1e-8) -> DataFrame:
+    """``out_of_fold`` where no task takes all rows: the steps of ``fit_softmax``, of all fits at once, a pass over ``parts`` parts each."""
+    spark = rows.sparkSession
+    rows = cut(rows.repartition(parts))
+    size = F.sum(F.size("views") if on_views else F.lit(1))
+    counts = np.zeros((folds + 1, classes), np.int64)  # of each fold, and of rows in none of them
+    tested = set()
+    for r in rows.groupBy("fold", "label").agg(size.alias("n")).collect():  # folds x classes rows
+        at = r["fold"] if 0 <= r["fold"] < folds else folds
+        counts[at, r["label"]] += r["n"]
+        tested.add(r["fold"])
+    train = counts.sum(axis=0)[None, :] - counts[:folds]
+    of = {i: (float(c), k) for i, (c, k) in enumerate((c, k) for c in grid for k in range(folds)) if k in tested and train[k].any()}
+    weights = {k: np.where(train[k] > 0, train[k].sum() / ((train[k] > 0).sum() * np.maximum(train[k], 1)), 0.0) for k in range(folds)}
+    width = rows.agg(F.max(F.size("v"))).first()[0] + 1
+    deals = min(len(of), max(1, -(-spark.sparkContext.defaultParallelism // parts))) or 1  # fits are dealt too, where parts are few
+    fits = {"of": of, "deals": deals}
+    seen = rows.select("label", "fold", "views" if on_views else "v")
+    dealt = seen.select(F.lit(0).alias("deal"), "*")
+    for k in range(1, deals):
+        dealt = dealt.unionByName(seen.select(F.lit(k).alias("deal"), "*"))
+    beta = {f: np.zeros((width, classes)) for f in of}
+    loss, step, length, done = dict.fromkeys(of, np.inf), {f: np.zeros((width, classes)) for f in of}, dict.fromkeys(of, 1.0), {}
+    for _ in range(max_iter):
+        if not beta:
+            break
+        tried = {f: beta[f] - length[f] * step[f] for f in beta}
+        betas = spark.sparkContext.broadcast(tried)
+        summed = dealt.mapInArrow(_sums(fits, betas, weights, classes, width, on_views), "fit int, loss double, slope binary, bend binary")
+        found = summed.groupBy("fit").applyInArrow(_next(fits, betas, classes, width), "fit int, loss double, step binary").collect()  # the weights of each fit
+        betas.unpersist()
+        for r in found:
+            f, now = r["fit"], r["loss"]
+            if now > loss[f] and length[f] >= 1e-10:
+                length[f] /= 2
+                continue
+            gain, beta[f], loss[f] = loss[f] - now, tried[f], now
+            if gain <= tol * max(1.0, abs(now)):
+                done[f] = beta.pop(f)
+            else:
+                step[f], length[f] = np.frombuffer(r["step"]).reshape(width, classes), 1.0
+    if beta:
+        raise RuntimeError(f"the fit has not settled in {max_iter} steps")
+    final = spark.sparkContext.broadcast(done)
+
+    def predict(batches):
+        for batch in batches:
+            label, fold = batch.column(1).to_numpy().astype(int), batch.column(2).to_numpy()
+            x = _vectors(batch.column(3), width - 1)
+            for f, (c, k) in of.items():
+                test = np.flatnonzero(fold == k)
+                if len(test):
+                    p = probabilities(final.value[f], x[test], train[k] > 0)
+                    columns = [np.full(len(test), c), np.full(len(test), k, np.int32), batch.column(0).to_numpy()[test], label[test], p.argmax(axis=1), p[np.arange(len(p)), label[test]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["c", "fold", "id", "label", "said", "p"])
+
+    whole = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "fold", "v")
+    return whole.mapInArrow(predict, "c double, fold int, id long, label long, said long, p double")
+
+
 def by_strength(predictions: DataFrame, floor_at: float = 1e-15) -> DataFrame:
     """c, fold accuracies in fold order, pooled accuracy and log-loss."""
     right = (F.col("said") == F.col("label")).cast("long")
