@@ -579,3 +579,14 @@ def test_a_crowd_of_equal_keys_is_walked():
     fp[300:] = fp[0] ^ (np.uint64(1) << rng.integers(0, 64, (600, 1)).astype(np.uint64))
     u, v = simhash.shard_links(fp, np.zeros(900, np.uint64), 1, 4)
     assert len(u) == len(v) >= len(np.unique(fp[300:])) and (np.bitwise_count(fp[u] ^ fp[v]) <= 4).all()
+
+
+def test_lm_requests_are_dealt_by_one_sort():
+    """Places by shard come from one sort; before, each shard scanned all places of a block, so a block's cost grew with the table."""
+    where = np.random.default_rng(2).integers(0, 7, 500)
+    places = ngramlm._by_shard(where, 9)
+    assert all(places(s).tolist() == np.flatnonzero(where == s).tolist() for s in range(9))
+    first, second, count = np.array([3, 1, 3, 1, 2]), np.array([0, 5, 0, 4, 9]), np.array([2, 1, 3, 0, 1])
+    assert [x.tolist() for x in ngramlm._summed(first, second, count)] == [[1, 2, 3], [5, 9, 0], [1, 1, 5]]
+    big = 1 << 40  # codes that don't fit 63 bits
+    assert [x.tolist() for x in ngramlm._summed(first * big, second * big, count)] == [[big, 2 * big, 3 * big], [5 * big, 9 * big, 0], [1, 1, 5]]

@@ -13,8 +13,8 @@ Neither vocabulary nor trie has to fit one machine, and no text is read twice or
 3. Blocks ask the shards of first words about their distinct bigrams and trigrams, with the training counts they
    have. A trigram names its context by the place of its bigram in the same request.
 4. A shard sums the counts, lays the trie out in memory-mapped levels and answers each block. A level is an
-   Elias-Fano sequence of (place of the context, word), with pointers from each context to its successors;
-   bits are packed to their exact width. It is searched as it lies: samples of ranks find a word of bits,
+   Elias-Fano sequence of (place of the context, word), with pointers from each context to its successors; an entry
+   names its context, so a search that finds it needs no pointer; bits are packed to their exact width. It is searched as it lies: samples of ranks find a word of bits,
    population counts the bit in it, and a successor search among a context's few candidates the entry.
    Probabilities and back-off weights are quantised.
 5. Blocks add up their documents' scores.
@@ -91,7 +91,7 @@ class EliasFano:
     Nothing is unpacked: a search touches the words of bits that it needs.
     """
 
-    BLOCK = 8  # words of 64 bits between two samples
+    BLOCK = 4  # words of 64 bits between two samples
     CHUNK = 1 << 18  # searched at a time
 
     def __init__(self, values: np.ndarray, space) -> None:
@@ -216,16 +216,12 @@ class Trie:
 
     def _step(self, level: tuple, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From places of contexts (-1: none) by a word: the place (-1: none), its probability and the context's back-off weight."""
-        successors, pointers, probability, backoff = level
+        successors, _, probability, backoff = level
         out, near, far = np.full(len(context), -1), np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
         known = np.flatnonzero(context >= 0)
         far[known] = backoff[context[known]] if len(known) else 0
-        at = known[word[known] < self.universe]
-        distinct, which = np.unique(context[at], return_inverse=True)
-        begin, end = (pointers.get(distinct + k)[which] if len(distinct) else which for k in (0, 1))
-        at, begin, end = at[begin < end], begin[begin < end], end[begin < end]  # a context's pointers enclose its successors
+        at = known[(word[known] < self.universe) & (far[known] > 0)]  # a context without successors has no back-off weight
         place, found = successors.successor(context[at] * self.universe + word[at])
-        found &= (place >= begin) & (place < end)
         out[at[found]], near[at[found]] = place[found], probability[place[found]] if found.any() else 0
         return out, near, far
 
@@ -356,6 +352,13 @@ class _Block:
         return self.number[self.context] * 0x9E3779B1 % (1 << 32) * shards >> 32
 
 
+def _by_shard(where: np.ndarray, shards: int):
+    """The places of each shard in ``where``, in order: sorted once, as scans for each shard grow with the table's shards times the block."""
+    order = np.argsort(where.astype(np.min_scalar_type(max(1, shards))), kind="stable")
+    cuts = np.concatenate([[0], np.bincount(where, minlength=shards).cumsum()])
+    return lambda s: order[cuts[s] : cuts[s + 1]]
+
+
 def _ask(shards: int, ends: int):
     """Step 3, for cogroups by block: the distinct bigrams and trigrams, each to the shard of its first word."""
 
@@ -364,11 +367,11 @@ def _ask(shards: int, ends: int):
             return _table([])
         b = _Block(left, right, ends)
         where, rows = b.shard(shards), []
-        triple_where = where[b.before]
+        pairs, triples = _by_shard(where, shards), _by_shard(where[b.before], shards)
         for s in range(shards):
-            own = np.flatnonzero(where == s)
+            own = pairs(s)
             if len(own):
-                context, mine = b.number[b.context[own]], np.flatnonzero(triple_where == s)
+                context, mine = b.number[b.context[own]], triples(s)
                 place = np.searchsorted(own, b.before[mine])
                 rows.append(("pairs", key[0].as_py(), s, None, None, _pack(np.diff(context, prepend=0), b.number[b.word[own]], b.times[own], np.diff(place, prepend=0), b.number[b.last[mine]], b.triple_times[mine])))
         return _table(rows)
@@ -380,6 +383,13 @@ def _summed(*keys_and_count: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys (columns, sorted by the first, then the next) with their summed counts over 0."""
     *keys, count = keys_and_count
     seen = np.flatnonzero(count)
+    spans = [1 + int(k.max(initial=0)) for k in keys]
+    if len(keys) == 2 and spans[0] * spans[1] < 1 << 63:  # one sort of whole codes, not one a key
+        code = keys[0][seen] * spans[1] + keys[1][seen]
+        order = np.argsort(code)
+        code, count = code[order], count[seen[order]]
+        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else order
+        return code[new] // spans[1], code[new] % spans[1], np.add.reduceat(count, new) if len(new) else count
     order = seen[np.lexsort([k[seen] for k in reversed(keys)])]
     keys, count = [k[order] for k in keys], count[order]
     new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if len(order) else order
@@ -421,11 +431,11 @@ def _score(shards: int, ends: int, n_train: int, n_distinct: int):
             return _SCORES.empty_table()
         b = _Block(left, right, ends)
         where = b.shard(shards)
-        triple_where = where[b.before]
+        pairs, triples = _by_shard(where, shards), _by_shard(where[b.before], shards)
         codes = [np.zeros(len(x), np.int64) for x in (b.pairs, b.pairs, b.triples, b.triples)]
         for kind, s, data in zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "data"))):
             if kind == "codes":
-                own, mine = np.flatnonzero(where == s), np.flatnonzero(triple_where == s)
+                own, mine = pairs(s), triples(s)
                 for out, at, got in zip(codes, (own, own, mine, mine), _unpack(data)):
                     out[at] = got
         near, far, near3, far3 = codes
