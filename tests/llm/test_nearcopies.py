@@ -140,3 +140,42 @@ def test_chained_group_is_cut_before_sets_are_compared(spark, monkeypatch):
     links = nearcopies.exact_links(groups, sets, 0.8, 5, 10_000, 10_000).collect()
     assert {frozenset(r) for r in links} == {frozenset((7, 41))}
     assert sum(dealt) <= 4
+
+
+def test_sizes_too_far_apart_are_no_candidates(spark):
+    """Equal bits, sets of 80, 100 and 126: only the first two can be alike at 0.8; both ways of comparing say so."""
+    import numpy as np
+
+    from vetra.llm import simhash
+
+    fps = spark.createDataFrame([(5, 80, 1), (5, 100, 2), (5, 126, 3)], "w0 long, n int, node long")
+    assert {frozenset(r) for r in simhash.near_links(fps, simhash.bit_groups(4), 1, 3, alike=0.8).collect()} == {frozenset((1, 2))}  # a task may say it again
+    u, v = simhash.walk(np.zeros((3, 1), np.uint64), 3, np.array([80, 100, 126]), 0.8)
+    assert list(zip(u, v)) == [(0, 1)]
+
+
+def test_sets_without_partner_leave_a_large_group(spark):
+    """200 sets with a passage in common, two of them near copies: only these are joined by shingle, and the answer stays."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    common = rng.integers(1, 1 << 62, 60)
+    own = [np.unique(np.concatenate([common, rng.integers(1, 1 << 62, 40)])) for _ in range(200)]
+    own[9] = np.unique(np.append(own[120][:-3], rng.integers(1, 1 << 62, 3)))
+    sets = spark.createDataFrame([(0, i, len(s), s.tobytes()) for i, s in enumerate(own)], "grp long, node long, n long, own binary")
+    assert {r.node for r in nearcopies.with_partners(sets, 0.8).collect()} == {9, 120}
+    assert {r.node for r in nearcopies.cut_groups(sets, 0.8).collect()} == {9, 120}
+    alone = sets.filter("node NOT IN (9, 120)")
+    assert nearcopies.with_partners(alone, 0.8).isEmpty() and nearcopies.cut_groups(alone, 0.8).isEmpty()
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Links that are stars already are looked at once; a chain still ends at its smallest node."""
+    from vetra.llm import components
+
+    kept, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: kept.append(1) or cut(df))
+    stars = spark.createDataFrame([(3, 1), (4, 1), (7, 6)], "u long, v long")
+    assert {tuple(r) for r in components.connected_components(stars).collect()} == {(1, 1), (3, 1), (4, 1), (6, 6), (7, 6)} and len(kept) == 1
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 52), (51, 52)], "u long, v long")
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == {(i, 0) for i in range(41)} | {(50, 50), (51, 50), (52, 50)}

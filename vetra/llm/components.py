@@ -12,19 +12,18 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of ``links`` (u, v: long); root is the component's smallest node.
 
     Each round turns every node's larger neighbours, then its smaller ones, to the smallest node known;
-    the links end as one star a component. Minima are aggregated map-side first, so a node with very
-    many links sends few rows; no row goes to the driver but a count and a checksum.
+    the links end as one star a component, which one look at the ends of all links tells. Minima are aggregated map-side
+    first, so a node with very many links sends few rows; no row goes to the driver but whether all are stars.
     """
     links = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seal = None
     for _ in range(rounds):
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seal:
-            break
-        seal = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = both.groupBy("u").agg(F.count_if(F.col("v") < F.col("u")).alias("up"), F.count_if(F.col("v") > F.col("u")).alias("down"))
+        if ends.filter("up > 1 OR up = 1 AND down > 0").isEmpty():
+            break
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.repartition("u").distinct()  # its minima and the join with them need no other exchange
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(small.unionByName(least.withColumnRenamed("m", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())

@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vetra.llm.common import cut, small_batches, trimmed
 from vetra.llm.components import connected_components
-from vetra.llm.simhash import SEED, bit_groups, majority, near_links
+from vetra.llm.simhash import SEED, bit_groups, majority, near_links, stars
 
 WORDS, GROUPS, REACH, CHECK, LIMIT = 7, 4, 1, 2, 36
 #: Sets up to this size meet by their rarest shingles too; parts of the sets that share one.
@@ -87,14 +87,13 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).mapInArrow(trimmed(run), schema)
 
 
-def prefix_links(nodes: DataFrame, similar: float) -> DataFrame:
-    """Links u, v that join all sets of ``nodes`` (node, n, own) which share one of their rarest shingles; with a column grp, those of one grp.
+def _prefix(similar: float) -> Column:
+    """How many of the rarest of n shingles a set of that similarity has one of."""
+    return F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
 
-    A set's prefix has n - similar * n + 1 shingles, rarest first (ties by hash). Shingles of one set alone come
-    before all others and join nothing, so only the rest of the prefix is looked at. The sets that share a shingle
-    are joined to the smallest of their part, and the parts' smallest to the smallest of all: no
-    shingle, however common, brings over 1 / SALTS of its sets into one task.
-    """
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """A row node, n, h for each shingle of ``nodes`` (node, n, own and perhaps grp)."""
 
     def spread(batches):
         for batch in batches:
@@ -104,10 +103,39 @@ def prefix_links(nodes: DataFrame, similar: float) -> DataFrame:
                 hashes = hashes ^ np.repeat(_scramble(batch.column(3).to_numpy().view(np.uint64) * _MIX).view(np.int64), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(hashes)], names=["node", "n", "h"])
 
-    rows = nodes.select("node", "n", "own", *(["grp"] if "grp" in nodes.columns else [])).mapInArrow(trimmed(spread), "node long, n long, h long")
+    return nodes.select("node", "n", "own", *(["grp"] if "grp" in nodes.columns else [])).mapInArrow(trimmed(spread), "node long, n long, h long")
+
+
+def with_partners(nodes: DataFrame, similar: float) -> DataFrame:
+    """``nodes`` (grp, node, n, own) without those whose rarest shingles are all in no other set of the group.
+
+    No set has ``similar`` with them. As they go, shingles of others become rare; that is repeated while half of the sets go, so
+    all rounds together read no more than twice the first.
+    """
+    left, before = nodes, nodes.count()
+    while before:
+        alone = _spread(left).groupBy("h").agg(F.count(F.lit(1)).alias("often"), F.min("node").alias("node")).filter("often = 1")
+        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        left = cut(left.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) < _prefix(similar)).select(*nodes.columns))
+        if (now := left.count()) * 2 > before:
+            break
+        before = now
+    return left
+
+
+def prefix_links(nodes: DataFrame, similar: float) -> DataFrame:
+    """Links u, v that join all sets of ``nodes`` (node, n, own) which share one of their rarest shingles; with a column grp, those of one grp.
+
+    A set's prefix has n - similar * n + 1 shingles, rarest first (ties by hash). Shingles of one set alone come
+    before all others and join nothing, so only the rest of the prefix is looked at. The sets that share a shingle
+    are joined to the smallest of their part, and the parts' smallest to the smallest of all: no
+    shingle, however common, brings over 1 / SALTS of its sets into one task.
+    """
+
+    rows = _spread(nodes)
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     own = W.partitionBy("node")
-    prefix = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
+    prefix = _prefix(similar)
     ranked = rows.join(shared, "h").withColumns({"shares": F.count(F.lit(1)).over(own), "nth": F.row_number().over(own.orderBy("often", "h"))})
     part = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("part")
     keys = cut(ranked.filter(F.col("nth") <= prefix - (F.col("n") - F.col("shares"))).select("h", part, "node"))
@@ -128,7 +156,7 @@ def _marks(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, own (its sorted shingles as bytes) of the texts that ``wanted`` (place, node) names.
+    """``wanted`` (place, ...) with own, the sorted shingles of the text of that place as bytes, instead of place.
 
     Texts whose place is not marked are passed over where they are read, so few sets are shuffled and no text is.
     """
@@ -143,7 +171,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     text = F.col("text").cast("string").cast("binary")
     found = docs.select(F.xxhash64(text).alias("place"), text.alias("text")).mapInArrow(trimmed(run), "place long, own binary")
-    return found.dropDuplicates(["place"]).join(wanted, "place").select("node", "own")
+    return found.dropDuplicates(["place"]).join(wanted, "place").drop("place")
 
 
 def forest(sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
@@ -177,8 +205,8 @@ def forest(sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]
     return left, right
 
 
-def _compared(placed: DataFrame, sets: DataFrame, similar: float, task_shingles: int) -> DataFrame:
-    """Links u, v that span those among the sets of each grp and block of ``placed`` (grp, i, j, node, n)."""
+def _compared(placed: DataFrame, similar: float, task_shingles: int) -> DataFrame:
+    """Links u, v that span those among the sets of each grp and block of ``placed`` (grp, i, j, node, n, own)."""
     weight, rows = placed.agg(F.sum("n"), F.count(F.lit(1))).first()
     tasks = max(1, -(-(weight or 0) // task_shingles), min(rows, placed.sparkSession.sparkContext.defaultParallelism))
 
@@ -192,10 +220,10 @@ def _compared(placed: DataFrame, sets: DataFrame, similar: float, task_shingles:
             if b - a > 1:
                 u, v = forest([np.frombuffer(x, np.uint64) for x in sets.slice(a, b - a).to_pylist()], similar)
                 left.append(node[a:b][u]), right.append(node[a:b][v])
-        return pa.table({"u": np.concatenate(left), "v": np.concatenate(right)})
+        return pa.table(dict(zip("uv", stars(np.concatenate(left), np.concatenate(right)))))
 
     bucket = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(tasks))
-    return placed.join(sets, "node").select(bucket.alias("bucket"), "grp", "i", "j", "node", "own").groupBy("bucket").applyInArrow(run, "u long, v long")
+    return placed.select(bucket.alias("bucket"), "grp", "i", "j", "node", "own").groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
 def _blocks(rows: DataFrame, most: int, most_shingles: int) -> DataFrame:
@@ -204,37 +232,45 @@ def _blocks(rows: DataFrame, most: int, most_shingles: int) -> DataFrame:
     return rows.join(sized, "grp").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
 
 
-def cut_groups(groups: DataFrame, sets: DataFrame, similar: float, most: int, most_shingles: int) -> DataFrame:
-    """``groups`` (grp, node, n), those of over ``most`` sets or ``most_shingles`` cut where no set shares one of its rarest shingles with another.
+def sized(groups: DataFrame, most: int, most_shingles: int) -> DataFrame:
+    """``groups`` (grp, node, n) with large: whether the group has over ``most`` sets or ``most_shingles``."""
+    found = groups.groupBy("grp").agg(((F.count(F.lit(1)) > most) | (F.sum("n") > most_shingles)).alias("large"))
+    return groups.join(found, "grp")
+
+
+def cut_groups(sets: DataFrame, similar: float) -> DataFrame:
+    """grp, node, n, own of ``sets`` (the same) with groups cut where no set shares one of its rarest shingles with another.
 
     That parts no pair with a similarity of ``similar`` or more. Sets that are left alone go.
     """
-    sized = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"))
-    large = cut(groups.join(sized.filter((F.col("many") > most) | (F.col("weight") > most_shingles)), "grp", "left_semi"))
-    if large.isEmpty():
-        return groups
-    links = prefix_links(large.join(sets, "node").select("node", "n", "own", "grp"), similar)
-    parts = connected_components(links).join(large.select("node", "n"), "node").select(F.col("root").alias("grp"), "node", "n")
-    return cut(groups.join(large.select("grp").distinct(), "grp", "left_anti").unionByName(parts))
+    left = with_partners(sets, similar)
+    parts = connected_components(prefix_links(left, similar)).select("node", F.col("root").alias("grp"))
+    return cut(left.drop("grp").join(parts, "node").select("grp", "node", "n", "own"))
 
 
 def exact_links(groups: DataFrame, sets: DataFrame, similar: float, most: int, most_shingles: int, task_shingles: int) -> DataFrame:
-    """Links u, v that span all pairs of one group of ``groups`` (grp, node, n) with a similarity of ``similar`` or more."""
-    groups = cut_groups(groups, sets, similar, min(most, LARGE), most_shingles)
-    blocks = cut(_blocks(groups, most, most_shingles))
-    links = cut(_compared(blocks.withColumn("j", F.col("i")), sets, similar, task_shingles))
-    split = blocks.filter("k > 1")
+    """Links u, v that span all pairs of one group of ``groups`` (grp, node, n) with a similarity of ``similar`` or more; ``sets``: node, own."""
+    return _links(cut(sized(groups, min(most, LARGE), most_shingles).join(sets, "node")), similar, most, most_shingles, task_shingles)
+
+
+def _links(sets: DataFrame, similar: float, most: int, most_shingles: int, task_shingles: int) -> DataFrame:
+    """As ``exact_links``, of ``sets`` (grp, node, n, large, own), which should be checkpointed: only what is large is dealt more than once."""
+    blocks = sets.filter("NOT large").select("grp", "node", "n", "own", F.lit(1).alias("k"), F.lit(0).alias("i"))
+    large = sets.filter("large").select("grp", "node", "n", "own")
+    if large.isEmpty():
+        return cut(_compared(blocks.withColumn("j", F.col("i")), similar, task_shingles))
+    dealt = cut(_blocks(cut_groups(large, similar), most, most_shingles))
+    links = cut(_compared(blocks.unionByName(dealt.select(*blocks.columns)).withColumn("j", F.col("i")), similar, task_shingles))
+    split, own = dealt.filter("k > 1").drop("own"), dealt.filter("k > 1").select("node", "own")
     if split.isEmpty():
         return links
 
-    sets = cut(sets.join(split.select("node"), "node", "left_semi"))
-
     def parts() -> DataFrame:
         """The sets of split groups, each with the component it is in so far."""
         return split.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     speak = parts().groupBy("grp", "root").agg(F.min(F.struct("node", "n")).alias("s")).select("grp", "s.node", "s.n")
-    links = cut(links.unionByName(_compared(_blocks(speak, most, most_shingles).withColumn("j", F.col("i")), sets, similar, task_shingles)))
+    links = cut(links.unionByName(_compared(_blocks(speak, most, most_shingles).withColumn("j", F.col("i")).join(own, "node"), similar, task_shingles)))
     apart = parts()
     apart = cut(apart.join(apart.groupBy("grp").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("grp"), "grp", "left_semi"))
     if apart.isEmpty():
@@ -242,7 +278,7 @@ def exact_links(groups: DataFrame, sets: DataFrame, similar: float, most: int, m
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = apart.withColumn("mine", F.col("i")).withColumn("other", other).filter("mine <> other")
     dealt = dealt.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n")
-    return links.unionByName(_compared(dealt, sets, similar, task_shingles))
+    return links.unionByName(_compared(dealt.join(own, "node"), similar, task_shingles))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: int = 20_000, most_shingles: int = 1_500_000, task_shingles: int = 1_500_000) -> DataFrame:
@@ -259,11 +295,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similar: float = 0.8, most: i
     marked = cut(_marked(docs, shingle))
     first = F.min(F.struct("place", "n", "own", *words)).alias("first")
     nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), first).select("node", "least", "first.*"))
-    candidates = near_links(nodes.filter("n > 0").select(*words, "node"), bit_groups(GROUPS, WORDS), REACH, LIMIT, CHECK, per_shard=393_216)
+    candidates = near_links(nodes.filter("n > 0").select(*words, F.col("n").cast("int").alias("n"), "node"), bit_groups(GROUPS, WORDS), REACH, LIMIT, CHECK, per_shard=393_216, alike=similar)
     candidates = candidates.unionByName(prefix_links(nodes.filter("n > 0 AND own IS NOT NULL"), similar))
-    groups = cut(connected_components(candidates).join(nodes.select("node", "n"), "node").select(F.col("root").alias("grp"), "node", "n"))
-    wanted = nodes.join(groups.select("node"), "node", "left_semi").select("place", "node")
-    links = exact_links(groups, cut(_sets(docs, wanted, shingle)), similar, most, most_shingles, task_shingles)
+    groups = connected_components(candidates).join(nodes.select("node", "n", "place"), "node").select(F.col("root").alias("grp"), "node", "n", "place")
+    wanted = cut(sized(groups, min(most, LARGE), most_shingles))
+    links = _links(cut(_sets(docs, wanted, shingle)), similar, most, most_shingles, task_shingles)
     rooted = nodes.select("node", "least").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "node").join(rooted.select("node", "root").join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -124,7 +124,12 @@ def visit(points: np.ndarray, reach: int, tree: tuple[np.ndarray, np.ndarray]) -
     return at - len(vantage), who
 
 
-def walk(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _fit(a: np.ndarray, b: np.ndarray, alike: float) -> np.ndarray:
+    """Whether sets of ``a`` and ``b`` members can have a Jaccard similarity of ``alike``."""
+    return np.minimum(a, b) + 1e-9 >= alike * np.maximum(a, b)
+
+
+def walk(fp: np.ndarray, limit: int, size: np.ndarray | None = None, alike: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers u, v of a spanning forest of links, breadth-first: each row is held against what is not reached yet."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     rest = np.arange(len(fp))
@@ -133,6 +138,8 @@ def walk(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         while queue and len(rest):
             x = queue.pop()
             near = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1, dtype=np.int64) <= limit
+            if size is not None:
+                near &= _fit(size[rest], size[x], alike)
             if near.any():
                 found = rest[near]
                 left.append(np.full(len(found), x)), right.append(found)
@@ -141,10 +148,11 @@ def walk(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def shard_links(fp: np.ndarray, key: np.ndarray, reach: int, limit: int, small: int = 192) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(fp: np.ndarray, key: np.ndarray, reach: int, limit: int, small: int = 192, size: np.ndarray | None = None, alike: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers u, v of links that span those of a shard: at most ``limit`` bits of ``fp`` (rows of words) apart.
 
-    ``key`` holds the bits over which the shard's tree goes on.
+    ``key`` holds the bits over which the shard's tree goes on. With ``size``, the members of each row's set, a link's
+    smaller set has at least ``alike`` times as many as the larger.
     """
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     stack = [np.arange(len(fp))]
@@ -163,9 +171,11 @@ def shard_links(fp: np.ndarray, key: np.ndarray, reach: int, limit: int, small:
                 apart = apart + np.bitwise_count(mine[:, None, k] ^ mine[None, :, k])
             a, b = np.nonzero(apart <= limit)
             upper = a < b
+            if size is not None:
+                upper &= _fit(size[own[a]], size[own[b]], alike)
             a, b = a[upper], b[upper]
         if len(own) > small or len(a) > 4 * len(own):  # nothing to prune by, or a dense shard
-            a, b = walk(fp[own], limit)
+            a, b = walk(fp[own], limit, None if size is None else size[own], alike)
         left.append(own[a]), right.append(own[b])
     return np.concatenate(left), np.concatenate(right)
 
@@ -188,19 +198,20 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_links(
-    fps: DataFrame, groups: list[tuple[int, int]], reach: int, limit: int, check: int = 1, per_shard: int = 32_768, task_rows: int = 200_000, most: int = 400_000
+    fps: DataFrame, groups: list[tuple[int, int]], reach: int, limit: int, check: int = 1, per_shard: int = 32_768, task_rows: int = 200_000, most: int = 400_000, alike: float = 0.0
 ) -> DataFrame:
     """Links u, v between fingerprints that have the components of all links found: ``limit`` bits or fewer of the first ``check`` words differ.
 
     A task reports its components as stars, so a crowd of near copies sends a row for each and not one for each pair.
 
-    ``fps`` has w0, w1, ... and last a long column ``node`` that names the fingerprint. Found is each link
+    ``fps`` has w0, w1, ... and last a long column ``node`` that names the fingerprint. Where it also has an int column
+    ``n``, the size of the set, linked sets are large enough for each other to be ``alike``. Found is each link
     that lies within ``reach`` bits in one of ``groups`` (word, mask): all links, if they have more than
     limit / (reach + 1) groups of the same words. Shards are dealt to tasks of about ``task_rows`` rows. A shard with over
     ``most`` is cut into blocks, and each pair of blocks is a task of its own, so none is too large and
     no pair is missed.
     """
-    spark, own = fps.sparkSession, [c for c in fps.columns if c != "node"]
+    spark, own = fps.sparkSession, [c for c in fps.columns if c not in ("n", "node")]
     n = fps.count()
     depth = int(min(MOST_DEPTH, max(0, np.ceil(np.log2(max(1, n / per_shard))))))
     step = max(1, n // (SAMPLE << depth))
@@ -208,19 +219,21 @@ def near_links(
     points = np.array([tuple(r) for r in sample], np.int64).reshape(-1, len(own)).view(np.uint64)
     trees = [grow(points[:, w] & np.uint64(mask), reach, depth) for w, mask in groups]
     checked = own[:check]
+    sized = ["n"] if "n" in fps.columns else []
+    carried = [*checked, *sized, "node"]
 
     def deal(batches):
         for batch in batches:
-            words = [batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(len(own))]
+            words = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in own]
             for g, ((w, mask), tree) in enumerate(zip(groups, trees)):
                 key = words[w] & np.uint64(mask)
                 leaf, who = visit(key, reach, tree)
                 low = np.uint64((mask & -mask).bit_length() - 1)
                 columns = [pa.array((g << MOST_DEPTH | leaf).astype(np.int32)), pa.array((key >> low)[who].view(np.int64))]
                 who = pa.array(who)
-                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i).take(who) for i in range(check)), batch.column(len(own)).take(who)], names=["leaf", "key", *checked, "node"])
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(who) for c in carried)], names=["leaf", "key", *carried])
 
-    schema = "leaf int, key long, " + "".join(f"{c} long, " for c in checked) + "node long"
+    schema = "leaf int, key long, " + "".join(f"{c} long, " for c in checked) + "n int, " * len(sized) + "node long"
     rows = fps.mapInArrow(deal, schema)  # made twice, which costs less than keeping it: `fps` should be a checkpointed frame
     sizes = cut(rows.groupBy("leaf").count())  # one row a shard
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
@@ -237,10 +250,11 @@ def near_links(
         place = np.stack([tab.column(c).to_numpy() for c in ("leaf", "i", "j")])
         fp = np.stack([tab.column(c).to_numpy() for c in checked], axis=1).view(np.uint64)
         node, bits = tab.column("node").to_numpy(), tab.column("key").to_numpy().view(np.uint64)
+        size = tab.column("n").to_numpy().astype(np.int64) if sized else None
         edges = np.flatnonzero(np.any(place[:, 1:] != place[:, :-1], axis=0)) + 1
         left, right = [node[:0]], [node[:0]]
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)]):
-            u, v = shard_links(fp[a:b], bits[a:b], reach, limit)
+            u, v = shard_links(fp[a:b], bits[a:b], reach, limit, size=size[a:b] if sized else None, alike=alike)
             left.append(node[a + u]), right.append(node[a + v])
         return pa.table(dict(zip("uv", stars(np.concatenate(left), np.concatenate(right)))))
 
