@@ -68,3 +68,21 @@ def test_odd_rows(spark):
         L.kmeans_references(spark.createDataFrame([(1, "a", [1.0]), (2, "a", [1.0, 2.0])], KIND), 2)
     named = spark.createDataFrame([("x", "a", [1.0]), ("y", "a", [3.0])], "image_id string, class_name string, v array<double>")
     assert [r.image_id for r in L.kmeans_references(named, 1).collect()] == ["y"]
+
+
+def test_a_pass_reads_matrices_and_sends_one_row_a_class(spark):
+    """Few rows, whatever the number of starts and clusters, with the sums of plain numpy; in one step and in two."""
+    rng, rows = np.random.default_rng(2), clouds({"a": 700, "b": 50}, width=3)
+    centres = {(c, run): rng.normal(size=(4 + run, 3)) for c in "ab" for run in range(3)}
+    for parts in (3, 70):
+        blocks = L._packed(spark.createDataFrame(rows, KIND).repartition(parts))
+        assert blocks.count() <= 2 * parts
+        found = L._pass(blocks, centres)
+        assert found.keys() == centres.keys()
+        for (name, run), own in centres.items():
+            x = np.array([r[2] for r in rows if r[1] == name])
+            apart = ((x[:, None] - own[None]) ** 2).sum(2)
+            label = apart.argmin(1)
+            n, cost, total = found[name, run]
+            assert n.tolist() == np.bincount(label, minlength=len(own)).tolist() and cost.sum() == pytest.approx(apart.min(1).sum())
+            assert np.allclose(total, [x[label == i].sum(0) for i in range(len(own))])

@@ -1,7 +1,7 @@
 """k-means of every class, with several starts each, in one chain of jobs, and the medoids of the best start.
 
-A pass over the rows assigns them to the centres of all classes and starts at once; tasks hand on sums by cluster, which
-are added up in two steps. What is broadcast and collected is the centres alone: classes go in batches whose centres
+Rows are packed once into matrices of one class each, in double precision. A pass over these assigns them to the centres of all classes and starts at once; tasks hand on sums by cluster, which
+are added up in two steps where tasks are many. What is broadcast and collected is the centres alone: classes go in batches whose centres
 have a stated size, so neither grows with the rows. Starts are k-means++ with trials on a bounded sample of a class.
 """
 
@@ -84,15 +84,32 @@ def _by_class(batch: pa.RecordBatch, names: list[str]):
             yield name, part.column("image_id"), v.reshape(part.num_rows, -1)
 
 
-_SUMS = "class_name string, run int, cluster int, bucket int, n long, cost double, total array<double>"
-_SUMS_NAMES = ["class_name", "run", "cluster", "bucket", "n", "cost", "total"]
-_SUMS_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` as matrices: class_name, x (vectors of that class, end to end, as bytes of doubles)."""
+
+    def pack(batches):
+        for batch in batches:
+            names = batch.column("class_name").unique().drop_null().to_pylist()
+            found = [(name, x.tobytes()) for name, _, x in _by_class(batch, names)]
+            yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in found], pa.string()), pa.array([x for _, x in found], pa.binary())], names=["class_name", "x"])
+
+    return cut(rows.filter("size(v) > 0").select("class_name", "image_id", "v").mapInArrow(pack, "class_name string, x binary"))
 
 
-def _pass(rows: DataFrame, centres: dict[tuple[str, int], np.ndarray], buckets: int = 32) -> list:
-    """For each class, run and cluster: n, cost and total of the rows nearest to it (ties to the first cluster)."""
-    shared = rows.sparkSession.sparkContext.broadcast(centres)
-    names = sorted({c for c, _ in centres})
+#: A row a class: of all starts' clusters, end to end, n (longs), cost and total (doubles).
+_SUMS = "class_name string, bucket int, n binary, cost binary, total binary"
+_SUMS_NAMES = ["class_name", "bucket", "n", "cost", "total"]
+_SUMS_KINDS = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+_FEW = 64
+
+
+def _pass(blocks: DataFrame, centres: dict[tuple[str, int], np.ndarray], buckets: int = 32) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each class and run n, cost and total, by cluster, of the rows of ``blocks`` nearest to it (ties to the first cluster)."""
+    runs: dict[str, list[int]] = {}
+    for name, run in centres:
+        runs.setdefault(name, []).append(run)
+    edges = {name: np.concatenate([[0], np.cumsum([len(centres[name, run]) for run in own])]) for name, own in runs.items()}
+    shared = blocks.sparkSession.sparkContext.broadcast({name: (edges[name], np.concatenate([centres[name, run] for run in own])) for name, own in runs.items()})
 
     def assign(batches):
         from pyspark import TaskContext
@@ -100,37 +117,42 @@ def _pass(rows: DataFrame, centres: dict[tuple[str, int], np.ndarray], buckets:
         bucket = TaskContext.get().partitionId() % buckets
         n, cost, total = {}, {}, {}
         for batch in batches:
-            for name, _, x in _by_class(batch, names):
-                for at, own in shared.value.items():
-                    if at[0] != name:
-                        continue
-                    apart = _distances(x, own)
-                    label = apart.argmin(1)
-                    member = np.zeros((len(own), len(x)))
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name not in shared.value:
+                    continue
+                at, own = shared.value[name]
+                x = np.frombuffer(raw.as_buffer(), np.float64).reshape(-1, own.shape[1])
+                if name not in n:
+                    n[name], cost[name], total[name] = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(own.shape)
+                apart, member = _distances(x, own), np.zeros((len(own), len(x)))
+                for a, b in zip(at, at[1:]):
+                    label = a + apart[:, a:b].argmin(1)
                     member[label, np.arange(len(x))] = 1.0
-                    if at not in n:
-                        n[at], cost[at], total[at] = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(own.shape)
-                    n[at] += np.bincount(label, minlength=len(own))
-                    cost[at] += member @ apart[np.arange(len(x)), label]
-                    total[at] += member @ x
-        for at in n:  # a record batch a start, so that no second copy of all is made
-            held = np.flatnonzero(n[at])
-            out = [[at[0]] * len(held), [at[1]] * len(held), held.tolist(), [bucket] * len(held), n[at][held].tolist(), cost[at][held].tolist(), total[at][held].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SUMS_KINDS)], _SUMS_NAMES)
+                    n[name] += np.bincount(label, minlength=len(own))
+                    cost[name] += np.bincount(label, apart[np.arange(len(x)), label], minlength=len(own))
+                total[name] += member @ x
+        for name in n:  # a record batch a class, so that no second copy of all is made
+            out = [name, bucket, n[name].tobytes(), cost[name].tobytes(), total[name].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, _SUMS_KINDS)], _SUMS_NAMES)
 
     def add(key, tab):
         """Added in one order whatever the order of arrival, so that sums are the same in every run."""
-        sums = np.array(tab.column("total").to_pylist())
-        order = np.lexsort((sums[:, 0], tab.column("cost").to_numpy(), tab.column("n").to_numpy()))
-        whole = [key[0].as_py(), key[1].as_py(), key[2].as_py(), key[3].as_py(), int(tab.column("n").to_numpy().sum()), float(tab.column("cost").to_numpy()[order].sum()), sums[order].sum(0).tolist()]
-        return pa.table([pa.array([v], t) for v, t in zip(whole, _SUMS_KINDS)], names=_SUMS_NAMES)
-
-    parts = rows.mapInArrow(assign, _SUMS)
-    keys = ["class_name", "run", "cluster", "bucket"]
-    once = parts.groupBy(*keys).applyInArrow(add, _SUMS)
-    found = once.withColumn("bucket", F.lit(0)).groupBy(*keys).applyInArrow(add, _SUMS).collect()  # the centres of a batch
+        rows = sorted(zip(*(tab.column(c).to_pylist() for c in ("n", "cost", "total"))))
+        whole = [sum(np.frombuffer(r[i], kind) for r in rows).tobytes() for i, kind in enumerate((np.int64, np.float64, np.float64))]
+        return pa.table([pa.array([v], t) for v, t in zip([key[0].as_py(), key[1].as_py(), *whole], _SUMS_KINDS)], names=_SUMS_NAMES)
+
+    sums = blocks.mapInArrow(assign, _SUMS)
+    if blocks.rdd.getNumPartitions() > _FEW:
+        sums = sums.groupBy("class_name", "bucket").applyInArrow(add, _SUMS)
+    found = sums.withColumn("bucket", F.lit(0)).groupBy("class_name", "bucket").applyInArrow(add, _SUMS).collect()  # the centres of a batch
     shared.unpersist()
-    return found
+    out = {}
+    for r in found:
+        n, cost, total = (np.frombuffer(r[c], kind) for c, kind in (("n", np.int64), ("cost", np.float64), ("total", np.float64)))
+        at = edges[r["class_name"]]
+        for run, a, b in zip(runs[r["class_name"]], at, at[1:]):
+            out[r["class_name"], run] = n[a:b], cost[a:b], total.reshape(len(n), -1)[a:b]
+    return out
 
 
 def _batches(classes: list[str], each: int, most: int) -> list[list[str]]:
@@ -153,21 +175,19 @@ def class_kmeans(rows: DataFrame, per_class: int, runs: int = 10, seed: int = 7,
     if not widths["most"]:
         return {}
     names = [r[0] for r in rows.select("class_name").distinct().orderBy("class_name").collect()]  # one row a class
-    out: dict[str, Clustering] = {}
+    blocks, out = _packed(rows), {}
     for batch in _batches(names, 8 * runs * per_class * widths["most"], most_centres):
         own = rows.filter(F.col("class_name").isin(batch)) if len(batch) < len(names) else rows
+        parts = blocks.filter(F.col("class_name").isin(batch)) if len(batch) < len(names) else blocks
         active = _starts(own, per_class, runs, seed, seed_rows)
         ended: dict[tuple[str, int], tuple[np.ndarray, float]] = {}
         for turn in range(iterations):
-            sums: dict[tuple[str, int], list] = {}
-            for r in _pass(own, active):
-                sums.setdefault((r["class_name"], r["run"]), []).append(r)
-            moved = {}
+            sums, moved = _pass(parts, active), {}
             for at, centres in active.items():
-                new = centres.copy()
-                for r in sums[at]:
-                    new[r["cluster"]] = np.array(r["total"]) / r["n"]
-                cost = sum(r["cost"] for r in sorted(sums[at], key=lambda r: r["cluster"]))
+                n, costs, total = sums[at]
+                new, held = centres.copy(), n > 0
+                new[held] = total[held] / n[held, None]
+                cost = float(costs.sum())
                 scale = (centres * centres).sum(1).mean()
                 if turn == iterations - 1 or ((new - centres) ** 2).sum(1).max() <= tolerance * max(scale, 1e-300):
                     ended[at] = centres, cost  # the cost is of these centres
