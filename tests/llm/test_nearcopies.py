@@ -179,3 +179,33 @@ def test_stars_need_no_round(spark, monkeypatch):
     assert {tuple(r) for r in components.connected_components(stars).collect()} == {(1, 1), (3, 1), (4, 1), (6, 6), (7, 6)} and len(kept) == 1
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 52), (51, 52)], "u long, v long")
     assert {tuple(r) for r in components.connected_components(chain).collect()} == {(i, 0) for i in range(41)} | {(50, 50), (51, 50), (52, 50)}
+
+
+def test_links_of_a_task_need_no_round(spark, monkeypatch):
+    """A chain is one look and one pass of a task; dealt to several tasks in several pieces it ends with the same roots."""
+    from vetra.llm import components
+
+    kept, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: kept.append(1) or cut(df))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 52), (51, 52), (60, 60)], "u long, v long")
+    want = {(i, 0) for i in range(41)} | {(50, 50), (51, 50), (52, 50)}
+    got = components.connected_components(chain).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len(kept) == 2
+    monkeypatch.setattr(components, "TASK_LINKS", 3)
+    got = components.connected_components(chain).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_shards_are_handed_to_python_one_at_a_time(spark):
+    """One task for all shards: each call of the function still sees one shard, not the 28 that share the task."""
+    import numpy as np
+
+    from vetra.llm import nearcopies as nc
+    from vetra.llm import simhash
+
+    words = np.random.default_rng(9).integers(-(1 << 62), 1 << 62, (300, nc.WORDS))
+    words[7] = words[200]
+    fps = spark.createDataFrame([(*map(int, w), 90, i) for i, w in enumerate(words)], ", ".join(f"w{k} long" for k in range(nc.WORDS)) + ", n int, node long")
+    links = simhash.near_links(fps, simhash.bit_groups(nc.GROUPS, nc.WORDS), nc.REACH, nc.LIMIT, nc.CHECK, alike=0.8)
+    rows = [tuple(r) for r in links.collect()]
+    assert set(rows) == {(200, 7)} and len(rows) == nc.WORDS * nc.GROUPS  # each shard says it for itself

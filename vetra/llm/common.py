@@ -70,6 +70,18 @@ def trimmed(run):
     return whole
 
 
+def trimmed_group(run):
+    """``run``, a function of a group's key and table, with free memory given back after each group."""
+
+    def whole(key, tab):
+        try:
+            return run(key, tab)
+        finally:
+            give_back()
+
+    return whole
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vetra.llm.common import cut, small_batches, trimmed
+from vetra.llm.common import cut, small_batches, trimmed, trimmed_group
 from vetra.llm.components import connected_components
 from vetra.llm.simhash import SEED, bit_groups, majority, near_links, stars
 
@@ -223,7 +223,7 @@ def _compared(placed: DataFrame, similar: float, task_shingles: int) -> DataFram
         return pa.table(dict(zip("uv", stars(np.concatenate(left), np.concatenate(right)))))
 
     bucket = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(tasks))
-    return placed.select(bucket.alias("bucket"), "grp", "i", "j", "node", "own").groupBy("bucket").applyInArrow(run, "u long, v long")
+    return placed.select(bucket.alias("bucket"), "grp", "i", "j", "node", "own").groupBy("bucket").applyInArrow(trimmed_group(run), "u long, v long")
 
 
 def _blocks(rows: DataFrame, most: int, most_shingles: int) -> DataFrame:

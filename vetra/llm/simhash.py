@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetra.llm.common import cut
-from vetra.llm.components import connected_components
+from vetra.llm.common import cut, trimmed_group
+from vetra.llm.components import connected_components, stars
 
 SEED = 42
 #: Levels of the shard trees: at most 2 ** 12 vantage points (16 bytes each) a group travel with a task.
@@ -180,36 +180,19 @@ def shard_links(fp: np.ndarray, key: np.ndarray, reach: int, limit: int, small:
     return np.concatenate(left), np.concatenate(right)
 
 
-def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The components of links u, v as a link from every other node to the component's smallest."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    root = np.arange(len(nodes))
-    while len(a):
-        least, before = np.minimum(root[a], root[b]), root.copy()
-        for side in (a, b, before[a], before[b]):
-            np.minimum.at(root, side, least)
-        while not (root == root[root]).all():
-            root = root[root]
-        if (root == before).all():
-            break
-    other = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[other], nodes[root[other]]
-
-
 def near_links(
     fps: DataFrame, groups: list[tuple[int, int]], reach: int, limit: int, check: int = 1, per_shard: int = 32_768, task_rows: int = 200_000, most: int = 400_000, alike: float = 0.0
 ) -> DataFrame:
     """Links u, v between fingerprints that have the components of all links found: ``limit`` bits or fewer of the first ``check`` words differ.
 
-    A task reports its components as stars, so a crowd of near copies sends a row for each and not one for each pair.
+    A shard reports its components as stars, so a crowd of near copies sends a row for each and not one for each pair.
 
     ``fps`` has w0, w1, ... and last a long column ``node`` that names the fingerprint. Where it also has an int column
     ``n``, the size of the set, linked sets are large enough for each other to be ``alike``. Found is each link
     that lies within ``reach`` bits in one of ``groups`` (word, mask): all links, if they have more than
-    limit / (reach + 1) groups of the same words. Shards are dealt to tasks of about ``task_rows`` rows. A shard with over
-    ``most`` is cut into blocks, and each pair of blocks is a task of its own, so none is too large and
-    no pair is missed.
+    limit / (reach + 1) groups of the same words. Shards are dealt to tasks of about ``task_rows`` rows, and Python holds one
+    shard at a time. A shard with over ``most`` is cut into blocks, and each pair of blocks is taken by itself, so none is too
+    large and no pair is missed.
     """
     spark, own = fps.sparkSession, [c for c in fps.columns if c not in ("n", "node")]
     n = fps.count()
@@ -237,29 +220,22 @@ def near_links(
     rows = fps.mapInArrow(deal, schema)  # made twice, which costs less than keeping it: `fps` should be a checkpointed frame
     sizes = cut(rows.groupBy("leaf").count())  # one row a shard
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
-    tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // task_rows))
-    rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    tasks, apart = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // task_rows)), ["leaf"]
     if (largest or 0) > most:
         k = F.ceil(F.col("count") / most).cast("int")
         rows = rows.join(F.broadcast(sizes.filter(F.col("count") > most).select("leaf", k.alias("k"))), "leaf", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
         rows = rows.withColumns({"i": F.coalesce(F.least("mine", "other"), F.lit(0)), "j": F.coalesce(F.greatest("mine", "other"), F.lit(0))}).drop("k", "mine", "other")
+        apart = ["leaf", "i", "j"]
 
     def run(key, tab):
-        tab = tab.sort_by([("leaf", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
-        place = np.stack([tab.column(c).to_numpy() for c in ("leaf", "i", "j")])
-        fp = np.stack([tab.column(c).to_numpy() for c in checked], axis=1).view(np.uint64)
-        node, bits = tab.column("node").to_numpy(), tab.column("key").to_numpy().view(np.uint64)
-        size = tab.column("n").to_numpy().astype(np.int64) if sized else None
-        edges = np.flatnonzero(np.any(place[:, 1:] != place[:, :-1], axis=0)) + 1
-        left, right = [node[:0]], [node[:0]]
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)]):
-            u, v = shard_links(fp[a:b], bits[a:b], reach, limit, size=size[a:b] if sized else None, alike=alike)
-            left.append(node[a + u]), right.append(node[a + v])
-        return pa.table(dict(zip("uv", stars(np.concatenate(left), np.concatenate(right)))))
-
-    bucket = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(tasks))
-    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "u long, v long").filter("u <> v")
+        order = np.argsort(tab.column("node").to_numpy(), kind="stable")
+        columns = {c: tab.column(c).to_numpy()[order] for c in ("key", *carried)}
+        fp, node = np.stack([columns[c] for c in checked], axis=1).view(np.uint64), columns["node"]
+        u, v = shard_links(fp, columns["key"].view(np.uint64), reach, limit, size=columns["n"].astype(np.int64) if sized else None, alike=alike)
+        return pa.table(dict(zip("uv", stars(node[u], node[v]))))
+
+    return rows.repartition(tasks, *apart).groupBy(*apart).applyInArrow(trimmed_group(run), "u long, v long").filter("u <> v")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, groups: int = 3) -> DataFrame:
