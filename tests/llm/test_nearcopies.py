@@ -209,3 +209,51 @@ def test_shards_are_handed_to_python_one_at_a_time(spark):
     links = simhash.near_links(fps, simhash.bit_groups(nc.GROUPS, nc.WORDS), nc.REACH, nc.LIMIT, nc.CHECK, alike=0.8)
     rows = [tuple(r) for r in links.collect()]
     assert set(rows) == {(200, 7)} and len(rows) == nc.WORDS * nc.GROUPS  # each shard says it for itself
+
+
+def made_by_joins(spark, run):
+    """What ``run`` returns, and the rows that the joins of its executions made by Spark's own metrics, the largest first."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made, executions = [], store.executionsList(before, 1000)
+    for i in range(executions.size()):
+        at = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(m) for m in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and (value := values.get(metric.accumulatorId())).isDefined():
+                    made.append(int(value.get().replace(",", "")))
+    return out, sorted(made, reverse=True)
+
+
+def test_a_crowd_of_near_copies_is_not_joined_whole(spark):
+    """Sets around one text: joins make a row for each of a set's rarest shingles, not for all of its shingles, whatever the crowd's size."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    common = rng.integers(1, 1 << 62, 100)
+    own = [np.unique(np.concatenate([np.delete(common, rng.choice(100, 10, False)), rng.integers(1, 1 << 62, 10)])) for _ in range(600)]
+    for count in (300, 600):
+        sets = spark.createDataFrame([(0, i, len(s), s.tobytes()) for i, s in enumerate(own[:count])], "grp long, node long, n long, own binary")
+        links, made = made_by_joins(spark, lambda: nearcopies.prefix_links(sets, 0.8).collect())
+        assert made and made[0] <= count * 21  # 100 - 80 + 1 of each set; all shared ones were 90
+        assert {r.root for r in nearcopies.connected_components(spark.createDataFrame(links, "u long, v long")).collect()} == {0}
+
+
+@pytest.mark.parametrize("places", [None, 1 << 15])
+def test_prefix_links_lose_no_pair(spark, monkeypatch, places):
+    """All pairs at 0.8 or more, at exactly 0.8 too, are in one component; with places shared by many shingles as well."""
+    import numpy as np
+
+    if places:
+        monkeypatch.setattr(nearcopies, "MARKS", places)
+    rng, own = np.random.default_rng(12), []
+    for k in range(500):
+        n = int(rng.choice([1, 4, 8, 20, 60]))
+        s = rng.integers(-(1 << 62), 1 << 62, n)
+        own += [s, np.concatenate([s, rng.integers(-(1 << 62), 1 << 62, n // 4)]), np.concatenate([s[: n // 2], rng.integers(-(1 << 62), 1 << 62, n - n // 2)])]
+    sets = spark.createDataFrame([(i, len(s), np.sort(s.view(np.uint64)).tobytes()) for i, s in enumerate(own)], "node long, n long, own binary")
+    root = {r.node: r.root for r in nearcopies.connected_components(nearcopies.prefix_links(sets, 0.8)).collect()}
+    assert [i for i in range(0, len(own), 3) if i not in root or root[i] != root.get(i + 1)] == []
