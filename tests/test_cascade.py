@@ -206,3 +206,69 @@ def test_close_pairs_against_all_pairs(spark):
             if all(root[a[0]] == root[b[0]] for a, b, d in pairs if d < bound):
                 break
         assert {r["image_id"]: r["root"] for r in C.K.linked_groups(rows, close, got > 0).collect()} == root
+
+
+def test_groups_of_bits_leave_few_pairs_and_lose_none(spark):
+    """Counts and components by groups of bits are those of all pairs, and a small part of these is looked at; before, all were."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vetra.operators import distances as D
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 400)
+    flips = (np.uint64(1) << rng.integers(0, 60, (6000, 6)).astype(np.uint64)) * (rng.random((6000, 6)) < 0.7)
+    hashes = np.unique(base[rng.integers(0, 400, 6000)].view(np.uint64) ^ np.bitwise_xor.reduce(flips.astype(np.uint64), axis=1))
+    n, half = len(hashes), 2500
+    hashes = rng.permutation(hashes)
+    table = {"class_name": [f"c{i % 3}" if i % 50 else None for i in range(n)], "hash": hashes.view(np.int64), "n": rng.integers(1, 3, n)}
+    every = lambda found: found.filter(pa.compute.greater(found["n"], 0)).to_pylist()
+    linked = lambda found, size: sorted(zip(*(x.tolist() for x in D.stars(*(found.filter(pa.compute.equal(found["n"], 0))[c].to_numpy() for c in "ab")))))
+    assert D.bit_groups(hashes, 14, 2_000) == [] and D.bit_groups(hashes, 40, 200_000) == []
+    for cap in (9, 12, 14):
+        groups = D.bit_groups(hashes, cap, 200_000)
+        assert groups and sum(r for _, r in groups) == cap - len(groups) + 1 and not {60, 61, 62, 63} & {b for bits, _ in groups for b in bits}
+        for key, block in (((0, 0), [0] * n), ((0, 1), [0] * half + [1] * (n - half))):
+            tab = pa.table({**table, "block": pa.array(block, pa.int32())})
+            key = tuple(map(pa.scalar, key))
+            got, want = D._close(cap, groups)(key, tab), D._close(cap, [])(key, tab)
+            assert every(got) == every(want) and linked(got, n) == linked(want, n)
+        looked = sum((end - start) * len(partners) for g in groups for start, end, partners in D._dealt(hashes, hashes, [g], True)[2])
+        assert looked < 0.15 * n * n
+
+
+def test_a_guess_too_low_is_raised_step_by_step(spark, monkeypatch):
+    """Before, a guess too low was followed by all distances, for which no group of bits helps."""
+    import numpy as np
+
+    from vetra.operators import distances as D
+
+    caps, real = [], D._blockwise
+    monkeypatch.setattr(D, "_blockwise", lambda counted, m, cap, *rest: caps.append(cap) or real(counted, m, cap, *rest))
+    data = [(f"c{i % 2}", int(h)) for i, h in enumerate(np.random.default_rng(1).integers(0, 1 << 60, 400))]
+    rows = spark.createDataFrame(data, "class_name string, hash long")
+    far = [(a[1] ^ b[1]).bit_count() for i, a in enumerate(data) for b in data[:i] if a[0] != b[0]]
+    bound, links, _ = D.close_pairs(rows, 0.001, guess=min(far) - 1)
+    assert bound == pytest.approx(np.percentile(far, 0.1)) and len(caps) > 1 and caps[-1] < 30
+    assert links == sum((a[1] ^ b[1]).bit_count() < bound for i, a in enumerate(data) for b in data[:i])
+
+
+def test_links_are_contracted_in_tasks_before_rounds(spark):
+    """Roots where links fit a task, fit after some passes, and don't; before, all went through rounds of joins."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    names = np.unique(rng.integers(-(1 << 62), 1 << 62, 600))
+    crowd, chain = rng.integers(0, 200, (3000, 2)), np.stack([np.arange(200, 500), np.arange(201, 501)], axis=1)
+    links = [(int(names[a]), int(names[b])) for a, b in np.concatenate([crowd, chain]) if a != b]
+    root = {x: x for pair in links for x in pair}
+    while True:
+        moved = [(a, b) for a, b in links if root[a] != root[b]]
+        if not moved:
+            break
+        for a, b in moved:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = spark.createDataFrame(links, "a long, b long").repartition(12)
+    for most in (100_000, 1_500, 150):
+        assert {r.node: r.root for r in C.K.hash_roots(rows, most).collect()} == {x: r for x, r in root.items() if x != r}
+    assert C.K.hash_roots(rows.limit(0)).collect() == []

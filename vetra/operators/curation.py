@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vetra.operators.distances import contracted
 from vetra.operators.folds import ordered_fold
 
 
@@ -160,6 +161,26 @@ def group_roots(links: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("groups have not settled")
 
 
+#: Links that a task of ``hash_roots`` holds.
+TASK_LINKS = 8_000_000
+
+
+def hash_roots(links: DataFrame, most: int = TASK_LINKS) -> DataFrame:
+    """node, root as ``group_roots`` gives them for links between hashes (long), but for the roots themselves.
+
+    Tasks of at most ``most`` links make stars of them, again while that leaves far fewer; what doesn't fit a task then
+    goes through the rounds of ``group_roots``.
+    """
+    links = _cut(links)
+    left = links.count()
+    while (tasks := -(-left // most)) > 1:
+        links = _cut(contracted(links, tasks, most))
+        before, left = left, links.count()
+        if left > 0.7 * before:
+            return group_roots(links).filter("node <> root")
+    return _cut(contracted(links, 1, 2 * most)).withColumnsRenamed({"a": "node", "b": "root"})
+
+
 def _cut(df: DataFrame) -> DataFrame:
     from vetra.plans.session import cut
 
@@ -190,7 +211,7 @@ def hash_groups(rows: DataFrame, below: float, bands: int = 8, bits: int = 64) -
 def linked_groups(rows: DataFrame, links: DataFrame, alike: bool = True) -> DataFrame:
     """``rows`` with root and group_id as ``hash_groups`` gives them, from links a, b between hashes; equal hashes belong together if ``alike``."""
     firsts = _cut(rows.filter(F.col("hash").isNotNull() & F.lit(alike)).groupBy("hash").agg(F.min("image_id").alias("first")))
-    heads = _cut(firsts.join(group_roots(links).withColumnsRenamed({"node": "hash", "root": "head"}), "hash", "left").select("hash", "first", F.coalesce("head", "hash").alias("head")))
+    heads = _cut(firsts.join(hash_roots(links).withColumnsRenamed({"node": "hash", "root": "head"}), "hash", "left").select("hash", "first", F.coalesce("head", "hash").alias("head")))
     roots = heads.join(heads.groupBy("head").agg(F.min("first").alias("root")), "head").select("hash", "root")
     found = rows.join(roots, "hash", "left").withColumn("root", F.coalesce("root", "image_id"))
     named = isinstance(rows.schema["image_id"].dataType, T.StringType)
