@@ -272,3 +272,15 @@ def test_links_are_contracted_in_tasks_before_rounds(spark):
     for most in (100_000, 1_500, 150):
         assert {r.node: r.root for r in C.K.hash_roots(rows, most).collect()} == {x: r for x, r in root.items() if x != r}
     assert C.K.hash_roots(rows.limit(0)).collect() == []
+
+
+def test_each_pair_of_blocks_has_a_task_of_its_own(spark):
+    """Before, pairs of blocks were dealt by hash, so that some tasks had several and others none."""
+    import numpy as np
+
+    from vetra.operators import distances as D
+
+    hashes = np.random.default_rng(2).integers(0, 1 << 60, 500)
+    counted = spark.createDataFrame([("c", int(h), 1) for h in hashes], "class_name string, hash long, n long")
+    found = D._blockwise(counted, 500, 30, 100, hashes.view(np.uint64)).select(F.spark_partition_id().alias("task")).groupBy("task").count()
+    assert found.count() == 15

@@ -334,8 +334,17 @@ def _blockwise(counted: DataFrame, m: int, cap: int, per_block: int, sample: np.
     own = F.pmod(F.xxhash64("class_name", "hash"), F.lit(blocks)).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     dealt = counted.withColumn("block", own).select("class_name", "hash", "n", "block", F.inline(others))
-    tasks = max(parallel, blocks * (blocks + 1) // 2)  # a pair of blocks is long work on few bytes
-    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(_close(cap, bit_groups(sample, cap, m // blocks)), "a long, b long, distance int, n long, across long")
+    # a pair of blocks is long work on few bytes, so each has a task of its own; dealt by hash, some would share one
+    nth = F.expr("cast(j * (j + 1) div 2 + i as int)")
+    look = _close(cap, bit_groups(sample, cap, m // blocks))
+
+    def run(batches):
+        if held := list(batches):
+            tab = pa.Table.from_batches(held)
+            if len(tab):
+                yield from look((tab["i"][0], tab["j"][0]), tab).to_batches()
+
+    return dealt.repartitionById(blocks * (blocks + 1) // 2, nth).mapInArrow(run, "a long, b long, distance int, n long, across long")
 
 
 def close_pairs(rows: DataFrame, percentile: float, bits: int = 64, per_block: int = BLOCK, guess: int | None = None) -> tuple[float, int, DataFrame]:
